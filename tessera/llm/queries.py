@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import decontaminate, html_text, lang_id, line_dedup, neardup, packing, quality
+from . import decontaminate, fixity, html_text, lang_id, licenses, line_dedup, neardup, packing, quality, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,45 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _digits(column: str) -> F.Column:
+    """A number below 2**28 from the md5 of a string."""
+    return F.conv(F.substring(F.md5(F.col(column)), 1, 7), 16, 10).cast("long")
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are all pages, fetched on a day set by page_id; entries are dated by the md5 of each host."""
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    captures = table(spark, sf_dir, "pages").select(F.col("page_id").alias("capture_id"), "url", day(F.col("page_id") * 37 % 365).alias("fetched_at"))
+    hosts = captures.select(url_lists.url_host(F.col("url")).alias("host")).where("host is not null").distinct().withColumn("h", _digits("host"))
+    entry = lambda name, verdict, pattern, action, n: F.struct(*(c.alias(k) for k, c in zip(("list_name", "verdict", "pattern", "action", "at"), (F.lit(name), F.lit(verdict), pattern, F.lit(action), day(n)))))
+    h, host = F.col("h"), F.col("host")
+    spam = F.array(
+        entry("spam", "block", host, "add", h % 300),
+        entry("spam", "block", host, "remove", h % 300 + 40 + h % 50),
+        entry("trusted", "allow", F.concat(host, F.lit("/en")), "add", h % 200),
+        entry("adult", "block", F.concat(host, F.lit("/de")), "add", h % 100),
+    )
+    events = hosts.where("h % 4 = 0").select(F.inline(spam)).unionByName(spark.sql("select 'suspended' list_name, 'block' verdict, 'example.com' pattern, 'add' action, date'2024-06-01' at union all select 'suspended', 'block', 'example.com', 'remove', date'2024-06-15'"))
+    return url_lists.filter_captures(captures, events)
+
+
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records of archive files of 256 ids; the second replica has damage set by the md5 of page_id."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 256").alias("file"), fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("payload"), F.substring(F.md5(F.col("page_id").cast("string")), 1, 2).alias("fate"))
+    before = Window.partitionBy("file").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pages.withColumn("offset", F.coalesce(F.sum(F.octet_length("payload")).over(before), F.lit(0)))
+    damaged = placed.where("fate <> '00'").withColumn("payload", F.when(F.col("fate") == "01", F.concat(F.lit("X"), F.expr("substring(payload, 2)"))).when(F.col("fate") == "02", F.expr("left(payload, length(payload) - 1)")).otherwise(F.col("payload")))
+    return fixity.audit_replicas(placed.select("file", "offset", "payload"), damaged.select("file", "offset", "payload"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files of projects of 200 ids with four modules; every 50th is a licence file."""
+    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    module = F.when(F.col("doc_id") % 200 == 0, F.lit("")).otherwise(F.concat(F.lit("/m"), F.expr("cast(doc_id div 50 % 4 as string)")))
+    path = F.concat(F.lit("p"), F.expr("cast(doc_id div 200 as string)"), module, F.lit("/"), name)
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -41,11 +80,45 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_url_filters": op2_url_filters,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
+}
+SQL: dict[str, str] = {
+    "op2_url_filters": """
+        with c as (select page_id as capture_id, url, date '2024-01-01' + cast(page_id * 37 % 365 as integer) as fetched_at,
+                     nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '^www\\.|\\.$', '', 'g'), '') as host,
+                     list_filter(string_split(regexp_extract(trim(url), '^[^:/?#]+://[^/?#]*/([^?#]*)', 1), '/'), lambda x: x <> '') as parts from pages),
+        h as (select host, ('0x' || substr(md5(host), 1, 7))::bigint as h from (select distinct host from c where host is not null)),
+        e as (select 'spam' as list_name, 'block' as verdict, host as pattern, 'add' as action, date '2024-01-01' + cast(h % 300 as integer) as t from h where h % 4 = 0
+              union select 'spam', 'block', host, 'remove', date '2024-01-01' + cast(h % 300 + 40 + h % 50 as integer) from h where h % 4 = 0
+              union select 'trusted', 'allow', host || '/en', 'add', date '2024-01-01' + cast(h % 200 as integer) from h where h % 4 = 0
+              union select 'adult', 'block', host || '/de', 'add', date '2024-01-01' + cast(h % 100 as integer) from h where h % 4 = 0
+              union select 'suspended', 'block', 'example.com', 'add', date '2024-06-01'
+              union select 'suspended', 'block', 'example.com', 'remove', date '2024-06-15'),
+        v as (select *, lead(t) over (partition by list_name, verdict, pattern order by t, action) as ends from e),
+        k as (select c.*, unnest(list_distinct(list_concat(
+                list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
+                list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(list_slice(parts, 1, i), '/'))))) as pattern from c where host is not null),
+        m as (select k.capture_id, v.list_name, v.verdict, v.pattern,
+                row_number() over (partition by k.capture_id order by length(v.pattern) desc, (v.verdict = 'allow') desc, v.pattern desc) as r
+              from k join v on k.pattern = v.pattern and v.action = 'add' and v.t <= k.fetched_at and (v.ends is null or (v.ends > v.t and k.fetched_at < v.ends))),
+        g as (select capture_id, count(*) as n_active, list_sort(list_distinct(list(list_name))) as lists, max(pattern) filter (r = 1) as pattern, max(verdict) filter (r = 1) as verdict from m group by 1)
+        select c.capture_id, c.fetched_at, c.host, coalesce(n_active, 0) as n_active, coalesce(lists, []::varchar[]) as lists, pattern, coalesce(verdict, 'none') as decision
+        from c left join g using (capture_id)""",
+    "op3_warc_fixity": """
+        with r as (select page_id, page_id // 256 as file, substr(md5(page_id::varchar), 1, 2) as fate,
+                     'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+                     || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as payload from pages),
+        p as (select *, cast(coalesce(sum(strlen(payload)) over (partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as pos from r),
+        d as (select file, pos, case when fate = '01' then 'X' || substr(payload, 2) when fate = '02' then left(payload, length(payload) - 1) else payload end as payload from p where fate <> '00')
+        select p.file, p.pos as "offset", case when d.payload is null then 'missing' else 'changed' end as kind, sha256(p.payload) as left_hash, sha256(d.payload) as right_hash,
+          cast(strlen(p.payload) as bigint) as left_bytes, cast(strlen(d.payload) as bigint) as right_bytes
+        from p left join d using (file, pos) where d.payload is null or d.payload <> p.payload""",
 }
-SQL: dict[str, str] = {}
