@@ -10,10 +10,13 @@ MinHash.
 
 Search.  Texts of equal shingle sets are one node, found by a 128-bit digest of
 the set.  Registers are banded; a band's bytes are a bucket key.  In each bucket
-all members are compared with the smallest one (a star), which is linear in its
-size.  Stars that verify are joined into components.  Where a bucket still has
+all members of a like size are compared with one of them (a star), which is
+linear in its size; the centre is the member whose buckets are fullest, which
+among copies with changes is the text nearest to what they were made from.  Stars that verify are joined into components.  Where a bucket still has
 members of several components, and only there, members of different components
-are compared with each other, so no link is lost to the star.  Before a
+are compared with each other, so no link is lost to the star: pair by pair in
+small buckets, and in large ones by counting along shared shingles within
+bounded blocks, which makes no pairs.  Before a
 comparison of sets comes the estimate from the registers, corrected for
 registers that agree by chance; it spares only pairs far below the threshold
 (``MARGIN`` standard deviations).  A link is confirmed on the whole sets.
@@ -49,6 +52,8 @@ MARGIN = 5.5
 CHANCE = 0.169919487159739093975315012348630288992889 * 4
 #: members compared in one task with a copy of the node that they are compared with
 CHUNK = 256
+#: buckets of up to this many members are compared pair by pair, larger ones block by block
+SMALL, BLOCK, BLOCK_SHINGLES = 16, 512, 2_000_000
 
 _words: dict = {}
 
@@ -151,7 +156,7 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are as similar as asked.
 
     pairs: distinct, materialized.  A node v that many are compared with is
@@ -160,15 +165,77 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     sizes = pairs.groupBy("v").agg(F.count("*").alias("n"))
     near = pairs.join(sizes, "v").select(F.col("v").alias("c"), F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / CHUNK)).alias("part"), "u")
     near = materialize(near, "neardup-near")
-    wanted = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("c").alias("id"))).distinct()
-    texts = docs.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialize(texts.join(nodes.select("id", "registers"), "id"), "neardup-texts")
     members = near.select("c", "part", F.lit(1).alias("other"), F.col("u").alias("id")).unionByName(near.select("c", "part", F.lit(0).alias("other"), F.col("c").alias("id")).distinct())
     rows = members.join(texts, "id").select("c", "part", "other", "id", "registers", "text")
     rows = rows.repartition("c", "part").sortWithinPartitions("c", "part", "other")
     return materialize(map_arrow(rows, _verifier(width, percent), "u long, v long"), "neardup-links")
 
 
+def _block_links(width: int, percent: int):
+    """Streams rows (key, a, b, side, id, root, text): links between members of different components.
+
+    A group is a block of a bucket, or two; intersections are counted along the
+    postings of each shingle, so no pair is ever made.
+    """
+
+    def links(sets: list, ids: list, roots: list, sides: list, cross: bool) -> Iterator[tuple[int, int]]:
+        size = np.array([len(s) for s in sets])
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        ids, roots, sides = np.array(ids), np.array(roots), np.array(sides)
+        values, counts = np.unique(roots, return_counts=True)
+        ask = sides == 0 if cross else roots != values[counts.argmax()]
+        for x in np.flatnonzero(ask):
+            low, high = np.searchsorted(token, sets[x], "left"), np.searchsorted(token, sets[x], "right")
+            n = high - low
+            at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            near = (100 * both >= percent * (size[x] + size - both)) & (roots != roots[x])
+            if cross:
+                near &= sides == 1
+            for y in np.flatnonzero(near):
+                yield int(ids[x]), int(ids[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, ([], [], [], [])
+
+        def flush() -> pa.RecordBatch:
+            found = list(links(*held, cross=group[1] != group[2])) if len(held[0]) > 1 else []
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for part in slices(batch):
+                for key, a, b, side, i, root, text in zip(*(part.column(k).to_pylist() for k in range(7))):
+                    if (key, a, b) != group:
+                        if group is not None:
+                            yield flush()
+                        group = key, a, b
+                    for x, value in zip(held, (shingle_set(word_hashes(text), width), i, root, side)):
+                        x.append(value)
+        if group is not None:
+            yield flush()
+
+    return run
+
+
+def _within(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between members of different components of each bucket.
+
+    A bucket of many members or long texts is cut into blocks by a hash of the
+    id, and each pair of blocks is a group of its own: a group holds two blocks.
+    """
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rest.withColumn("blocks", blocks).withColumn("own", own).select("key", "id", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "root")
+    rows = dealt.join(texts.select("id", "text"), "id").select("key", "a", "b", "side", "id", "root", "text")
+    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return materialize(map_arrow(rows, _block_links(width, percent), "u long, v long").distinct(), "neardup-within")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -180,28 +247,39 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = materialize(map_arrow(rows, _sketches(width), "doc_id long, n_shingles long, d1 long, d2 long, registers binary"), "neardup-sketches")
     alike = own.where("n_shingles > 0 and doc_id is not null")
     least = materialize(alike.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "neardup-sets")
-    nodes = alike.join(least.withColumnRenamed("id", "doc_id"), ["d1", "d2", "doc_id"]).groupBy(F.col("doc_id").alias("id")).agg(F.min("registers").alias("registers"))
+    nodes = alike.join(least.withColumnRenamed("id", "doc_id"), ["d1", "d2", "doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "registers")
     nodes = materialize(nodes, "neardup-nodes")
 
     bands = nodes.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * 2 * ROWS + 1, F.lit(2 * ROWS))))).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("size")).where("size > 1")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     seated = materialize(bands.join(buckets, "key"), "neardup-buckets")
-    stars = materialize(seated.where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "neardup-stars")
-    links = _verified(stars, nodes, rows, width, percent)
+    # a text that many others were made from is in their buckets more often than they are in each other's
+    standing = seated.groupBy("id").agg(F.sum("size").alias("standing")).join(nodes.select("id", "n_shingles"), "id")
+    seated = materialize(seated.join(standing, "id"), "neardup-seated")
+    texts = materialize(rows.join(standing.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).join(nodes.select("id", "registers"), "id"), "neardup-texts")
+    close = "100 * least(x.n_shingles, y.n_shingles) >= {p} * greatest(x.n_shingles, y.n_shingles)".format(p=percent)
+
+    first = F.max_by(F.struct("id", "n_shingles"), F.struct("standing", -F.col("id")))
+    centres = seated.groupBy("key").agg(first.alias("f")).select("key", "f.*")
+    stars = seated.alias("x").join(centres.alias("y"), "key").where("x.id <> y.id").where(close).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+    stars = materialize(stars, "neardup-stars")
+    links = _verified(stars, texts, width, percent)
     found = connected_components(links)
 
-    # buckets whose members are not all together yet; two members have been compared by the star
+    # buckets whose members are not all together yet: those of different components with each other
     many = seated.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = many.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rest = materialize(many.join(split, "key").where("id <> v").select("key", "id", "root"), "neardup-rest")
+    split = many.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("n_shingles").alias("weight")).where("a <> b").select("key", "weight")
+    rest = materialize(many.join(split, "key").select("key", "id", "root", "n_shingles", "size", "weight"), "neardup-rest")
+    few = rest.where(F.col("size") <= SMALL)
     across = (
-        rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
+        few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & F.expr(close))
         .select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
-        .join(stars, ["u", "v"], "left_anti")
     )
-    across = materialize(across, "neardup-across")
-    if not across.isEmpty():
-        found = connected_components(links.unionByName(_verified(across, nodes, rows, width, percent)))
+    both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    across = materialize(across.join(both, ["u", "v"], "left_anti"), "neardup-across")
+    more = _verified(across, texts, width, percent).unionByName(_within(rest.where(F.col("size") > SMALL), texts, width, percent))
+    if not more.isEmpty():
+        found = connected_components(links.unionByName(more))
 
     # rows of one set, or of one id, belong together: sets are nodes named by their smallest id
     named = own.join(least, ["d1", "d2"], "left").join(found.withColumnRenamed("node", "id"), "id", "left")
