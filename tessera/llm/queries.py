@@ -20,7 +20,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("estimate")
 
 
 def _digits(column: str) -> F.Column:
@@ -91,6 +91,21 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": """
+        with dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents),
+        ds as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from dw)),
+        bw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from benchmark),
+        bs as (select distinct item_id, array_to_string(w[i:i + 4], ' ') as s from (select item_id, w, unnest(range(1, len(w) - 3)) as i from bw)),
+        n as (select item_id, count(*) as n_shingles from bs group by 1)
+        select doc_id, item_id, n_shingles, count(*) as n_found from ds join bs using (s) join n using (item_id) group by all having 100 * count(*) >= 80 * n_shingles""",
+    "op7_minhash_near_dedup": """
+        with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as materialized (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, case when len(w) > 0 then 2 else 1 end))) as i from w)),
+        n as materialized (select w.doc_id, count(s.s) as n from w left join s using (doc_id) group by 1),
+        l as materialized (select a.doc_id as u, b.doc_id as v from s a join s b on a.s = b.s and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+              where least(x.n, y.n) * 100 >= 85 * greatest(x.n, y.n) group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+        r as (select doc_id as u, doc_id as v from documents union select r.u, l.v from r join l on l.u = r.v)
+        select n.doc_id, n.n as n_shingles, min(r.v) as component_id, n.doc_id = min(r.v) as kept from n join r on r.u = n.doc_id group by n.doc_id, n.n""",
     "op2_url_filters": """
         with c as (select page_id as capture_id, url, date '2024-01-01' + cast(page_id * 37 % 365 as integer) as fetched_at,
                      nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '^www\\.|\\.$', '', 'g'), '') as host,
