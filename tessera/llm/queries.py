@@ -106,6 +106,26 @@ SQL: dict[str, str] = {
               where least(x.n, y.n) * 100 >= 85 * greatest(x.n, y.n) group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
         r as (select doc_id as u, doc_id as v from documents union select r.u, l.v from r join l on l.u = r.v)
         select n.doc_id, n.n as n_shingles, min(r.v) as component_id, n.doc_id = min(r.v) as kept from n join r on r.u = n.doc_id group by n.doc_id, n.n""",
+    "op9_quality_rules": """
+        with w as materialized (select doc_id, lang as st, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from documents),
+        g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+        d as (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, s) as c from g) where c > 1),
+        v as (select doc_id, count(distinct p) as n from d group by 1),
+        c as materialized (select w.doc_id, st, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(v.n, 0) as n_repeat_words,
+              len(l) as n_lines, len(regexp_extract_all(t, '\\p{Lu}')) as n_upper, len(regexp_extract_all(t, '[!?]')) as n_marks from w left join v using (doc_id)),
+        r as materialized (select doc_id, st, {'symbol_ratio': case when word_chars > 0 then n_symbols / word_chars else 0 end, 'dup_line_ratio': case when n_lines > 0 then n_dup_lines / n_lines else 0 end, 'repeat_ratio': case when n_words > 0 then n_repeat_words / n_words else 0 end,
+              'word_length': case when n_words > 0 then word_chars / n_words else 0 end, 'upper_ratio': case when word_chars > 0 then n_upper / word_chars else 0 end, 'mark_ratio': case when word_chars > 0 then n_marks / word_chars else 0 end} as x from c),
+        e as materialized (select doc_id, st, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length', 'upper_ratio', 'mark_ratio']) as rule, unnest([x.symbol_ratio, x.dup_line_ratio, x.repeat_ratio, x.word_length, x.upper_ratio, x.mark_ratio]) as x from r),
+        one as (select doc_id, min(quality) > 0 as good from labels where doc_id is not null and quality is not null group by 1),
+        y as materialized (select e.*, good, substr(md5(doc_id::varchar), 1, 1) < '8' as proposes from e join one using (doc_id)),
+        o as (select st, rule, unnest(list_distinct(q)) as cutoff from (select st, rule, quantile_cont(x, [0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0]) as q from y where proposes and good group by all)),
+        h as materialized (select y.st, y.rule, cutoff, count(*) filter (good) as n, count(*) filter (good and x > cutoff) as k, count(*) filter (not good) as b, count(*) filter (not good and x > cutoff) as hit
+              from y join o on y.st is not distinct from o.st and y.rule = o.rule where not proposes group by all),
+        z as (select *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)))) as tail from h where n > 0 and k <= floor(n * 0.05 / 6)),
+        u as (select st, rule, arg_max(cutoff, (hit, -k, cutoff)) as cutoff from z where tail <= 0.05 / ((select greatest(1, count(distinct coalesce(st, chr(0)))) from h) * 6 * 7) and hit > 0 and hit * n >= 10 * k * b group by all),
+        f as (select e.doc_id, bool_or(x > cutoff) as rejected from e join u on e.st is not distinct from u.st and e.rule = u.rule group by 1)
+        select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+          not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not coalesce(rejected, false) as kept from c left join f using (doc_id)""",
     "op2_url_filters": """
         with c as (select page_id as capture_id, url, date '2024-01-01' + cast(page_id * 37 % 365 as integer) as fetched_at,
                      nullif(regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '^www\\.|\\.$', '', 'g'), '') as host,
