@@ -1,0 +1,320 @@
+"""The corpus operators against brute force on small fixtures, with nulls, ties, repeats and empty tables."""
+
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import components, decontaminate, fixity, html_text, lang_id, licenses, line_dedup, neardup, packing, quality, url_lists, word_ids
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, root string, key string"
+
+
+def docs_of(spark, texts, langs=None):
+    rows = [(i, t, langs[i] if langs else "en", "s", len(t or ""), "r", "k") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}x" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def near_texts():
+    rng = random.Random(3)
+    base = [words(rng, 120) for _ in range(6)]
+    out = [None, "", "  \n ", "one", "ONE", "one two", words(rng, 3000)]
+    for b in base:
+        for k in (0, 0, 1, 2, 5, 9):
+            w = b.split(" ")
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+    return out
+
+
+def shingles(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def test_near_duplicates(spark, near_texts):
+    found = {r["doc_id"]: r for r in neardup.near_duplicates(docs_of(spark, near_texts), width=3, percent=85).collect()}
+    sets = [shingles(t, 3) for t in near_texts]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        i = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * i >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert {i: (len(s), root(i), root(i) == i) for i, s in enumerate(sets)} == {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in found.items()}
+    kept = neardup.keep_one(docs_of(spark, near_texts), width=3, percent=85)
+    assert kept.columns == docs_of(spark, ["x"]).columns
+    assert kept.count() == sum(root(i) == i for i in range(len(sets)))
+    assert neardup.near_duplicates(docs_of(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_block_links_equal_pairs(spark, near_texts):
+    """Large buckets: the block path finds what pairs find."""
+    df = docs_of(spark, near_texts)
+    old = neardup.SMALL, neardup.BLOCK
+    neardup.SMALL, neardup.BLOCK = 0, 2
+    try:
+        a = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, width=3, percent=85).collect()}
+    finally:
+        neardup.SMALL, neardup.BLOCK = old
+    assert a == {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df, width=3, percent=85).collect()}
+
+
+def test_estimate_is_near_the_truth():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    a, b = np.unique(x[:800]), np.unique(x[100:])
+    r = neardup.sketch([a, b, a[:3]])
+    assert abs(neardup.estimated_similarity(r[0], r[1]) - 700 / 900) < 0.12
+    assert (r != 0).all() or r.shape == (3, neardup.REGISTERS)
+
+
+def test_components(spark):
+    edges = [(i + 1, i) for i in range(30)] + [(50, 40), (60, 50), (70, 70)]
+    found = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
+    want = {i: 0 for i in range(31)} | {40: 40, 50: 40, 60: 40}
+    assert {r["node"]: r["root"] for r in found.collect()} == want
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_quality_counts(spark):
+    rng = random.Random(1)
+    texts = [None, "", "a b", "a b c a b c", "x y z x y z q\n# $\n# $\n \n", " ".join("ab"[rng.random() < 0.5] for _ in range(300)), "é" * 70, words(rng, 40_000, 60)]
+    out = {r["doc_id"]: r for r in quality.quality_rules(docs_of(spark, texts), spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        at = Counter()
+        places = {}
+        for k in range(len(w) - 2):
+            places.setdefault(tuple(w[k : k + 3]), []).append(k)
+        covered = {p + k for v in places.values() if len(v) > 1 for p in v for k in range(3)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+        r = out[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, i
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and r["kept"] == (not r["base_failed"]), at
+
+
+def test_quality_cutoffs_reject_bad_and_keep_good(spark):
+    rng = random.Random(2)
+    texts, labels = [], []
+    for i in range(2600):
+        w = [f"{rng.randrange(10**6)}word" for _ in range(60)]
+        bad = i % 4 == 0
+        texts.append(" ".join(x + "%%%" * bad for x in w))
+        labels.append((i, 0 if bad else 1))
+    labels += [(0, 0), (None, 1), (5, None)]
+    found = quality.quality_rules(docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = {r["doc_id"] for r in found.where("kept").collect()}
+    assert kept == {i for i in range(2600) if i % 4}
+    few = quality.quality_rules(docs_of(spark, texts[:80]), spark.createDataFrame(labels[:80], "doc_id long, quality int"))
+    assert few.where("kept").count() == 80  # too few labels prove nothing
+    filtered = quality.quality_filter(docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert filtered.count() == len(kept) and filtered.columns == docs_of(spark, ["x"]).columns
+
+
+def test_binomial_tail(spark):
+    from math import comb, exp
+
+    for n, k, p in ((50, 0, 0.01), (200, 3, 0.05), (30, 30, 0.2)):
+        got = spark.sql(f"select {quality._log_tail(f'{n}L', f'{k}L', p)} x").first()["x"]
+        assert abs(exp(got) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-9
+
+
+def brute_bins(items, cap):
+    best = [len(items)]
+    items = sorted(items, reverse=True)
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for j in {b: j for j, b in enumerate(bins) if b + items[i] <= cap}.values():
+            bins[j] += items[i]
+            go(i + 1, bins)
+            bins[j] -= items[i]
+        bins.append(items[i])
+        go(i + 1, bins)
+        bins.pop()
+
+    go(0, [])
+    return best[0]
+
+
+def test_reduction_loses_nothing():
+    rng = random.Random(5)
+    for _ in range(150):
+        cap = rng.choice([10, 20, 30])
+        items = [rng.randint(1, cap) for _ in range(rng.randint(1, 9))]
+        fixed, rest = packing.reduce_dominated(Counter(items), cap)
+        left = list(rest.elements())
+        assert sum(m for _, m in fixed) + (brute_bins(left, cap) if left else 0) == brute_bins(items, cap), items
+        got = Counter()
+        for pattern, m in packing.plan_sequences(Counter(items), cap):
+            assert sum(w * k for w, k in pattern) <= cap
+            for w, k in pattern:
+                got[w] += k * m
+        assert got == Counter(items)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return public_tokenizers.path("word_bpe_49k.json"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+TRICKY = ["", "it's DON'T we'll,", "Éa über. naïve…ok ΑΣ ΟΔΟΣ", "a<|endoftext|>b <|STARTOFTEXT|>", "é x y\x1fz 4.0, 12", "a" * 300, "..,., ,a,", "́a ½ Ⅷ"]
+
+
+def test_word_ids_equal_the_tokenizer(tokenizer):
+    path, t = tokenizer
+    got = word_ids.WordIds(path).encode([None, *TRICKY])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[]] + [t.encode(x, add_special_tokens=False).ids for x in TRICKY]
+
+
+def test_packing_round_trip(spark, tokenizer):
+    rng = random.Random(4)
+    texts = [None, *TRICKY, words(rng, 3000), words(rng, 40), words(rng, 40)]
+    out = packing.pack_documents(docs_of(spark, texts), capacity=64, with_ids=True).collect()
+    for i, t in enumerate(texts):
+        ids = np.array(tokenizer[1].encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        own = sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert b"".join(bytes(r["ids_le32"]) for r in own) == ids.tobytes()
+        assert [r["start"] for r in own] == list(range(0, len(ids), 64)) and all(zlib.crc32(bytes(r["ids_le32"])) == r["ids_crc32"] for r in own)
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == list(itertools.accumulate([0] + [n for _, n in s]))[:-1] and sum(n for _, n in s) <= 64
+    assert packing.pack_documents(docs_of(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_contamination(spark):
+    rng = random.Random(6)
+    items = [words(rng, 20, 5000), words(rng, 40, 5000), "too short", None, words(rng, 12, 5000)]
+    texts = [None, "", words(rng, 8000, 5000), items[0].upper().replace(" ", "  ,"), words(rng, 4000, 5000) + " " + items[1] + " " + words(rng, 4000, 5000), " ".join(items[1].split()[:20]), items[4] + " " + items[4], "too short"]
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)})(re.findall(r"[^\W_]+", (t or "").lower()))
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if grams(x) and 100 * len(grams(x) & grams(t)) >= 80 * len(grams(x))}
+    for block in (1_000_000, 30):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, texts), asked, block_shingles=block).collect()} == want
+    clean = decontaminate.decontaminate(docs_of(spark, texts), asked)
+    assert {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in want} and clean.columns == docs_of(spark, ["x"]).columns
+    assert decontaminate.contaminated(docs_of(spark, texts), asked.limit(0)).count() == 0
+
+
+def test_line_dedup(spark):
+    rng = random.Random(7)
+    line = [" ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(40)) for _ in range(5)]
+    near = line[0].replace(line[0].split()[5], line[0].split()[5] + "s", 1)
+    texts = [None, "", "---\n---", f"{line[0]}\n{line[1]}\n\nHi there", f"{near}\nHi, THERE!\n{line[2]}", f"{line[1]}\n{line[1]}", f"{line[3]}\npage 12\npage 7"]
+    out = {r["doc_id"]: r["dropped"] for r in line_dedup.repeated_lines(docs_of(spark, texts)).collect()}
+    sims = line_dedup.simhashes([line[0].split(), near.split()])
+    linked = bin(int(sims[0]) ^ int(sims[1])).count("1") <= line_dedup.DISTANCE
+    assert out == {0: [], 1: [], 2: [], 3: [], 4: [0, 1] if linked else [1], 5: [0, 1], 6: [2]}
+    new = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(docs_of(spark, texts)).collect()}
+    assert set(new) == {0, 1, 2, 3, 4, 6} and new[6]["text"] == f"{line[3]}\npage 12" and new[6]["n_chars"] == len(new[6]["text"]) and new[0]["text"] is None
+
+
+def test_edit_similarity():
+    def lev(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    rng = random.Random(8)
+    for _ in range(600):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(2))
+        m = max(len(a), len(b))
+        assert line_dedup.edit_similar(a, b, 80) == (100 * (m - lev(a, b)) >= 80 * m)
+
+
+def test_html():
+    w = html_text.tag_weights(Counter())
+    page = "<html><head><title>x</title></head><body><header><h1>Site</h1></header><nav><a href=x>one</a></nav><div class='cookie-notice'>We use cookies a lot</div><div class=post><h1>Title here</h1><p>First para with words &amp; more&nbsp;text.<ul><li>a b</li><li>c</li></ul><p>Second <b>bold</b>thing</div><aside>Side</aside><section id=comments><p>Great post!</p></section><form>name<input></form><script>var a='</p>'</script><footer>me</footer></body></html>"
+    assert html_text.main_text(page, w) == "Title here\nFirst para with words & more text.\na b\nc\nSecond boldthing"
+    assert [html_text.main_text(p, w) for p in (None, "", "<p>x", "just text", "<nav>open <p>Hi there", "a < b")] == ["", "", "x", "just text", "open\nHi there", "a < b"]
+    assert html_text.best_region([-1, 2, -1, 3, -5, 4]) == (1, 4) and html_text.best_region([-1.0]) == (0, 0)
+
+
+def test_html_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<body><nav>menu menu</nav><article><h1>A b</h1><p>c d.<br>e</article><footer>f</footer>"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
+    out = html_text.extract_text(pages).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in out) == [(1, "A b\nc d. e", 10), (2, "", 0), (2, "", 0)]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_language(spark):
+    rng = random.Random(9)
+    sound = {"aa": "bcd", "bb": "xyz"}
+    make = lambda g: " ".join("".join(rng.choice(sound[g] + "ae") for _ in range(6)) for _ in range(40))
+    langs = [("aa", "bb")[i % 2] for i in range(120)] + [None, "aa", "bb"]
+    texts = [make(g) for g in langs[:120]] + [make("aa"), None, " 12 !"]
+    out = {r["doc_id"]: r for r in lang_id.identify_languages(docs_of(spark, texts, langs)).collect()}
+    assert sum(out[i]["lang_pred"] == langs[i] for i in range(120) if out[i]["held_out"]) / sum(out[i]["held_out"] for i in range(120)) > 0.95
+    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in out)
+    assert out[120]["lang_pred"] == "aa" and out[121]["lang_pred"] == out[122]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in out.values())
+    none = lang_id.identify_languages(docs_of(spark, ["abc"], [None])).first()
+    assert none["lang_pred"] == "und"
+
+
+def test_url_lists(spark):
+    events = spark.createDataFrame([("l", "block", "bad.com", "add", 10), ("l", "block", "bad.com", "remove", 20), ("l", "block", "bad.com", "add", 20), ("w", "allow", "bad.com/ok", "add", 5), ("l", "block", None, "add", 1)], "list_name string, verdict string, pattern string, action string, at int")
+    urls = [("http://www.Bad.com./x", 9), ("https://a.bad.com:80/x", 10), ("http://bad.com/ok/page?q", 15), ("http://bad.com/x", 20), ("http://notbad.com/", 15), (None, 15), ("nonsense", 15), ("http://bad.com/", None)]
+    caps = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(urls)], "capture_id long, url string, fetched_at int")
+    out = {r["capture_id"]: r["decision"] for r in url_lists.filter_captures(caps, events).collect()}
+    assert out == {0: "none", 1: "block", 2: "allow", 3: "none", 4: "none", 5: "none", 6: "none", 7: "none"}
+    assert url_lists.filter_captures(caps, events.limit(0)).where("decision <> 'none'").count() == 0
+
+
+def test_fixity(spark):
+    rows = [("f", i * 100, f"payload {i}" * 3) for i in range(200)] + [("g", 0, None), (None, 1, "x")]
+    left = spark.createDataFrame(rows, "file string, offset long, payload string")
+    assert fixity.audit_replicas(left, left, range_bytes=500, fanout=4).count() == 0
+    damaged = [(f, o, "broken" if o == 700 and f else p) for f, o, p in rows if o != 12_300] + [("f", 55, "more"), ("h", 0, "new")]
+    right = spark.createDataFrame(damaged, "file string, offset long, payload string")
+    out = {(r["file"], r["offset"], r["kind"]) for r in fixity.audit_replicas(left, right, range_bytes=500, fanout=4).collect()}
+    assert out == {("f", 700, "changed"), ("f", 12_300, "missing"), ("f", 55, "extra"), ("h", 0, "extra")}
+
+
+def test_licenses(spark):
+    rows = [(1, "p/LICENSE", "MIT License\nReleased under the MIT License."), (2, "p/a/b.py", "x"), (3, "p/c/LICENSE.txt", "Licensed under CC BY-NC 4.0"), (4, "p/c/d/e.py", None), (5, "q/f.py", "no"), (6, "p/c/g.py", "# Licensed under the Apache License, Version 2.0."), (7, None, "text")]
+    out = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert out == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("CC-BY-NC-4.0", "own"), 4: ("CC-BY-NC-4.0", "inherited"), 5: (None, "none"), 6: ("Apache-2.0", "own"), 7: (None, "none")}
+
+
+def test_pipeline_on_the_smallest_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, sf).columns == docs.columns, name
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0 and "sequence_id" in out.columns
