@@ -318,3 +318,40 @@ def test_pipeline_on_the_smallest_tables(spark):
         assert stage(spark, docs, sf).columns == docs.columns, name
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_line_dedup_finds_small_edits(spark):
+    """Brute-force edit similarity and the buckets agree for lines of all lengths, from one word on."""
+    rng = random.Random(11)
+    texts = []
+    for n in [1, 2, 3, 4] * 3 + [5, 8, 12, 20, 35, 60, 120]:
+        w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(12 if n == 1 else 7)) for _ in range(n)]
+        line = " ".join(w)
+        at = rng.randrange(len(line))
+        texts += [line, line[:at] + "z" + line[at + 1 :]]
+        if n >= 12:
+            w[n // 2] = "other"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    norms = [" ".join(line_dedup.line_words(t)) for t in texts]
+    parent = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if line_dedup.edit_similar(norms[a], norms[b], 90):
+            x, y = sorted((parent[a], parent[b]))
+            parent = [x if p == y else p for p in parent]
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.repeated_lines(docs_of(spark, texts)).collect()}
+    assert out == {i: int(p != i) for i, p in enumerate(parent)} and sum(out.values()) > 20
+
+
+def test_short_lines_share_a_piece():
+    """Every pair of short similar lines has a key in common, whatever the edits."""
+    rng = random.Random(12)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(10, 75)))
+        b = list(a)
+        for _ in range(rng.randint(1, len(a) // 10)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(("", "a", "c"))
+        b = "".join(b)
+        if line_dedup.edit_similar(a, b, 90) and max(len(a), len(b)) < 80 and a != b:
+            assert line_dedup.piece_keys(a, 90) & line_dedup.piece_keys(b, 90), (a, b)
