@@ -3,7 +3,10 @@
 A page becomes a row of tags and text runs, without comments, declarations,
 ``head``, raw-text elements (scripts, styles ...) and without subtrees that
 their element, role, class or id marks as menu, page header or footer, sidebar,
-notice, advert, form or reader comments.  Every word scores ``word``, every tag
+notice, advert, form or reader comments.  A mark is a whole class or id, or a
+part of one that does not begin with has-, no-, with- and the like.  Nothing is
+left out that holds the page's first ``main`` or ``article``, and on a page
+without these no form, role, class or id leaves out most of its words.  Every word scores ``word``, every tag
 a negative weight; one linear scan (Kadane, 1984; Bentley, 1984) finds the
 contiguous region of the largest sum.  Blocks that have text in the region are
 the main text.
@@ -60,6 +63,10 @@ MARKS = frozenset(
     "notification alert popup modal overlay paywall newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
     "footer masthead related recommended share sharing social toolbar widget widgets comment comments commentlist respond replies disqus search skip hidden".split()
 )
+#: a class or id that begins so tells of a state of the page or of what is in it
+STATES = frozenset("has have no not non with without is in hide show enable enabled disable disabled supports".split())
+#: elements that are left out by name, but not with most of a page's words
+WRAPPERS = frozenset("form fieldset aside".split())
 HEADS = frozenset(("header", "topbar", "site-header", "page-header"))
 SCALE, WORD = 12.0, 1.0
 #: how often a tag counts as seen outside before any page is: links more than others
@@ -70,67 +77,94 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw else {}
 
 
-def _marked(name: str, raw: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its own name or attributes."""
-    if name in HIDDEN or (name == "header" and not inside):
-        return True
-    if not raw or name in LABELS or name in ("body", "html"):
-        return False
+def _marked(name: str, raw: str, inside: bool) -> str:
+    """How an element is boilerplate by its own name or attributes: not at all '', ``unseen``, or by ``name`` or ``mark``."""
     a = _attributes(raw)
-    if not a:
-        return False
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
+    if name not in LABELS and name not in ("body", "html") and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()):
+        return "unseen"
+    if name in WRAPPERS:
+        return "mark"
+    if name in HIDDEN or (name == "header" and not inside):
+        return "name"
+    if not a or name in LABELS or name in ("body", "html"):
+        return ""
     if a.get("role", "").lower() in ROLES:
-        return True
-    words = (a.get("class", "") + " " + a.get("id", "")).lower()
-    parts = set(re.split(r"[^a-z0-9]+", words))
-    return bool(parts & MARKS) or any(x.startswith("comment") for x in parts) or (not inside and bool(set(words.split()) & HEADS))
-
-
-def page_tokens(page: str) -> list[tuple[str, str]]:
-    """(tag, '') and ('', text) in page order, boilerplate left out; tags that close begin with /."""
-    found: list[tuple[str, str]] = []
-    ends = Counter(m.lower() for m in re.findall(r"</([a-zA-Z][^\s/>]*)", page))
-    at, size, inside = 0, len(page), 0
-    skip, depth = "", 0  # the hidden element and how many of its name are open
+        return "mark"
+    words = (a.get("class", "") + " " + a.get("id", "")).lower().split()
+    for word in words:
+        parts = re.split(r"[^a-z0-9]+", word.strip("-_"))
+        if parts[0] not in STATES and not MARKS.isdisjoint(parts):
+            return "mark"
+    return "mark" if not inside and not HEADS.isdisjoint(words) else ""
+
+
+def _all_tokens(page: str) -> list[tuple[str, bool, str]]:
+    """(tag, closes, attributes) and ('', False, text) in page order, without comments and raw-text elements."""
+    found: list[tuple[str, bool, str]] = []
+    at, size = 0, len(page)
     match = TOKEN.match
+    endless: set[str] = set()  # raw-text elements with no end from here on
     while at < size:
         m = match(page, at)
         if m is None:  # a tag that the page's end cuts off
             break
         at = m.end()
-        name = m[2]
-        if name is None:
-            if m[4] and not skip:
-                found.append(("", m[4]))
+        if m[2] is None:
+            if m[4]:
+                found.append(("", False, m[4]))
             continue
-        name, closes = name.lower(), bool(m[1])
-        if closes:
-            ends[name] -= 1
+        name, closes = m[2].lower(), bool(m[1])
         if not closes and name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             if end:
                 at = end.end()
-                ends[name] -= 1
-            elif name not in ("textarea", "title"):
+            elif name in ("textarea", "title"):
+                endless.add(name)
+            else:
                 at = size
             continue
-        if skip:
-            if name == skip and name not in VOID:
-                depth += -1 if closes else 1
-                if not depth:
-                    skip = ""
+        found.append((name, closes, m[3]))
+    return found
+
+
+def page_tokens(page: str) -> list[tuple[str, str]]:
+    """(tag, '') and ('', text) in page order, boilerplate left out; tags that close begin with /."""
+    tokens = _all_tokens(page)
+    ends: dict[int, int] = {}  # where each element that is closed ends
+    open_at: dict[str, list[int]] = {}
+    mains: list[int] = []  # the first of each label
+    before = [0]  # words before each token
+    for i, (name, closes, rest) in enumerate(tokens):
+        before.append(before[-1] + (0 if name else len(rest.split())))
+        if not name or name in VOID:
+            continue
+        if not closes:
+            open_at.setdefault(name, []).append(i)
+            if name in LABELS and all(tokens[k][0] != name for k in mains):
+                mains.append(i)
+        elif open_at.get(name):
+            ends[open_at[name].pop()] = i
+    found: list[tuple[str, str]] = []
+    i, inside = 0, 0
+    while i < len(tokens):
+        name, closes, rest = tokens[i]
+        i += 1
+        if not name:
+            found.append(("", rest))
             continue
         if closes:
             if name in LABELS:
                 inside = max(0, inside - 1)
-        elif name in VOID or m[3].endswith("/"):
+        elif name in VOID or rest.endswith("/"):
             pass
-        elif _marked(name, m[3], inside > 0):
-            if ends[name] > 0:
-                skip, depth = name, 1
-            continue
+        elif mark := _marked(name, rest, inside > 0):
+            end = ends.get(i - 1)
+            if end is None:
+                continue
+            most = mark == "mark" and not mains and 2 * (before[end] - before[i]) > before[-1]
+            if mark == "unseen" or not (most or any(i <= k < end for k in mains)):
+                i = end + 1
+                continue
         elif name in LABELS:
             inside += 1
         found.append(("/" + name if closes else name, ""))

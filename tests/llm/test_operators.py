@@ -355,3 +355,17 @@ def test_short_lines_share_a_piece():
         b = "".join(b)
         if line_dedup.edit_similar(a, b, 90) and max(len(a), len(b)) < 80 and a != b:
             assert line_dedup.piece_keys(a, 90) & line_dedup.piece_keys(b, 90), (a, b)
+
+
+def test_html_wrappers_keep_the_article():
+    """A mark on what wraps the content hides nothing; marks beside it still do."""
+    w = html_text.tag_weights(Counter())
+    body = " ".join(f"word{i}" for i in range(40))
+    for wrap in ("div class='site has-sidebar'", "div id=content class='no-comments'", "section class=commentary", "div class='with-widget'", "div class='sidebar'", "form id=aspnet", "div role=form", "nav"):
+        name = wrap.split()[0]
+        for inner in (f"<article><p>{body}</p></article>", f"<main><p>{body}</p></main>") + ((f"<p>{body}</p>",) if name != "nav" else ()):
+            page = f"<body><{wrap}>{inner}</{name}><div class='ad'>buy this</div><footer>me</footer></body>"
+            assert html_text.main_text(page, w) == body, (wrap, inner)
+    thread = "".join(f"<article class=comment-body>{body}</article>" for _ in range(3))
+    assert html_text.main_text(f"<article><p>{body}</p></article><div id=comments>{thread}</div>", w) == body
+    assert html_text.main_text(f"<article><p>{body}</p></article><div hidden>{body}</div><aside>Side</aside>", w) == body
