@@ -369,3 +369,23 @@ def test_html_wrappers_keep_the_article():
     thread = "".join(f"<article class=comment-body>{body}</article>" for _ in range(3))
     assert html_text.main_text(f"<article><p>{body}</p></article><div id=comments>{thread}</div>", w) == body
     assert html_text.main_text(f"<article><p>{body}</p></article><div hidden>{body}</div><aside>Side</aside>", w) == body
+
+
+def test_licence_blocks(spark):
+    """Wrapped headers and whole licence files are compared as one, in comments and without a title line."""
+    import textwrap
+
+    full = {name: text for name, text in licenses.BLOCKS if len(text) > 150}
+    wrap = lambda text, mark="": "\n".join(mark + x for x in textwrap.wrap(text, 60))
+    rows = [(k, f"h{k}.py", f"{mark}Copyright (C) 2020 A. Person\n{mark}\n{wrap(text, mark)}\n\nimport os\nx = 1\n") for k, (text, mark) in enumerate((t, m) for t in full.values() for m in ("# ", " * ", "// "))]
+    want = {k: name for k, name in enumerate(n for n in full for _ in range(3))}
+    titles = {100: ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Preamble\n"), 101: ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nmore"), 102: ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nmore"), 103: ("BSD-3-Clause", "Copyright 2020 X\n\n" + wrap(full["BSD-3-Clause"])), 104: ("BSD-2-Clause", "Copyright 2020 X\n\n" + wrap(full["BSD-2-Clause"]))}
+    for k, (name, text) in titles.items():
+        rows += [(k, f"d{k}/LICENSE", text), (k + 100, f"d{k}/a/b.py", "x = 1")]
+        want |= {k: name, k + 100: name}
+    for k, (name, counts) in enumerate(licenses.FULL_TEXTS):
+        words = counts.split()
+        rows.append((300 + k, f"e{k}/COPYING", wrap(" ".join(" ".join([t] * int(n)) for t, n in zip(words[::2], words[1::2])))))
+        want[300 + k] = name
+    out = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert out == {k: (name, "inherited" if 200 <= k < 300 else "own") for k, name in want.items()}
