@@ -15,7 +15,17 @@ The cutoffs are learned per stratum from labelled documents:
 With probability 1 - alpha, no rule falsely rejects more than ``risk`` of the
 good documents of any stratum; ``risk`` is ``total_risk`` shared evenly by the
 rules, so all rules together stay within ``total_risk``.  A stratum with too
-few labels to prove anything gets no cutoff and loses nothing to these rules.
+few labels to prove anything gets no cutoff and loses nothing to these rules:
+with four strata that is one of fewer than 970 good holdout documents.
+
+``joint`` cutoffs, which ``quality_filter`` uses, need few labels.  A level is one
+quantile for all rules at once; levels are tested from the mildest on, each for
+all rules together at ``total_risk`` and alpha / strata, up to the first that
+fails (fixed-sequence testing), so 86 good holdout documents are enough with four
+strata.  Each rule then has the best of its useful cutoffs that are no lower than
+the last level's, which reject no more than that level does.
+``quality_rules`` keeps the separate tests, which its SQL fixes.
+``strata_report`` tells which strata have cutoffs.
 
 Nulls and edges: a null text has no words (all counts 0, base_failed true); a
 null stratum is a stratum of its own; unlabelled strata have no cutoffs; null
@@ -110,7 +120,7 @@ def _log_tail(n: str, k: str, p: float) -> str:
     )
 
 
-def risk_cutoffs(counts: DataFrame, labels: DataFrame, *, total_risk: float = 0.05, alpha: float = 0.05, min_lift: float = 10.0) -> DataFrame:
+def risk_cutoffs(counts: DataFrame, labels: DataFrame, *, total_risk: float = 0.05, alpha: float = 0.05, min_lift: float = 10.0, joint: bool = False) -> DataFrame:
     """(stratum, rule, cutoff, n_good, n_false) of the cutoffs that hold.
 
     counts: (doc_id, stratum, c struct of COUNTS); labels: (doc_id, quality),
@@ -121,6 +131,7 @@ def risk_cutoffs(counts: DataFrame, labels: DataFrame, *, total_risk: float = 0.
     rows = (
         counts.join(one, "doc_id")
         .select(
+            "doc_id",
             "stratum",
             (F.col("q") > 0).alias("good"),
             (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8").alias("proposes"),
@@ -146,13 +157,49 @@ def risk_cutoffs(counts: DataFrame, labels: DataFrame, *, total_risk: float = 0.
     )
     held = materialize(held, "quality-held")
     strata = max(1, held.select("stratum").distinct().count())
+    if joint:
+        floors = _joint_floors(rows, total_risk, alpha / strata).withColumnsRenamed({"stratum": "st", "rule": "ru"})
+        valid = held.join(floors, F.col("stratum").eqNullSafe(F.col("st")) & (F.col("rule") == F.col("ru"))).where("cutoff >= floor")
+        return _best_cutoffs(valid, min_lift)
     level = alpha / (strata * len(RULES) * len(QUANTILES))
     valid = held.where((F.col("n_good") > 0) & (F.col("n_false") <= F.floor(F.col("n_good") * risk))).where(F.expr(_log_tail("n_good", "n_false", risk)) <= F.log(F.lit(level)))
+    return _best_cutoffs(valid, min_lift)
+
+
+def _best_cutoffs(valid: DataFrame, min_lift: float) -> DataFrame:
     useful = valid.where((F.col("n_hit") > 0) & (F.col("n_hit") * F.col("n_good") >= min_lift * F.col("n_false") * F.col("n_bad")))
     best = F.max_by(F.struct("cutoff", "n_good", "n_false"), F.struct("n_hit", -F.col("n_false"), F.col("cutoff")))
     return useful.groupBy("stratum", "rule").agg(best.alias("b")).select("stratum", "rule", "b.*")
 
 
+def _joint_floors(rows: DataFrame, risk: float, level: float) -> DataFrame:
+    """(stratum, rule, floor): the cutoffs of the strictest level that holds for all rules together."""
+    at = F.percentile("x", F.array(*map(F.lit, QUANTILES))).alias("cuts")
+    cuts = rows.where("proposes and good").groupBy("stratum", "rule").agg(at).select("stratum", "rule", F.posexplode("cuts").alias("level", "floor"))
+    cuts = materialize(cuts, "quality-levels")
+    both = rows.where("good and not proposes").join(cuts.withColumnsRenamed({"stratum": "st", "rule": "ru"}), F.col("stratum").eqNullSafe(F.col("st")) & (F.col("rule") == F.col("ru")))
+    docs = both.groupBy("stratum", "level", "doc_id").agg(F.max((F.col("x") > F.col("floor")).cast("int")).alias("over"))
+    tested = docs.groupBy("stratum", "level").agg(F.count("*").alias("n_good"), F.sum("over").alias("n_false"))
+    fits = F.coalesce((F.col("n_false") <= F.floor(F.col("n_good") * risk)) & (F.expr(_log_tail("n_good", "n_false", risk)) <= F.log(F.lit(level))), F.lit(False))
+    # QUANTILES rise: the mildest level is the last, and those below a failure are not tested
+    last = tested.groupBy("stratum").agg(F.max(F.when(~fits, F.col("level"))).alias("failed")).withColumnsRenamed({"stratum": "st"})
+    return cuts.join(last, F.col("stratum").eqNullSafe(F.col("st"))).where("failed is null or level > failed").groupBy("stratum", "rule").agg(F.min("floor").alias("floor"))
+
+
+def strata_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **risk: float) -> DataFrame:
+    """(stratum, n_docs, n_good, n_cutoffs): good holdout labels and rules with a cutoff of every stratum; 0: only the base rules hold."""
+    counts = materialize(_text_rows(docs, id_col, text_col, stratum_col), "quality-counts")
+    found = risk_cutoffs(counts, labels, **risk).groupBy("stratum").agg(F.count("*").alias("n_cutoffs")).withColumnsRenamed({"stratum": "__st"})
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
+    held = F.col("good") & (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) >= "8")
+    strata = counts.join(good, "doc_id", "left").groupBy("stratum").agg(F.count("*").alias("n_docs"), F.count_if(F.coalesce(held, F.lit(False))).alias("n_good"))
+    return strata.join(found, F.col("stratum").eqNullSafe(F.col("__st")), "left").select("stratum", "n_docs", "n_good", F.coalesce("n_cutoffs", F.lit(0)).alias("n_cutoffs"))
+
+
+def _text_rows(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text_counts(text_col).alias("c"))
+
+
 def _with_verdict(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Adds ``base_failed`` and ``kept`` to rows of (stratum, c, ...)."""
     table = materialize(cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).select(F.col("stratum").alias("__st"), *(F.col(r).alias(f"__{r}") for r in RULES)), "quality-cutoffs")
@@ -171,21 +218,21 @@ def _with_verdict(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **risk: float) -> DataFrame:
     """(doc_id, COUNTS..., base_failed, kept) for every row of ``docs``."""
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text_counts(text_col).alias("c"))
+    counts = _text_rows(docs, id_col, text_col, stratum_col)
     counts = materialize(counts, "quality-counts")
     rows = _with_verdict(counts, risk_cutoffs(counts, labels, **risk))
     return rows.select("doc_id", "c.*", "base_failed", "kept")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **risk: float) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns as they were.
+    """The rows of ``docs`` that are kept under joint cutoffs, with their columns as they were.
 
     The counts are computed twice, once to learn and once to filter in place:
     that is cheaper than a join that would move every text.
     """
     own = docs.columns
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text_counts(text_col).alias("c"))
+    counts = _text_rows(docs, id_col, text_col, stratum_col)
     counts = materialize(counts, "quality-counts")
-    cutoffs = risk_cutoffs(counts, labels, **risk)
+    cutoffs = risk_cutoffs(counts, labels, **({"joint": True} | risk))
     packed = docs.select(F.struct(*own).alias("row"), F.col(stratum_col).cast("string").alias("stratum"), text_counts(text_col).alias("c"))
     return _with_verdict(packed, cutoffs).where("kept").select("row.*")

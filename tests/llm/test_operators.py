@@ -389,3 +389,21 @@ def test_licence_blocks(spark):
         want[300 + k] = name
     out = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert out == {k: (name, "inherited" if 200 <= k < 300 else "own") for k, name in want.items()}
+
+
+def test_quality_filter_with_few_labels(spark):
+    """Joint cutoffs hold in strata that the separate tests leave without a rule."""
+    rng = random.Random(13)
+    texts, labels, langs = [], [], []
+    for i in range(1000):
+        bad = i % 4 == 0
+        texts.append(" ".join(f"{rng.randrange(10**6)}word" + "%%%" * bad for _ in range(60)))
+        labels.append((i, 0 if bad else 1))
+        langs.append("en" if i < 900 else None)
+    docs, marks = docs_of(spark, texts, langs), spark.createDataFrame(labels, "doc_id long, quality int")
+    joint = {r["stratum"]: (r["n_docs"], r["n_cutoffs"] > 0) for r in quality.strata_report(docs, marks, joint=True).collect()}
+    assert joint == {"en": (900, True), None: (100, False)}
+    assert all(r["n_cutoffs"] == 0 for r in quality.strata_report(docs, marks).collect())
+    kept = {r["doc_id"] for r in quality.quality_filter(docs, marks).collect()}
+    good = {i for i in range(900) if i % 4}
+    assert not any(i % 4 == 0 for i in kept if i < 900) and len(good - kept) <= 0.05 * len(good) and set(range(900, 1000)) <= kept
