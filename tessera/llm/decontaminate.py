@@ -19,6 +19,10 @@ of at most ``block_shingles`` shingles (hash and place: about 16 bytes each and
 partition in use), one pass over the documents a block; nothing else is
 broadcast, and nothing is shuffled.
 
+Items of which a document need hold fewer than ``SKETCHED`` shingles are not left
+to that chance: their shingles are keys themselves, every shingle of a document
+is looked up, and none is missed.
+
 Words are runs of letters and digits in any case and script, so marks and
 spacing do not hide a passage.  Nulls and edges: null or empty texts, and items
 of fewer than ``width`` words, have no shingles and match nothing; repeated
@@ -42,6 +46,8 @@ from .shingles import U, WordHashes, grams, mix
 
 WORD = re.compile(r"[^\W_]+")
 OVERSAMPLE = 4
+#: shingles that must be shared for the sketches to be relied on
+SKETCHED = 8
 
 _words: dict = {}
 
@@ -71,22 +77,34 @@ def minhash(shingles: np.ndarray, partition: int) -> tuple[np.ndarray, np.ndarra
 class ItemIndex:
     """Sketches and shingle sets of a block of items."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray]):
+    def __init__(self, ids: list, sets: list[np.ndarray], percent: int):
         self.ids, self.sets = ids, sets
         self.partitions: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        every = np.concatenate(sets) if sets else np.empty(0, U)
-        self.filter = np.zeros(1 << 22, bool)  # passes every least hash of an item
-        self.filter[(mix(every, 3) & U((1 << 22) - 1)).astype(np.int64)] = True
+        self.exact = np.array([-(-percent * len(s) // 100) < SKETCHED for s in sets], bool)
+        few = [i for i in range(len(sets)) if self.exact[i]]
+        self.filter = self._filter([s for i, s in enumerate(sets) if not self.exact[i]])  # passes every least hash of an item
+        self.few_filter = self._filter([sets[i] for i in few])
+        keys = mix(np.concatenate([sets[i] for i in few]), 3) if few else np.empty(0, U)
+        order = np.argsort(keys, kind="stable")
+        self.few = keys[order], np.repeat(np.array(few, np.int64), [len(sets[i]) for i in few])[order]
+
+    @staticmethod
+    def _filter(sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(1 << 22, bool)
+        if sets:
+            out[(mix(np.concatenate(sets), 3) & U((1 << 22) - 1)).astype(np.int64)] = True
+        return out
 
     def at(self, partition: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted least hashes of all items' buckets, and whose they are."""
         if partition not in self.partitions:
             least, owner = [], []
-            for i, s in enumerate(self.sets):
+            for i in np.flatnonzero(~self.exact):
+                s = self.sets[i]
                 _, h = minhash(s, partition)
                 least.append(h)
                 owner.append(np.full(len(h), i))
-            least, owner = np.concatenate(least), np.concatenate(owner)
+            least, owner = (np.concatenate(least), np.concatenate(owner)) if least else (np.empty(0, U), np.empty(0, np.int64))
             order = np.argsort(least, kind="stable")
             self.partitions[partition] = least[order], owner[order]
         return self.partitions[partition]
@@ -95,19 +113,24 @@ class ItemIndex:
         """(item, estimated containment) of the items that agree with the document in a bucket."""
         if not len(shingles) or not self.sets:
             return []
-        p = size_partition(len(shingles))
-        _, least = minhash(shingles, p)
-        # equal least hashes are in equal buckets: the bucket is the hash's upper bits
-        least = least[self.filter[(least & U((1 << 22) - 1)).astype(np.int64)]]
-        keys, owner = self.at(p)
-        low, high = np.searchsorted(keys, least, "left"), np.searchsorted(keys, least, "right")
+        found = np.zeros(len(self.sets), np.int64)
+        if len(self.few[0]):
+            found += self._owners(mix(shingles, 3), self.few_filter, *self.few)
+        if not self.exact.all():
+            p = size_partition(len(shingles))
+            # equal least hashes are in equal buckets: the bucket is the hash's upper bits
+            found += self._owners(minhash(shingles, p)[1], self.filter, *self.at(p))
+        return [(i, found[i] / len(self.sets[i])) for i in np.flatnonzero(found)]
+
+    def _owners(self, hashes: np.ndarray, passes: np.ndarray, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """How many of the hashes are keys of each item."""
+        hashes = hashes[passes[(hashes & U((1 << 22) - 1)).astype(np.int64)]]
+        low, high = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
         hits = high - low
         if not hits.any():
-            return []
+            return np.zeros(len(self.sets), np.int64)
         at = np.repeat(low - np.r_[0, np.cumsum(hits)[:-1]], hits) + np.arange(hits.sum())
-        found = np.bincount(owner[at], minlength=len(self.sets))
-        return [(i, found[i] / len(self.sets[i])) for i in np.flatnonzero(found)]
-
+        return np.bincount(owner[at], minlength=len(self.sets))
 
     def verified(self, text: str | None, width: int, percent: int) -> list[tuple[int, int, float]]:
         """(item, shingles found, estimate) of the items that the text holds."""
@@ -123,7 +146,7 @@ class ItemIndex:
 
 def _search(ids: list, sets: list[np.ndarray], width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(ids, sets)
+        index = ItemIndex(ids, sets, percent)
         for batch in batches:
             for part in slices(batch):
                 hits = [(k, i, n, guess) for k, t in enumerate(part.column(1).to_pylist()) for i, n, guess in index.verified(t, width, percent)]
@@ -138,7 +161,7 @@ def _search(ids: list, sets: list[np.ndarray], width: int, percent: int):
 
 def _clean(column: int, ids: list, sets: list[np.ndarray], width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(ids, sets)
+        index = ItemIndex(ids, sets, percent)
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array([not index.verified(t, width, percent) for t in part.column(column).to_pylist()], pa.bool_()))

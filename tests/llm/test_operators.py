@@ -407,3 +407,13 @@ def test_quality_filter_with_few_labels(spark):
     kept = {r["doc_id"] for r in quality.quality_filter(docs, marks).collect()}
     good = {i for i in range(900) if i % 4}
     assert not any(i % 4 == 0 for i in kept if i < 900) and len(good - kept) <= 0.05 * len(good) and set(range(900, 1000)) <= kept
+
+
+def test_contamination_by_short_items():
+    """Items of five words on are found in every document that holds them."""
+    rng = random.Random(14)
+    items = [words(rng, 5 + k % 9, 10**6) for k in range(45)]
+    index = decontaminate.ItemIndex(list(range(45)), [decontaminate.text_shingles(x, 5) for x in items], 80)
+    for _ in range(20):
+        text = " . ".join(y for x in items for y in (words(rng, rng.randint(3, 60), 10**6), x))
+        assert [i for i, *_ in index.verified(text, 5, 80)] == list(range(45))
