@@ -316,13 +316,25 @@ def faith(spark, sf_dir):
     return A.faithfulness(_answers(spark), each)
 
 
+def _next_ids(ids, span=1024):
+    """(doc_id, pair): the next id in order.  Ids are ordered within spans of so many; a span's last id goes on with the next span's first."""
+    spans = ids.where("doc_id is not null").withColumn("span", F.floor(F.col("doc_id") / span))
+    firsts = spans.groupBy("span").agg(F.min("doc_id").alias("first"))
+    groups = firsts.groupBy(F.floor(F.col("span") / span).alias("group")).agg(F.min("first").alias("first"))
+    # a row for each million of ids is left for one task
+    groups = groups.withColumn("beyond", F.lead("first").over(Window.orderBy("group"))).select("group", "beyond")
+    firsts = firsts.withColumn("group", F.floor(F.col("span") / span)).join(groups, "group")
+    firsts = firsts.select("span", F.coalesce(F.lead("first").over(Window.partitionBy("group").orderBy("span")), "beyond").alias("beyond"))
+    within = F.lead("doc_id").over(Window.partitionBy("span").orderBy("doc_id"))
+    return spans.withColumn("pair", within).join(firsts, "span").select("doc_id", F.coalesce("pair", "beyond").alias("pair"))
+
+
 @register("select doc_id, round(case when len(s) < 2 or len(p) < 2 then case when len(s) = 0 then 0 else len(list_intersect(list_distinct(s), p)) / len(list_distinct(s)) end else len(list_intersect(sp, pp)) / len(sp) end, 6) as support from (select doc_id, s, p, list_distinct(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1])) as sp, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) as pp from (select doc_id, regexp_extract_all(lower(left(text, 200)), '[A-Za-z0-9'']+') as s, regexp_extract_all(lower(lead(text, 1, '') over (order by doc_id)), '[A-Za-z0-9'']+') as p from documents))")
 def lex_support(spark, sf_dir):
     """The start of each document against the next one."""
     own = table(spark, sf_dir, "documents")
     ids = own.select("doc_id")
-    # the next id by a range-partitioned sort would need one task's window; a join on the ordered ids does not
-    after = ids.withColumn("pair", F.lead("doc_id").over(Window.orderBy("doc_id")))
+    after = _next_ids(own.select("doc_id"))
     texts = own.select(F.col("doc_id").alias("pair"), F.col("text").alias("next"))
     return own.join(after, "doc_id").join(texts, "pair", "left").select("doc_id", R6(A.lexical_support(F.left("text", F.lit(200)), F.coalesce("next", F.lit("")))).alias("support"))
 

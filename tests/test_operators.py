@@ -127,3 +127,16 @@ def test_upsert_keeps_last(spark):
     old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, v string, at int")
     new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "id int, v string, at int")
     assert {(r["id"], r["v"]) for r in I.upsert(old, new, "id", "at").collect()} == {(1, "a"), (2, "d"), (3, "e")}
+
+
+def test_next_ids_in_many_tasks(spark):
+    """Every id meets the next one, over gaps and repeats, and no task has them all."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans.retrieval import _next_ids
+
+    ids = sorted([-5, 0, 1, 1, 3, 4, 9, 16, 17, 40, 41, 1000, 1001])
+    found = _next_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long"), span=4)
+    assert sorted((r["doc_id"], r["pair"]) for r in found.collect() if r["pair"] is not None) + [(ids[-1], None)] == list(zip(ids, [*ids[1:], None]))
+    many = _next_ids(spark.range(20000).select(F.col("id").alias("doc_id")))
+    assert many.where("pair = doc_id + 1").count() == 19999 and many.where("pair is null").count() == 1
