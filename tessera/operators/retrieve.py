@@ -75,15 +75,38 @@ def effective_strategy(strategy: str, compares: bool) -> str:
     return "hybrid_multi" if strategy in ("hybrid", "hybrid_multi") and compares else "hybrid" if strategy == "hybrid_multi" else strategy
 
 
-def search(strategy: str, vector: DataFrame, lexical: DataFrame, years: DataFrame, ranges: DataFrame, k: int, fetch: int = 30) -> DataFrame:
+def in_periods(scores: DataFrame, years: DataFrame, periods: DataFrame) -> DataFrame:
+    """Candidates (qid, id, score) in each period (qid, period, lo, hi) of their question."""
+    placed = scores.join(years, "id").join(F.broadcast(periods), "qid").where("year between lo and hi")  # questions are the stated set
+    return placed.select("qid", "period", "id", "score")
+
+
+def multi_period(vector: DataFrame, lexical: DataFrame, k: int, fetch: int = 30) -> DataFrame:
+    """Candidates (qid, period, id, score) of both sources fused for each period, and the periods fused once more."""
+    by = ("qid", "period")
+    parts = [ranked(x, fetch, by).select(*by, F.lit(n).alias("src"), "id", "rank") for n, x in enumerate((vector, lexical))]
+    each = rrf(parts[0].unionByName(parts[1]), fetch, by=by)
+    return rrf(each.select("qid", F.col("period").alias("src"), "id", "rank"), k)
+
+
+def search(strategy: str, vector: DataFrame, lexical: DataFrame, years: DataFrame, ranges: DataFrame, k: int, fetch: int = 30, periods: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank) under a strategy.
 
     vector, lexical: scored candidates (qid, id, score); years: (id, year);
     ranges: (qid, lo, hi), null without a year filter.  ``naive`` filters
     nothing; ``vector`` and ``metadata`` filter by year; ``hybrid`` fuses both
     sources, the filtered ranking counting twice beside the whole one.
+    Questions with ``periods`` (qid, period, lo, hi) are comparisons: both hybrid
+    strategies search each of their periods and fuse those, and are ``hybrid``
+    for the other questions.
     """
-    effective_strategy(strategy, False)
+    effective = effective_strategy(strategy, periods is not None)
+    if effective == "hybrid_multi":
+        comparing = periods.select("qid").distinct()
+        rest = [x.join(comparing, "qid", "left_anti") for x in (vector, lexical)]
+        placed = [in_periods(x.join(comparing, "qid", "left_semi"), years, periods) for x in (vector, lexical)]
+        single = search("hybrid", *rest, years, ranges.join(comparing, "qid", "left_anti"), k, fetch)
+        return single.unionByName(multi_period(*placed, k, fetch))
     if strategy == "naive":
         return ranked(vector, k).select("qid", "id", "score", "rank")
     fits = lambda df: df.join(ranges, "qid", "left").join(years, "id").where("lo is null or year between lo and hi").drop("lo", "hi", "year")

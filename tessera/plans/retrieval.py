@@ -166,13 +166,19 @@ def hybrid(spark, sf_dir):
 
 @register()
 def multi_period(spark, sf_dir):
-    """Each question over two periods, fused once more over the periods."""
+    """Each question over two periods: vectors and BM25 fused for each, and the periods fused once more."""
     own = letters(spark, sf_dir)
-    scores = I.bm25_scores(I.build_bm25(own, "id", "text"), _bench(spark, sf_dir))
-    periods = spark.createDataFrame([(0, 1977, 1999), (1, 2000, 2024)], "period int, lo int, hi int")
-    placed = scores.join(own.select("id", "year"), "id").join(F.broadcast(periods), F.col("year").between(F.col("lo"), F.col("hi")))
-    best = R.ranked(placed, 30, ("qid", "period")).select("qid", F.col("period").alias("src"), "id", "rank")
-    return R.rrf(best, 10).select("qid", "id", "rank", R6("score").alias("score"))
+    years = own.select("id", "year")
+    lexical = I.bm25_scores(I.build_bm25(own, "id", "text"), _bench(spark, sf_dir))
+    two = ((0, 1977, 1999), (1, 2000, 2024))
+    spans = spark.createDataFrame(two, "period int, lo int, hi int")
+    periods = _bench(spark, sf_dir).select("qid").crossJoin(F.broadcast(spans))
+    asked = _vector_queries(spark, sf_dir).select((F.col("qid") / 100).cast("long").alias("qid"), "vec").join(_bench(spark, sf_dir).select("qid"), "qid", "left_semi")
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id").join(years, "id")
+    # each period has its own nearest vectors: those of all years may leave it with few
+    best = [I.vector_topk(vectors.where(F.col("year").between(lo, hi)), asked, 30).select("qid", F.lit(n).alias("period"), "id", "score") for n, lo, hi in two]
+    found = R.multi_period(best[0].unionByName(best[1]), R.in_periods(lexical, years, periods), 10)
+    return found.select("qid", "id", "rank", R6("score").alias("score"))
 
 
 # ---------------------------------------------------------------- metrics

@@ -140,3 +140,29 @@ def test_next_ids_in_many_tasks(spark):
     assert sorted((r["doc_id"], r["pair"]) for r in found.collect() if r["pair"] is not None) + [(ids[-1], None)] == list(zip(ids, [*ids[1:], None]))
     many = _next_ids(spark.range(20000).select(F.col("id").alias("doc_id")))
     assert many.where("pair = doc_id + 1").count() == 19999 and many.where("pair is null").count() == 1
+
+
+def test_hybrid_multi_fuses_sources_in_each_period(spark):
+    """Comparing questions rank vectors and BM25 in every period; the others are plain hybrid."""
+    years = spark.createDataFrame([(i, 1980 + 10 * (i % 2)) for i in range(12)], "id int, year int")
+    rng = np.random.default_rng(4)
+    vector, lexical = ([(q, i, float(rng.random())) for q in (0, 1) for i in range(12)] for _ in range(2))
+    df = lambda rows: spark.createDataFrame(rows, "qid int, id int, score double")
+    ranges = spark.createDataFrame([(0, None, None), (1, None, None)], "qid int, lo int, hi int")
+    periods = spark.createDataFrame([(0, 0, 1980, 1989), (0, 1, 1990, 1999)], "qid int, period int, lo int, hi int")
+
+    def fused(rankings, k):
+        score, seen = {}, {}
+        for src, ids in enumerate(rankings):
+            for rank, i in enumerate(ids):
+                score[i] = score.get(i, 0.0) + 1 / (R.RRF_K + rank + 1)
+                seen.setdefault(i, (src, rank))
+        return sorted(score, key=lambda i: (-round(score[i], 12), seen[i], i))[:k]
+
+    best = lambda rows, year: [i for _, i, _ in sorted((r for r in rows if r[0] == 0 and year in (None, 1980 + 10 * (r[1] % 2))), key=lambda r: -r[2])][:4]
+    want = fused([fused([best(vector, y), best(lexical, y)], 4) for y in (1980, 1990)], 5)
+    plain = {(r["qid"], r["rank"]): r["id"] for r in R.search("hybrid", df(vector), df(lexical), years, ranges, 5, 4).collect()}
+    for strategy in ("hybrid_multi", "hybrid"):
+        out = {(r["qid"], r["rank"]): r["id"] for r in R.search(strategy, df(vector), df(lexical), years, ranges, 5, 4, periods).collect()}
+        assert [out[0, k] for k in range(5)] == want
+        assert {k: i for k, i in out.items() if k[0] == 1} == {k: i for k, i in plain.items() if k[0] == 1}
