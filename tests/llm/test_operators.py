@@ -417,3 +417,56 @@ def test_contamination_by_short_items():
     for _ in range(20):
         text = " . ".join(y for x in items for y in (words(rng, rng.randint(3, 60), 10**6), x))
         assert [i for i, *_ in index.verified(text, 5, 80)] == list(range(45))
+
+
+def test_pipeline_equals_plain_python(spark, tokenizer, tmp_path):
+    """run() against brute-force stages on planted junk, copies, shared lines and benchmark passages."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    line = lambda n=25: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    texts = ["\n".join(line() for _ in range(3)) for _ in range(12)]
+    item = line(20)
+    near = texts[0].split("\n")[1]
+    texts.append(f"{line()}\n{near[:40]}q{near[41:]}\n{line(40)}")
+    w = texts[2].split()
+    texts += [" ".join(w[:37]) + "\n" + " ".join(w[37:]), texts[3], f"{line(30)} {item} {line(30)}\n{line()}", "too short", "a b c " * 40, None]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, line(20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def fine(t):
+        w = t.split()
+        at = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {p + k for p in range(len(w) - 2) if at[tuple(w[p : p + 3])] > 1 for k in range(3)}
+        return len(w) >= 50 and 2 * len(covered) <= len(w)
+
+    left = {i: t for i, t in enumerate(texts) if t and fine(t)}
+    quality_left = set(left)
+    seen, cut = [], {}
+    for i, t in left.items():  # groups here are pairs: a line goes if an earlier one is like it
+        keep = []
+        for x in t.split("\n"):
+            norm = " ".join(line_dedup.line_words(x))
+            if not any(line_dedup.edit_similar(norm, y, 90) for y in seen):
+                keep.append(x)
+            seen.append(norm)
+        if keep:
+            cut[i] = "\n".join(keep)
+    assert set(cut) < quality_left and cut[12] != texts[12]
+    apart = {}
+    for i, t in cut.items():
+        s = shingles(t, 5)
+        if not any(100 * len(s & shingles(y, 5)) >= 80 * len(s | shingles(y, 5)) for y in apart.values()):
+            apart[i] = t
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(len(w) - 4)}
+    clean = {i: t for i, t in apart.items() if 100 * len(grams(item) & grams(t)) < 80 * len(grams(item))}
+    assert set(cut) - set(apart) == {13} and set(apart) - set(clean) == {15}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    total = Counter()
+    for r in out:
+        total[r["doc_id"]] += r["length"]
+    assert total == {i: len(tokenizer[1].encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()}
+    for _, rows in itertools.groupby(sorted(out, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
+        rows = list(rows)
+        assert [r["offset"] for r in rows] == [sum(x["length"] for x in rows[:k]) for k in range(len(rows))]
