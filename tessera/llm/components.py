@@ -4,14 +4,17 @@ After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014):
 the large-star step links every larger neighbour of a node to the smallest
 node it knows; the small-star step does so for the smaller neighbours.  Each
 round is two aggregates and joins; no node's neighbours are ever collected, and
-the number of rounds grows with the logarithm of the longest path.
+the number of rounds grows with the logarithm of the longest path.  Least
+neighbours are found by partial aggregates, and the joins that carry a hub's
+neighbours are ones whose large partitions Spark splits, so a hub is no one
+task's work.  Each round's table replaces the one before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import materialize
+from .shared import Tables
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,8 +27,9 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
 
     Self loops, repeated edges and null ends are ignored.  No edges: no rows.
     """
+    tables = Tables(edges.sparkSession, "components")
     now = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-    now = materialize(now.where("u <> v").distinct(), "cc")
+    now = tables.write(now.where("u <> v").distinct())
     state = _state(now)
     for _ in range(max_rounds):
         if not state[0]:
@@ -37,11 +41,13 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ma
         # small star: u and its smaller neighbours go to the smallest of them
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        after = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        after = tables.write(small.select("e.u", "e.v").where("u <> v").distinct())
         new = _state(after)
+        tables.drop(now)
+        now = after
         if new == state:
             break
-        now, state = after, new
+        state = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))

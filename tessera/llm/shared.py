@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 from ..session import ship
 
 CONF = "spark.checkpoint.dir"
+#: Spark's own switch: an execution's shuffle files go when it ends
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,16 +31,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+class Tables:
+    """Intermediate tables of one run, in a folder of their own.
 
-    The table cuts the lineage: a lost executor costs a re-read and not the
-    whole plan, and a table that several branches use is computed once.
+    A written table cuts the lineage: a lost executor costs a re-read and not the
+    whole plan.  Nothing needs the shuffle files behind it any more, and they are
+    released.  ``drop`` deletes tables that nothing reads any more; a table that
+    a lazily returned result reads stays.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base = spark, f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+        self.names = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.names += 1
+        path = f"{self.base}/{self.names}"
+        before = self.spark.conf.get(RELEASE, None)
+        self.spark.conf.set(RELEASE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(RELEASE) if before is None else self.spark.conf.set(RELEASE, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._written_to = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``write`` returned."""
+        for table in tables:
+            self._delete(table._written_to)
+
+    def clear(self) -> None:
+        """Delete all tables of the run."""
+        self._delete(self.base)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, which stays."""
+    return Tables(df.sparkSession, label).write(df)
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
