@@ -367,7 +367,7 @@ def line_signatures(norms):
     for k, key in zip(*(x.tolist() for x in line_dedup.line_keys(codes, starts, lengths, 90, grams))):
         keys[k].add(key)
     tail = np.concatenate([grams[4], line_dedup.mix(codes[len(grams[4]) :].astype(np.uint64), 6)])
-    return keys, line_dedup.simhashes(tail, starts, lengths), lengths
+    return keys, line_dedup.signatures(tail, starts, lengths)
 
 
 @pytest.mark.parametrize("low, high", [(12, 40), (36, 48), (40, 80), (72, 90), (90, 250), (250, 700), (2000, 4000)])
@@ -378,8 +378,8 @@ def test_recall_of_the_line_search(low, high):
         lines = ["".join(rng.choice("abcdefghijklmno ") for _ in range(rng.randint(low, high))).strip() for _ in range(300)]
         lines = [" ".join(x.split()) for x in lines]
         pairs = [(a, b) for a in lines for b in [" ".join(edited(rng, a, max(1, len(a) * per_hundred // 100)).split())] if a != b and line_dedup.edit_similar(a, b, 90)]
-        (ka, sa, na), (kb, sb, nb) = (line_signatures(list(x)) for x in zip(*pairs))
-        near = np.bitwise_count(sa ^ sb) <= line_dedup._bits(np.minimum(na, nb))
+        (ka, sa), (kb, sb) = (line_signatures(list(x)) for x in zip(*pairs))
+        near = line_dedup.alike(sa, sb, 90)
         assert len(pairs) > 100 and np.mean([bool(x & y) and z for x, y, z in zip(ka, kb, near)]) >= least, per_hundred
 
 
@@ -408,11 +408,11 @@ def test_line_dedup_edges(spark):
     rows = [("b", long, 1, "x", "y"), ("c", long[:900] + "q" + long[901:], 2, "x", "y"), ("a", "kept\n" + text(12), 3, "x", None), ("a", "kept\n" + text(12), 3, "x", None), (None, long, 4, None, None)]
     rows += [(f"g{k:02}", x, 5, "x", "y") for k, x in enumerate(group)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, n_chars long, dropped string, row string")
-    old = line_dedup.SMALL, line_dedup.BLOCK
-    for line_dedup.SMALL, line_dedup.BLOCK in (old, (4, 8)):
+    old = line_dedup.SMALL, line_dedup.BLOCK, line_dedup.HELD
+    for line_dedup.SMALL, line_dedup.BLOCK, line_dedup.HELD in (old, (4, 8, 1024), (4, 8, 10)):
         out = {r["doc_id"]: r["dropped"] for r in line_dedup.repeated_lines(docs).collect()}
         assert out == {"a": [], "b": [], "c": [0], "g00": []} | {f"g{k:02}": [0] for k in range(1, 40)}
-    line_dedup.SMALL, line_dedup.BLOCK = old
+    line_dedup.SMALL, line_dedup.BLOCK, line_dedup.HELD = old
     new = line_dedup.drop_repeated_lines(docs)
     assert new.columns == docs.columns and sorted((r["doc_id"] or "", r["dropped"] or "", r["row"] or "") for r in new.collect()) == [("", "", ""), ("a", "x", ""), ("a", "x", ""), ("b", "x", "y"), ("g00", "x", "y")]
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0 and line_dedup.repeated_lines(docs_of(spark, ["a b"]).limit(0)).count() == 0
