@@ -42,20 +42,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from .packing import slices
 from .shared import map_arrow
-from .shingles import U, WordHashes, grams, mix
+from .shingles import U, WordHashes, grams, kept, mix
 
 WORD = re.compile(r"[^\W_]+")
 OVERSAMPLE = 4
 #: shingles that must be shared for the sketches to be relied on
 SKETCHED = 8
 
-_words: dict = {}
-
-
 def text_shingles(text: str | None, width: int) -> np.ndarray:
     """Distinct hashes of the ``width``-word shingles, sorted; too few words: none."""
-    known = _words.setdefault("of", WordHashes())
-    return np.unique(grams(known.of(WORD.findall((text or "").lower())), width))
+    return np.unique(grams(kept("text", WordHashes).of(WORD.findall((text or "").lower())), width))
 
 
 def size_partition(n: int) -> int:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import connected_components
 from .packing import slices
 from .shared import map_arrow, materialize
-from .shingles import U, WordHashes, intersection, mix, shingle_set
+from .shingles import U, WordHashes, intersection, kept, mix, shingle_set
 
 BANDS, ROWS, MANTISSA, ROUNDS = 40, 8, 10, 8
 REGISTERS = BANDS * ROWS
@@ -55,13 +55,9 @@ CHUNK = 256
 #: buckets of up to this many members are compared pair by pair, larger ones block by block
 SMALL, BLOCK, BLOCK_SHINGLES = 16, 512, 2_000_000
 
-_words: dict = {}
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case."""
-    known = _words.setdefault("of", WordHashes())
-    return known.of((text or "").encode("utf-8", "replace").lower().split())
+    return kept("bytes", WordHashes).of((text or "").encode("utf-8", "replace").lower().split())
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:

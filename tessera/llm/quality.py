@@ -59,26 +59,28 @@ BROADCAST_STRATA = 4096
 
 
 def _repeat_words() -> str:
-    """SQL: how many of the words ``w`` lie in a three-word window that occurs twice or more.
+    """SQL: how many of the words ``w`` lie in a three-word window that occurs twice or more, exactly.
 
-    Each window becomes one long: the upper bits of its 64-bit hash, then its
-    place.  Equal windows are neighbours after a sort of primitive longs.  15
-    bits hold the place, which leaves 49 of hash; longer texts sort pairs of
-    the whole hash and the place.
+    Each window becomes one long: the upper bits of its hash, and in the last ones, as
+    many as the text needs, its place.  Equal windows are neighbours after a sort.
+    Neighbours of equal bits are compared word by word; should any differ, the
+    text's windows are sorted as strings instead.
     """
-    windows = "transform(sequence(0, size(w) - 3), i -> {})"
-    hashed = "xxhash64(w[i], w[i + 1], w[i + 2])"
-    packed = windows.format(f"({hashed} & -32768L) | cast(i as bigint)")
-    paired = windows.format(f"named_struct('h', {hashed}, 'p', cast(i as bigint))")
-    near = "filter(s, (e, i) -> (i > 0 and {k}) or (i < size(s) - 1 and {l}))"
-    by_long = near.format(k="shiftright(s[i - 1], 15) = shiftright(e, 15)", l="shiftright(s[i + 1], 15) = shiftright(e, 15)")
-    by_pair = near.format(k="s[i - 1].h = e.h", l="s[i + 1].h = e.h")
-    places = "transform(array(sort_array({})), s -> sort_array(transform({}, e -> {})))[0]"
+    bind = "transform(array({}), {} -> {})[0]"
+    equal = " and ".join(f"w[(e & m) + {k}] = w[(t[i - 1] & m) + {k}]" for k in range(3))
     covered = "aggregate({}, named_struct('n', 0L, 'at', -3L), (a, p) -> named_struct('n', a.n + least(3L, p - a.at), 'at', p), a -> a.n)"
-    return (
-        f"case when size(w) < 4 then 0L when size(w) <= 32768 then {covered.format(places.format(packed, by_long, 'e & 32767L'))} "
-        f"else {covered.format(places.format(paired, by_pair, 'e.p'))} end"
-    )
+    windows = "transform(sequence(0, size(w) - 3), i -> {})"
+    neighbours = "filter(s, (e, i) -> (i > 0 and {k}) or (i < size(s) - 1 and {l}))"
+    packed = windows.format("shiftleft(shiftright(xxhash64(w[i], w[i + 1], w[i + 2]), b), b) | cast(i as bigint)")
+    alike = neighbours.format(k="shiftright(s[i - 1], b) = shiftright(e, b)", l="shiftright(s[i + 1], b) = shiftright(e, b)")
+    strings = windows.format("named_struct('g', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'p', cast(i as bigint))")
+    same = neighbours.format(k="s[i - 1].g = e.g", l="s[i + 1].g = e.g")
+    by_string = bind.format(f"sort_array({strings})", "s", covered.format(f"sort_array(transform({same}, e -> e.p))"))
+    differ = f"size(filter(t, (e, i) -> i > 0 and shiftright(t[i - 1], b) = shiftright(e, b) and not ({equal}))) > 0"
+    chosen = f"case when size(t) = 0 then 0L when {differ} then {by_string} else {covered.format('sort_array(transform(t, e -> e & m))')} end"
+    with_mask = bind.format("shiftleft(1L, b) - 1", "m", bind.format(alike, "t", chosen))
+    body = bind.format("cast(ceil(log2(size(w))) as int)", "b", bind.format(f"sort_array({packed})", "s", with_mask))
+    return f"case when size(w) < 4 then 0L else {body} end"
 
 
 def text_counts(column: str) -> Column:
@@ -227,12 +229,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def quality_filter(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **risk: float) -> DataFrame:
     """The rows of ``docs`` that are kept under joint cutoffs, with their columns as they were.
 
-    The counts are computed twice, once to learn and once to filter in place:
-    that is cheaper than a join that would move every text.
+    The rows are written once with their counts beside them, and filtered as they
+    are read again: no text is counted twice or moved.
     """
     own = docs.columns
-    counts = _text_rows(docs, id_col, text_col, stratum_col)
-    counts = materialize(counts, "quality-counts")
-    cutoffs = risk_cutoffs(counts, labels, **({"joint": True} | risk))
-    packed = docs.select(F.struct(*own).alias("row"), F.col(stratum_col).cast("string").alias("stratum"), text_counts(text_col).alias("c"))
+    packed = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), text_counts(text_col).alias("c"))
+    packed = materialize(packed, "quality-rows")
+    cutoffs = risk_cutoffs(packed.select("doc_id", "stratum", "c"), labels, **({"joint": True} | risk))
     return _with_verdict(packed, cutoffs).where("kept").select("row.*")

@@ -18,16 +18,32 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+_kept: dict = {}
+
+
+def kept(name: str, make):
+    """What a worker remembers under ``name``, made where it is missing; one memory at a time, so those of earlier steps go."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a limit; forgetting changes no hash."""
+    """word -> 64-bit hash, remembered up to a limit of bytes; forgetting changes no hash."""
+
+    #: bytes of an entry besides the word's own
+    ENTRY = 200
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit_bytes: int = 80 << 20):
         super().__init__()
-        self.limit = limit
+        self.limit = self.left = limit_bytes
 
     def __missing__(self, word) -> int:
-        if len(self) >= self.limit:
+        self.left -= len(word) + self.ENTRY
+        if self.left < 0:
             self.clear()
+            self.left = self.limit
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 

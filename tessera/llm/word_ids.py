@@ -3,16 +3,17 @@
 Texts are cut at ASCII white space and every distinct word is encoded once per
 worker: for a tokenizer that drops white space, a text's ids are its words'
 ids in a row.  The memory of words is a speed-up only and is emptied when it
-holds ``limit`` of them; it never changes an id.
+holds ``limit_bytes``; it never changes an id.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from .shingles import kept
+
 #: lower-case Latin letters of ASCII and Latin-1 in UTF-8: one pre-token, whatever follows
 LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 SPECIAL = b"<|"
@@ -21,11 +22,14 @@ SPECIAL = b"<|"
 class WordIds(dict):
     """word (bytes) -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    #: bytes of an entry besides the word's own
+    ENTRY = 200
+
+    def __init__(self, path: str, limit_bytes: int = 160 << 20):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.sized, self.used, self.long = Tokenizer.from_file(path), limit_bytes, 0, 0, 0
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -35,6 +39,7 @@ class WordIds(dict):
         new = words - self.keys()
         if not new:
             return
+        self.long += 5 * sum(len(w) for w in new if len(w) > 40)  # the word and its ids
         tails: dict[bytes, tuple[bytes, bytes]] = {}
         plain: set[bytes] = set()
         other: set[bytes] = set()
@@ -67,8 +72,11 @@ class WordIds(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null: none."""
-        if len(self) > self.limit:
+        self.used += (len(self) - self.sized) * self.ENTRY + self.long
+        self.sized, self.long = len(self), 0
+        if self.used > self.limit:
             self.clear()
+            self.sized = self.used = 0
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         # ids do not depend on case, but special tokens are found before case is folded
         words = [(b if SPECIAL in b else b.lower()).split() for b in raw]
@@ -76,6 +84,5 @@ class WordIds(dict):
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return kept(path, lambda: WordIds(path))

@@ -112,6 +112,19 @@ def test_quality_counts(spark):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and r["kept"] == (not r["base_failed"]), at
 
 
+def test_repeated_windows_are_exact(spark):
+    """Whatever the hash: where it collides the words decide."""
+    rng = random.Random(17)
+    texts = [words(rng, n, v) for n, v in ((3, 2), (4, 1), (40, 3), (400, 9), (400, 30), (5000, 25))]
+    df = spark.createDataFrame([(t.split(" "),) for t in texts], "w array<string>")
+    for hashed in ("xxhash64(w[i], w[i + 1], w[i + 2])", "0L", "cast(length(w[i]) as bigint) * 1000003"):
+        found = [r["n"] for r in df.selectExpr(quality._repeat_words().replace("xxhash64(w[i], w[i + 1], w[i + 2])", hashed) + " as n").collect()]
+        for t, n in zip(texts, found):
+            w = t.split(" ")
+            at = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+            assert n == len({p + k for p in range(len(w) - 2) if at[tuple(w[p : p + 3])] > 1 for k in range(3)})
+
+
 def test_quality_cutoffs_reject_bad_and_keep_good(spark):
     rng = random.Random(2)
     texts, labels = [], []
