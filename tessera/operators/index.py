@@ -7,7 +7,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import bm25_tokens
@@ -17,11 +16,13 @@ from ..session import ship
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: queries scored against all vectors in one pass; more take more passes
 QUERY_BLOCK = 2048
+#: rows up to which a table of query tokens or weights is broadcast; a larger one is joined by a shuffle
+BROADCAST_ROWS = 500_000
 
 
 @dataclass
 class Bm25Index:
-    """tf (id, tok, f), dl (id, dl), idf (tok, idf), stats (one row: n, avgdl).  Statistics are global."""
+    """tf (id, tok, f, dl), dl (id, dl), idf (tok, df, idf), stats (one row: n, avgdl).  Statistics are global."""
 
     tf: DataFrame
     dl: DataFrame
@@ -37,23 +38,51 @@ class Bm25Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("tf", "dl", "idf", "stats")))
 
 
-def build_bm25(docs: DataFrame, id_col: str, text_col: str) -> Bm25Index:
-    """Documents without tokens count in n and avgdl."""
+def build_bm25(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> Bm25Index:
+    """Documents without tokens count in n and avgdl.
+
+    With a ``path`` the tables are written there step by step and read back: texts are
+    cut into tokens once, and every later search starts from the postings.
+    """
+    spark = docs.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if path is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
     toks = docs.select(F.col(id_col).alias("id"), bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
-    dl = toks.select("id", F.size("toks").alias("dl"))
-    tf = toks.select("id", F.explode("toks").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("f")).persist(StorageLevel.DISK_ONLY)
-    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("tok", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    counted = toks.select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("tok")).groupBy("id", "dl", "tok").agg(F.count("*").alias("f"))
+    counted = kept(counted, "postings")
+    tf = counted.where("tok is not null").select("id", "tok", "f", "dl")
+    # a document's first row, whichever it is, stands for it
+    dl = kept(counted.groupBy("id").agg(F.max("dl").alias("dl")), "dl")
+    stats = kept(dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats")
+    raw = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
+    raw = kept(raw, "raw")
     mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("tok", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(tf, dl, idf, stats)
+    idf = raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+    return Bm25Index(tf, dl, kept(idf, "idf"), stats)
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a count shows that it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
-    """(qid, id, score) of documents that hold a token of the query (qid, query); a repeated token counts again."""
+    """(qid, id, score) of documents that hold a token of the query (qid, query); a repeated token counts again.
+
+    The postings of the queries' tokens are dealt by id, so that a document's
+    scores for all queries are summed where its postings are, and what comes
+    after (the best k) starts from whole scores: nothing of the size of queries
+    times documents is shuffled.
+    """
     toks = queries.select("qid", F.explode(bm25_tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf"))
-    hit = index.tf.join(toks, "tok").join(index.idf, "tok").join(index.dl, "id").crossJoin(F.broadcast(index.stats))
-    part = F.col("qf") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weights = if_small(toks.join(index.idf, "tok").select("qid", "tok", (F.col("qf") * F.col("idf")).alias("w")))
+    hit = index.tf.join(if_small(toks.select("tok").distinct()), "tok", "left_semi").repartition("id").join(weights, "tok").crossJoin(F.broadcast(index.stats))
+    part = F.col("w") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import query as Q, text as T
 from ..operators import answer as A, index as I, metrics as M, retrieve as R
+from ..session import shared_dir
 from .catalog import LETTERS, LIT, QUERIES, SQL, S_CHUNKS, S_LINKED, _chunks, _linked, letters, register, table  # noqa: F401
 
 R6 = lambda c: F.round(c, 6)
@@ -61,21 +64,33 @@ S_SCORES = (
 )
 
 
+_indexes: dict = {}
+
+
+def _index(spark, sf_dir):
+    """The BM25 index of ``documents``, written to the shared folder once a session and table."""
+    docs = table(spark, sf_dir, "documents")
+    key = spark.sparkContext.applicationId, tuple(sorted(docs.inputFiles()))
+    if key not in _indexes:
+        _indexes[key] = I.build_bm25(docs, "doc_id", "text", f"{shared_dir(spark)}/tessera/bm25-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def _one_question(spark):
     return spark.createDataFrame([(0, QUESTION)], "qid int, query string")
 
 
 @register(f"with {S_BM25} select tok, df, round(idf, 6) as idf from idf")
 def bm25_build(spark, sf_dir):
-    index = I.build_bm25(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return index.tf.groupBy("tok").agg(F.count("*").alias("df")).join(index.idf, "tok").select("tok", "df", R6("idf").alias("idf"))
+    index = _index(spark, sf_dir)
+    return index.idf.select("tok", "df", R6("idf").alias("idf"))
 
 
 @register(f"with qs as (select 0 as qid, {LIT(QUESTION)} as query), {S_SCORES}, a as (select dl.id, coalesce(round(score, 9), 0) as score from dl left join sc using (id)) select a.id, cast(1977 + a.id % 48 as integer) as year, round(score, 6) as score, cast(r - 1 as bigint) as rank, case when length(text) > 240 then replace(left(text, 240), chr(10), ' ') || '...' else replace(text, chr(10), ' ') end as preview from (select *, row_number() over (order by score desc, id) as r from a) a join documents on doc_id = a.id where r <= 10")
 def bm25_topk(spark, sf_dir):
     """The ten best documents for a fixed question, with their years and snippets."""
     own = letters(spark, sf_dir)
-    index = I.build_bm25(own, "id", "text")
+    index = _index(spark, sf_dir)
     best = _bm25_top(index, _one_question(spark), 10)
     return best.join(own, "id").select("id", "year", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"), T.snippet(F.col("text")).alias("preview"))
 
@@ -94,7 +109,7 @@ def _bench(spark, sf_dir):
 @register(f"with {S_BENCH}, {S_SCORES} select qid, id, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as r from sc) where r <= 5")
 def bm25_score(spark, sf_dir):
     """Every benchmark item as a question against all documents."""
-    index = I.build_bm25(table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = _index(spark, sf_dir)
     scores = I.bm25_scores(index, _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
     return R.ranked(scores, 5).select("qid", "id", R6("score").alias("score"))
 
@@ -109,7 +124,7 @@ S_RANKS = (
 def _two_rankings(spark, sf_dir, k=30):
     """BM25 over all letters, and over those of 1985 to 2017, both with the statistics of all."""
     own = letters(spark, sf_dir)
-    scores = I.bm25_scores(I.build_bm25(own, "id", "text"), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    scores = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
     inside = scores.join(own.where("year between 1985 and 2017").select("id"), "id", "left_semi")
     return R.ranked(scores, k), R.ranked(inside, k)
 
@@ -134,7 +149,7 @@ def rrf_weighted(spark, sf_dir):
 @register(f"with {S_BENCH}, {S_SCORES}, y as (select *, cast((1977 + id % 48) // 10 * 10 as integer) as decade from sc), t as (select *, row_number() over (partition by qid, decade order by round(score, 9) desc, id) as r from y), g as (select qid, d.decade from (select distinct qid from sc), (select unnest([1980, 1990, 2000, 2010, 2020])::integer as decade) d) select g.qid, g.decade, id, round(score, 6) as score from g left join (select * from t where r <= 3) t using (qid, decade)")
 def topk_decade(spark, sf_dir):
     own = letters(spark, sf_dir)
-    scores = I.bm25_scores(I.build_bm25(own, "id", "text"), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9)).join(own.select("id", "decade"), "id")
+    scores = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9)).join(own.select("id", "decade"), "id")
     return R.topk_by_decade(scores, [1980, 1990, 2000, 2010, 2020]).select("qid", "decade", "id", R6("score").alias("score"))
 
 
@@ -157,7 +172,7 @@ def dedup(spark, sf_dir):
 def hybrid(spark, sf_dir):
     """Vectors and BM25 fused, with a boost for the years that the question names; ids of both tables meet."""
     own = letters(spark, sf_dir)
-    lexical = I.bm25_scores(I.build_bm25(own, "id", "text"), _bench(spark, sf_dir))
+    lexical = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir))
     asked = _vector_queries(spark, sf_dir).select((F.col("qid") / 100).cast("long").alias("qid"), "vec")
     vector = I.vector_topk(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), asked, 30).drop("rank")
     ranges = _bench(spark, sf_dir).select("qid", F.when(F.col("qid") % 2 == 0, 1985).alias("lo"), F.when(F.col("qid") % 2 == 0, 1999).alias("hi"))
@@ -169,7 +184,7 @@ def multi_period(spark, sf_dir):
     """Each question over two periods: vectors and BM25 fused for each, and the periods fused once more."""
     own = letters(spark, sf_dir)
     years = own.select("id", "year")
-    lexical = I.bm25_scores(I.build_bm25(own, "id", "text"), _bench(spark, sf_dir))
+    lexical = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir))
     two = ((0, 1977, 1999), (1, 2000, 2024))
     spans = spark.createDataFrame(two, "period int, lo int, hi int")
     periods = _bench(spark, sf_dir).select("qid").crossJoin(F.broadcast(spans))
@@ -186,13 +201,31 @@ def multi_period(spark, sf_dir):
 S_FLAGS = f"fl as (select v1.qid, v1.rank, rel.id is not null as rel from v1 join hit using (qid) left join rel on rel.qid = v1.qid and rel.id = v1.id where v1.rank < 10)"
 
 
+def _held_items(spark, sf_dir):
+    """(qid) of the items that some document holds.
+
+    A document that holds an item has all its tokens but the first and last, which
+    may go on in the document: the rarest of those finds the documents to look at.
+    """
+    asked = _bench(spark, sf_dir).where("query is not null").withColumn("toks", T.bm25_tokens(F.col("query")))
+    inner = asked.where("size(toks) > 2").select("qid", "query", F.explode(F.slice("toks", F.lit(2), F.size("toks") - 2)).alias("tok"))
+    index = _index(spark, sf_dir)
+    rarest = inner.join(index.idf, "tok").groupBy("qid").agg(F.min_by(F.struct("tok", "query"), F.struct("df", "tok")).alias("r")).select("qid", "r.*")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    # an item with a token that no document has is held by none, and its rarest token finds nothing that holds it
+    found = index.tf.select("id", "tok").join(I.if_small(rarest), "tok").select("qid", "id", "query").join(docs, "id").where(F.contains("text", F.col("query"))).select("qid")
+    short = asked.where("size(toks) <= 2").select("qid", "query")  # the stated query set against all rows
+    if not short.isEmpty():
+        found = found.union(docs.join(I.if_small(short), F.contains("text", F.col("query"))).select("qid"))
+    return found.distinct()
+
+
 def _flags(spark, sf_dir):
     """The ten best for each item that some document holds; relevant documents hold the item."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     whole, _ = _two_rankings(spark, sf_dir, 10)
     held = whole.join(docs, "id").join(_bench(spark, sf_dir), "qid").withColumn("relevant", F.contains("text", F.col("query")))
-    some = docs.join(F.broadcast(_bench(spark, sf_dir)), F.contains(docs["text"], F.col("query"))).select("qid").distinct()
-    return held.join(some, "qid", "left_semi").select("qid", "rank", "relevant", F.col("relevant").alias("year_hit"))
+    return held.join(_held_items(spark, sf_dir), "qid", "left_semi").select("qid", "rank", "relevant", F.col("relevant").alias("year_hit"))
 
 
 @register(f"with {S_BENCH}, {S_SCORES}, {S_RANKS}, {S_GOLD}, {S_FLAGS} select qid, max((rel and rank < 1)::int::double) as recall_at_1, max((rel and rank < 5)::int::double) as recall_at_5, round(count(*) filter (rel and rank < 5) / greatest(count(*) filter (rank < 5), 1), 6) as year_hit_rate_at_5, round(coalesce(1.0 / min(case when rel then rank + 1 end), 0), 6) as mrr from fl group by 1")
@@ -335,14 +368,13 @@ def _next_ids(ids, span=1024):
     return spans.withColumn("pair", within).join(firsts, "span").select("doc_id", F.coalesce("pair", "beyond").alias("pair"))
 
 
-@register("select doc_id, round(case when len(s) < 2 or len(p) < 2 then case when len(s) = 0 then 0 else len(list_intersect(list_distinct(s), p)) / len(list_distinct(s)) end else len(list_intersect(sp, pp)) / len(sp) end, 6) as support from (select doc_id, s, p, list_distinct(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1])) as sp, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) as pp from (select doc_id, regexp_extract_all(lower(left(text, 200)), '[A-Za-z0-9'']+') as s, regexp_extract_all(lower(lead(text, 1, '') over (order by doc_id)), '[A-Za-z0-9'']+') as p from documents))")
+@register("select doc_id, round(case when len(s) < 2 or len(p) < 2 then case when len(s) = 0 then 0 else len(list_intersect(list_distinct(s), p)) / len(list_distinct(s)) end else len(list_intersect(sp, pp)) / len(sp) end, 6) as support from (select doc_id, s, p, list_distinct(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1])) as sp, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) as pp from (select doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9'']+') as s, regexp_extract_all(lower(lead(text, 1, '') over (order by doc_id)), '[A-Za-z0-9'']+') as p from documents))")
 def lex_support(spark, sf_dir):
-    """The start of each document against the next one."""
+    """Each whole document against the next one."""
     own = table(spark, sf_dir, "documents")
-    ids = own.select("doc_id")
     after = _next_ids(own.select("doc_id"))
     texts = own.select(F.col("doc_id").alias("pair"), F.col("text").alias("next"))
-    return own.join(after, "doc_id").join(texts, "pair", "left").select("doc_id", R6(A.lexical_support(F.left("text", F.lit(200)), F.coalesce("next", F.lit("")))).alias("support"))
+    return own.join(after, "doc_id").join(texts, "pair", "left").select("doc_id", R6(A.lexical_support(F.col("text"), F.coalesce("next", F.lit("")))).alias("support"))
 
 
 @register()

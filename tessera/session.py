@@ -15,9 +15,24 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+CHECKPOINTS = "spark.checkpoint.dir"
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a local master gets a temporary folder (tests); a cluster
+    gets its warehouse, which its executors share.
+    """
+    found = spark.conf.get(CHECKPOINTS, None) or spark.sparkContext.getConf().get(CHECKPOINTS)
+    if not found:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        spark.conf.set(CHECKPOINTS, found)
+    return found.rstrip("/")
+
+
 def build_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults; conf overrides them (dots written as ``__``)."""
     builder = SparkSession.builder.appName(app)
