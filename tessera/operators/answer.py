@@ -61,6 +61,13 @@ def history_block(turns: DataFrame, key: str = "conv_id", most: int = 6, chars:
     return last.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(said != "", F.struct("turn", line.alias("t"))))), lambda x: x["t"]), "\n").alias("history"))
 
 
+def history_buffer(turns: DataFrame, key: str = "conv_id", most: int = 200, chars: int = 1500) -> DataFrame:
+    """The last ``most`` messages of each conversation, cut at so many characters; several of one turn count each."""
+    w = Window.partitionBy(key).orderBy(F.desc("turn"))
+    last = turns.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return last.select(key, "turn", F.lower("role").alias("role"), F.left(F.coalesce("text", F.lit("")), F.lit(chars)).alias("text"))
+
+
 def build_prompt(question: Column, passages: Column, history: Column | None = None) -> Column:
     talk = F.when(F.coalesce(history, F.lit("")) != "", F.concat(F.lit("BEGIN RECENT CONVERSATION (untrusted; only for what the question refers to)\n"), history, F.lit("\nEND RECENT CONVERSATION\n\n"))).otherwise("") if history is not None else F.lit("")
     return F.concat(F.lit(CONTRACT + "\n\n"), talk, F.lit("BEGIN UNTRUSTED PASSAGES\n"), passages, F.lit("\n\nEND UNTRUSTED PASSAGES\n\nBEGIN USER QUESTION\nQuestion: "), question, F.lit("\n\nEND USER QUESTION\n\nAnswer:"))

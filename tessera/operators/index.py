@@ -155,15 +155,66 @@ def _best(ids: list, asked: np.ndarray, k: int):
                 continue
             # rounded so that a batch's shape does not change a score's last bits
             s = np.round(asked @ _unit(np.array(pdf.vec.tolist(), float)).T, 12)
-            own = pdf.id.to_numpy()
-            found = pd.concat([pd.DataFrame({"q": q, "id": own, "score": row}).sort_values(["score", "id"], ascending=[False, True]).head(k) for q, row in enumerate(s)])
-            kept = found if kept is None else pd.concat([kept, found]).sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+            # the k best of each query and what ties with the last of them
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(1)
+            q, at = np.nonzero(s >= least[:, None])
+            found = pd.DataFrame({"q": q, "id": pdf.id.to_numpy()[at], "score": s[q, at]})
+            found = found if kept is None else pd.concat([kept, found])
+            kept = found.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
         if kept is not None:
             yield pd.DataFrame({"qid": [ids[q] for q in kept.q], "id": kept.id, "score": kept.score})
 
     return run
 
 
+def fit_cells(vectors: DataFrame, cells: int, *, vec_col: str = "embedding", sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Unit centroids of spherical k-means over ``sample`` vectors at most, drawn by a hash of the vector."""
+    n = vectors.where(F.col(vec_col).isNotNull()).count()
+    share = min(1.0, sample / max(1, n))
+    drawn = vectors.where(F.col(vec_col).isNotNull() & (F.pmod(F.xxhash64(vec_col), F.lit(1 << 30)) < int(share * (1 << 30)))).select(vec_col).limit(2 * sample)
+    m = _unit(np.array(sorted(tuple(r[0]) for r in drawn.collect()), float))
+    if not len(m):
+        return np.empty((0, 0))
+    centres = m[np.random.default_rng(1).choice(len(m), min(cells, len(m)), replace=False)]
+    for _ in range(rounds):
+        own = np.argmax(m @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, m)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), centres)
+    return centres
+
+
+def assign_cells(vectors: DataFrame, centres: np.ndarray, probes: int = 1, *, vec_col: str = "embedding") -> DataFrame:
+    """A row for each of a vector's nearest cells, with ``cell``; every vector that is not null has its cells."""
+    ship(vectors.sparkSession)
+
+    def nearest(batches):
+        for pdf in batches:
+            pdf = pdf[pdf[vec_col].notna()]
+            if len(pdf) and len(centres):
+                s = _unit(np.array(pdf[vec_col].tolist(), float)) @ centres.T
+                best = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+                out = pdf.loc[pdf.index.repeat(best.shape[1])].copy()
+                out["cell"] = best.ravel()
+                yield out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
+    return vectors.mapInPandas(nearest, f"{schema}, cell int")
+
+
+def vector_ann(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, *, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """(qid, id, score, rank): the k of highest cosine among the vectors of each query's nearest cells.
+
+    indexed: what ``assign_cells`` returns for all vectors.  Queries meet vectors by
+    cell; neither side is collected, and Spark splits a large cell.
+    """
+    unit = normalized(F.col("vec"))
+    asked = assign_cells(queries.select("qid", "vec"), centres, probes, vec_col="vec").select("qid", "cell", unit.alias("q"))
+    own = indexed.select(F.col(id_col).alias("id"), "cell", normalized(F.col(vec_col)).alias("v"))
+    score = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return _top(asked.join(own, "cell").select("qid", "id", F.round(score, 12).alias("score")), k)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Old rows with those of a new key replaced or added; of several new ones the last by ``order``."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

@@ -56,6 +56,21 @@ def drop_repeats(hits: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     return pool.select(*by, F.posexplode(kept).alias("rank", "h")).select(*by, "h.id", "rank", "h.score", "h.text")
 
 
+def repeated_pairs(hits: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """(by..., a, b, jaccard) of a query's hits (by..., id, text) that repeat one another, found by a token in common."""
+    toks = hits.select(*by, "id", dedup_tokens(F.col("text")).alias("toks"))
+    each = toks.select(*by, "id", F.explode("toks").alias("tok"), F.size("toks").alias("n"))
+    x, y = (each.select(*by, "tok", F.col("id").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    both = x.join(y, [*by, "tok"]).where("a < b").groupBy(*by, "a", "b", "n_a", "n_b").agg(F.count("*").alias("n"))
+    union = F.col("n_a") + F.col("n_b") - F.col("n")
+    return both.where((F.col("n") / union >= JACCARD) | (F.col("n") / F.least("n_a", "n_b") >= CONTAINED)).select(*by, "a", "b", (F.col("n") / union).alias("jaccard"))
+
+
+def rerank_by(hits: DataFrame, scorer, k: int) -> DataFrame:
+    """A query's candidates (qid, id, query, text) by a model: ``scorer`` is a Column function of query and text, as of a pandas UDF."""
+    return minmax_rerank(hits.select("qid", "id", scorer(F.col("query"), F.col("text")).alias("raw")), k)
+
+
 def topk_by_decade(scores: DataFrame, decades: list[int], k: int = 3) -> DataFrame:
     """The k best of each decade for each query in one pass; a decade without hits keeps a row of nulls."""
     best = ranked(scores.where(F.col("decade").isin(decades)), k, ("qid", "decade"))

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import retrieval  # noqa: F401  registers its queries
+from . import reports, retrieval  # noqa: F401  register their queries
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
