@@ -544,3 +544,17 @@ def test_pipeline_equals_plain_python(spark, tokenizer, tmp_path):
     for _, rows in itertools.groupby(sorted(out, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
         rows = list(rows)
         assert [r["offset"] for r in rows] == [sum(x["length"] for x in rows[:k]) for k in range(len(rows))]
+
+
+def test_pair_counts_are_an_exact_filter():
+    rng = random.Random(18)
+    for n in (1, 12, 90, 700):
+        a = ["".join(rng.choice("abcde ") for _ in range(n)).strip() or "a" for _ in range(60)]
+        a = [" ".join(x.split()) for x in a]
+        b = [" ".join(edited(rng, x, rng.randint(0, max(1, n // 9))).split()) or "b" for x in a]
+        counts = []
+        for side in (a, b):
+            codes, lengths = line_dedup.normalised(side)
+            counts.append(line_dedup.pair_counts(codes, np.r_[0, np.cumsum(lengths + 1)[:-1]], lengths))
+        ok = line_dedup._pairs_allow(*counts, np.array([max(len(x), len(y)) for x, y in zip(a, b)]), 90)
+        assert all(ok[k] for k in range(60) if line_dedup.edit_similar(a[k], b[k], 90))
