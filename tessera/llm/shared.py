@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,27 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import ship
+from ..session import shared_dir, ship
 
-CONF = "spark.checkpoint.dir"
 #: Spark's own switch: an execution's shuffle files go when it ends
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset a local master gets a temporary folder (tests); a cluster
-    gets its warehouse, which its executors share.
-    """
-    found = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF)
-    if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set(CONF, found)
-    return found.rstrip("/")
-
-
 class Tables:
     """Intermediate tables of one run, in a folder of their own.
 
@@ -50,7 +34,7 @@ class Tables:
         before = self.spark.conf.get(RELEASE, None)
         self.spark.conf.set(RELEASE, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.unset(RELEASE) if before is None else self.spark.conf.set(RELEASE, before)
         out = self.spark.read.schema(df.schema).parquet(path)
