@@ -7,18 +7,16 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# Years of the decade words, cut to the years that the corpus covers.
-DECADES: dict[str, tuple[int, int]] = {
-    "1970s": (1977, 1979),
-    "1980s": (1980, 1989),
-    "1990s": (1990, 1999),
-    "2000s": (2000, 2009),
-    "2010s": (2010, 2019),
-    "2020s": (2020, 2024),
-    "seventies": (1977, 1979),
-    "eighties": (1980, 1989),
-    "nineties": (1990, 1999),
-}
+# The years that the corpus covers, and the decades that have a word.
+FIRST_YEAR, LAST_YEAR = 1977, 2024
+DECADE_NAMES = {"seventies": 1970, "eighties": 1980, "nineties": 1990}
+
+
+def _years_of(decade: int) -> tuple[int, int]:
+    return max(decade, FIRST_YEAR), min(decade + 9, LAST_YEAR)
+
+
+DECADES: dict[str, tuple[int, int]] = {f"{d}s": _years_of(d) for d in range(1970, 2030, 10)} | {name: _years_of(d) for name, d in DECADE_NAMES.items()}
 # Patterns of spans, decade words, years and words of change.
 SPAN = r"(?i)(?:from|between)\s+(\d{4})\s+(?:to|and)\s+(\d{4})"
 DECADE_WORD = r"\b(1970s|1980s|1990s|2000s|2010s|2020s|seventies|eighties|nineties)\b"

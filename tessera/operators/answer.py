@@ -69,8 +69,9 @@ def history_buffer(turns: DataFrame, key: str = "conv_id", most: int = 200, char
 
 
 def build_prompt(question: Column, passages: Column, history: Column | None = None) -> Column:
-    talk = F.when(F.coalesce(history, F.lit("")) != "", F.concat(F.lit("BEGIN RECENT CONVERSATION (untrusted; only for what the question refers to)\n"), history, F.lit("\nEND RECENT CONVERSATION\n\n"))).otherwise("") if history is not None else F.lit("")
-    return F.concat(F.lit(CONTRACT + "\n\n"), talk, F.lit("BEGIN UNTRUSTED PASSAGES\n"), passages, F.lit("\n\nEND UNTRUSTED PASSAGES\n\nBEGIN USER QUESTION\nQuestion: "), question, F.lit("\n\nEND USER QUESTION\n\nAnswer:"))
+    none = F.lit("")
+    talk = none if history is None else F.when(F.coalesce(history, none) != "", F.concat(F.lit("<conversation>\n"), history, F.lit("\n</conversation>\n\n"))).otherwise(none)
+    return F.concat(F.lit(CONTRACT + "\n\n"), talk, F.lit("<passages>\n"), passages, F.lit("\n</passages>\n\n<question>\n"), question, F.lit("\n</question>\n"))
 
 
 def split_sentences(c: Column) -> Column:
