@@ -2,8 +2,9 @@
 
 Texts are cut at ASCII white space and every distinct word is encoded once per
 worker: for a tokenizer that drops white space, a text's ids are its words'
-ids in a row.  The memory of words is a speed-up only and is emptied when it
-holds ``limit_bytes``; it never changes an id.
+ids in a row.  The memory of words is a speed-up only and never changes an id.  It
+has two halves of ``limit_bytes`` together: a full one becomes the older half,
+from which words still in use come back, and the older half goes.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ class WordIds(dict):
     #: bytes of an entry besides the word's own
     ENTRY = 200
 
-    def __init__(self, path: str, limit_bytes: int = 160 << 20):
+    def __init__(self, path: str, limit_bytes: int = 224 << 20):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.limit, self.sized, self.used, self.long = Tokenizer.from_file(path), limit_bytes, 0, 0, 0
+        self.older: dict = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -39,6 +41,10 @@ class WordIds(dict):
         new = words - self.keys()
         if not new:
             return
+        if self.older:
+            back = new & self.older.keys()
+            self.update(zip(back, map(self.older.__getitem__, back)))
+            new -= back
         self.long += 5 * sum(len(w) for w in new if len(w) > 40)  # the word and its ids
         tails: dict[bytes, tuple[bytes, bytes]] = {}
         plain: set[bytes] = set()
@@ -74,7 +80,8 @@ class WordIds(dict):
         """The ids of each text; null: none."""
         self.used += (len(self) - self.sized) * self.ENTRY + self.long
         self.sized, self.long = len(self), 0
-        if self.used > self.limit:
+        if self.used > self.limit // 2:
+            self.older = dict(self)
             self.clear()
             self.sized = self.used = 0
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
