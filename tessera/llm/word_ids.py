@@ -9,13 +9,14 @@ holds ``limit_bytes``; it never changes an id.
 from __future__ import annotations
 
 import re
+from itertools import filterfalse
 
 import numpy as np
 
 from .shingles import kept
 
-#: lower-case Latin letters of ASCII and Latin-1 in UTF-8: one pre-token, whatever follows
-LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: a line of lower-case Latin letters of ASCII and Latin-1 in UTF-8, which are one pre-token, and an end of ``.`` or ``,``
+LETTERS = re.compile(rb"(?m)^((?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++)([.,]*+)$")
 SPECIAL = b"<|"
 
 
@@ -36,39 +37,32 @@ class WordIds(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Encode what is not known yet; words with an end of ``.`` or ``,`` reuse the rest."""
-        new = words - self.keys()
+        new = set(filterfalse(self.__contains__, words))
         if not new:
             return
-        self.long += 5 * sum(len(w) for w in new if len(w) > 40)  # the word and its ids
-        tails: dict[bytes, tuple[bytes, bytes]] = {}
-        plain: set[bytes] = set()
-        other: set[bytes] = set()
-        for w in new:
-            core = w.rstrip(b".,")
-            if LETTERS.fullmatch(core):
-                plain.add(core)
-                if len(core) < len(w):
-                    tails[w] = core, w[len(core) :]
-                    other.add(w[len(core) :])
-            else:
-                other.add(w)
-        self._letters([w for w in plain if w not in self])
-        rest = [w for w in other if w not in self]
+        self.long += 5 * sum(n for n in map(len, new) if n > 40)  # the word and its ids
+        shaped = LETTERS.findall(b"\n".join(new))
+        tails = [x for x in shaped if x[1]]
+        self._letters(list(filterfalse(self.__contains__, {core for core, _ in shaped})))
+        other = new.difference([core for core, tail in shaped if not tail], [core + tail for core, tail in tails])
+        other.update({tail for _, tail in tails})
+        rest = list(filterfalse(self.__contains__, other))
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
             self[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, tail) in tails.items():
-            self[w] = self[core] + self[tail]
+        for core, tail in tails:
+            self[core + tail] = self[core] + self[tail]
 
     def _letters(self, words: list[bytes], at_once: int = 20_000) -> None:
         """Many words as one text; a word's ids end where a token ends a word."""
         for k in range(0, len(words), at_once):
             part = words[k : k + at_once]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            (found,) = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) != len(part):
                 raise ValueError("this tokenizer does not end every word with </w>")
-            for w, x in zip(part, np.split(ids, stops[:-1])):
-                self[w] = x.tobytes()
+            raw = ids.tobytes()
+            self.update((w, raw[i:j]) for w, i, j in zip(part, [0, *stops], stops))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null: none."""
