@@ -308,12 +308,21 @@ def j_period(spark, sf_dir):
     return years.join(F.broadcast(periods), F.col("year").between(F.col("lo"), F.col("hi"))).groupBy("qid", "period").agg(F.sum("n").alias("n"))
 
 
-@register()
+S_KEYWORDS = (
+    "rp(qid, reply) as (values " + ", ".join(f"({i}, {LIT(x)})" for i, x in enumerate(REPLIES)) + "), "
+    "pt as (select qid, list_transform(regexp_split_to_array(regexp_split_to_array(regexp_replace(reply, '^\\s+|\\s+$', '', 'g'), '\\r\\n|\\n|\\r')[1], '[,;]'), "
+    f"lambda x: regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), {LIT(Q.KEYWORD_ENDS)}, '', 'g')) as parts from rp), "
+    f"gd as (select qid, list_filter(parts, lambda x: x <> '' and length(x) <= {Q.KEYWORD_CHARS} and len(regexp_split_to_array(trim(x), '\\s+')) <= {Q.KEYWORD_WORDS} and not regexp_matches(x, {LIT(Q.NO_KEYWORD)})) as good from pt), "
+    f"kw as (select qid, list_slice(list_filter(good, lambda x, i: list_position(list_transform(good, lambda y: lower(y)), lower(x)) = i), 1, {Q.MOST_KEYWORDS}) as keywords from gd)"
+)
+
+
+@register(f"with {S_KEYWORDS} select qid, keywords from kw")
 def q_expand_parse(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(REPLIES)), "qid int, reply string").select("qid", Q.expansion_keywords(F.col("reply")).alias("keywords"))
 
 
-@register()
+@register(f"with {S_QUESTIONS}, {S_KEYWORDS} select qid, query || case when len(keywords) > 0 then ' ' || array_to_string(keywords, ' ') else '' end as expanded from q left join kw using (qid)")
 def q_expand(spark, sf_dir):
     replies = spark.createDataFrame(list(enumerate(REPLIES)), "qid int, reply string")
     return _questions(spark).join(replies, "qid", "left").select("qid", Q.expand_query(F.col("query"), Q.expansion_keywords(F.col("reply"))).alias("expanded"))

@@ -168,23 +168,44 @@ def dedup(spark, sf_dir):
     return R.drop_repeats(hits).select("qid", "id", "rank", R6("score").alias("score"))
 
 
-@register()
+def _s_fused(name, rows, by):
+    """SQL of the 30 best ranks of each source in ``rows`` (src, by, id, score), fused: <name>(by, id, rank)."""
+    return (
+        f"{name}1 as (select *, row_number() over (partition by src, {by} order by score desc, id) - 1 as rank from {rows}), "
+        f"{name}2 as (select {by}, id, round(sum(1.0::double / (60 + rank + 1)), 12) as score, min(src * 1000 + rank) as seen from {name}1 where rank < 30 group by all), "
+        f"{name} as (select {by}, id, row_number() over (partition by {by} order by score desc, seen, id) - 1 as rank from {name}2 qualify rank < 30)"
+    )
+
+
+S_TOP10 = "select qid, id, r - 1 as rank, round(score, 6) as score from top where r <= 10"
+
+
+@register(
+    f"with {LETTERS}, {S_BENCH}, {S_SCORES}, {S_VEC}, vt as (select qid // 100 as qid, id, score from s qualify row_number() over (partition by qid order by score desc, id) <= 30), "
+    f"c as (select 0 as src, * from vt union all select 1, qid, id, round(score, 9) from sc), i as (select c.* from c join letters using (id) join qs using (qid) where qid % 2 = 0 and year between 1985 and 1999), {_s_fused('whole', 'c', 'qid')}, {_s_fused('inside', 'i', 'qid')}, "
+    f"u as (select 0 as src, 2.0::double as w, * from inside union all select 1, 1.0::double, * from whole), {S_FUSED} {S_TOP10}"
+)
 def hybrid(spark, sf_dir):
     """Vectors and BM25 fused, with a boost for the years that the question names; ids of both tables meet."""
     own = letters(spark, sf_dir)
-    lexical = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir))
+    lexical = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
     asked = _vector_queries(spark, sf_dir).select((F.col("qid") / 100).cast("long").alias("qid"), "vec")
     vector = I.vector_topk(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), asked, 30).drop("rank")
     ranges = _bench(spark, sf_dir).select("qid", F.when(F.col("qid") % 2 == 0, 1985).alias("lo"), F.when(F.col("qid") % 2 == 0, 1999).alias("hi"))
-    return R.search("hybrid", vector, lexical, own.select("id", "year"), ranges, 10).select("qid", "id", "rank", R6("score").alias("score"))
+    return R.search("hybrid", vector, lexical, own.select("id", "year"), ranges, 10).select("qid", "id", F.col("rank").cast("long").alias("rank"), R6("score").alias("score"))
 
 
-@register()
+@register(
+    f"with {LETTERS}, {S_BENCH}, {S_SCORES}, {S_VEC}, pr(period, lo, hi) as (values (0, 1977, 1999), (1, 2000, 2024)), "
+    "c as (select 0 as src, qs.qid, period, s.id, s.score from s join qs on qs.qid = s.qid // 100 join letters on letters.id = s.id join pr on year between lo and hi "
+    "union all select 1, qid, period, sc.id, round(score, 9) from sc join letters on letters.id = sc.id join pr on year between lo and hi), "
+    f"{_s_fused('each', 'c', 'qid, period')}, u as (select period as src, 1.0::double as w, qid, id, rank from each), {S_FUSED} {S_TOP10}"
+)
 def multi_period(spark, sf_dir):
     """Each question over two periods: vectors and BM25 fused for each, and the periods fused once more."""
     own = letters(spark, sf_dir)
     years = own.select("id", "year")
-    lexical = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir))
+    lexical = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
     two = ((0, 1977, 1999), (1, 2000, 2024))
     spans = spark.createDataFrame(two, "period int, lo int, hi int")
     periods = _bench(spark, sf_dir).select("qid").crossJoin(F.broadcast(spans))
@@ -193,7 +214,7 @@ def multi_period(spark, sf_dir):
     # each period has its own nearest vectors: those of all years may leave it with few
     best = [I.vector_topk(vectors.where(F.col("year").between(lo, hi)), asked, 30).select("qid", F.lit(n).alias("period"), "id", "score") for n, lo, hi in two]
     found = R.multi_period(best[0].unionByName(best[1]), R.in_periods(lexical, years, periods), 10)
-    return found.select("qid", "id", "rank", R6("score").alias("score"))
+    return found.select("qid", "id", F.col("rank").cast("long").alias("rank"), R6("score").alias("score"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -390,7 +411,7 @@ def local_answer(spark, sf_dir):
     return A.extractive_answers(_bench(spark, sf_dir), hits)
 
 
-@register()
+@register("select qid, " + LIT(A.CONTRACT) + " || chr(10) || chr(10) || '<passages>' || chr(10) || passages || chr(10) || '</passages>' || chr(10) || chr(10) || '<question>' || chr(10) || " + LIT(QUESTION) + " || chr(10) || '</question>' || chr(10) as prompt from (" + SQL["passage_block"] + ")")
 def build_prompt(spark, sf_dir):
     w = Window.partitionBy("source_file").orderBy("id")
     hits = letters(spark, sf_dir).withColumn("rank", F.row_number().over(w) - 1).where("rank < 8").withColumn("qid", F.col("source_file"))
