@@ -91,22 +91,24 @@ def recursive_chunks(df: DataFrame, c: Column, size: int = SIZE, overlap: int =
     return merge_short(split(F.coalesce(c, F.lit(""))), least, size + overlap)
 
 
-def chunk_table(letters: DataFrame, chunks: Column) -> DataFrame:
+def chunk_table(letters: DataFrame, chunks: Column, name: Column | None = None) -> DataFrame:
     """The chunk records of letters (year, source_file, ...): numbers, tags, titles and links.
 
-    A letter without chunks gives no row here; count letters from ``letters``.
+    A chunk's id is its letter's ``name`` and its number; the name is the year, which
+    tells letters apart where each year has one file.  A letter without chunks gives no row here; count letters from ``letters``.
     """
     w = Window.partitionBy("year", "source_file").orderBy("chunk_index")
-    one = letters.select("year", "source_file", F.posexplode(chunks).alias("chunk_index", "text"))
+    name = F.col("year") if name is None else name
+    one = letters.select("year", "source_file", name.cast("string").alias("name"), F.posexplode(chunks).alias("chunk_index", "text"))
     ided = one.withColumns(
         {
-            "id": F.concat_ws("_", F.col("year").cast("string"), F.col("chunk_index").cast("string")),
+            "id": F.concat_ws("_", "name", F.col("chunk_index").cast("string")),
             "decade": T.decade(F.col("year")),
             "total_chunks": F.count("*").over(Window.partitionBy("year", "source_file")).cast("int"),
             "topics": T.topic_tags(F.col("text")),
         }
     )
-    return ided.withColumns(
+    return ided.drop("name").withColumns(
         {
             "chunk_id": F.concat((F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total_chunks").cast("string")),
             "n_topics": F.size("topics"),

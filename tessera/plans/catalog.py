@@ -151,7 +151,7 @@ def chunk_recursive(spark, sf_dir):
 @register()
 def chunk_record(spark, sf_dir):
     own = letters(spark, sf_dir).withColumn("source_file", F.concat_ws("/", "source_file", F.col("id").cast("string")))
-    return C.chunk_table(own, C.recursive_chunks(own, T.clean(F.col("text"))))
+    return C.chunk_table(own, C.recursive_chunks(own, T.clean(F.col("text"))), F.concat_ws("_", F.col("year").cast("string"), F.col("id").cast("string")))
 
 
 S_BARE = r"list_transform(list_slice(regexp_split_to_array(text, '\r\n|\n|\r'), 1, 8), lambda x: regexp_replace(x, '^[ \-*\t]+|[ \-*\t]+$', '', 'g'))"

@@ -368,12 +368,36 @@ def cite_parse(spark, sf_dir):
     return _answers(spark).select("qid", F.posexplode(A.parse_citations(F.col("answer"), F.lit(3))).alias("pos", "c")).select("qid", "pos", "c.raw_numbers", "c.passage_indices")
 
 
-@register()
+def _s_strip(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _s_split(x, ahead):
+    """SQL: the stripped parts of ``x`` between an end of sentence and white space before one of ``ahead``, empty ones too."""
+    return f"list_transform(string_split(regexp_replace({_s_strip(x)}, '([.!?])\\s+([{ahead}])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda y: {_s_strip('y')})"
+
+
+S_SENTENCES = f"list_filter({_s_split('answer', 'A-Z0-9&')}, lambda y: y <> '')".replace("&", '"\'\'')
+S_MARKS = "list_transform(regexp_extract_all({}, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), lambda m: list_transform(regexp_split_to_array(m, '\\s*,\\s*'), lambda x: x::integer))"
+
+
+@register(
+    f"with {S_ANSWERS}, h as (select row_number() over (order by doc_id) as n, regexp_extract_all(lower(text), '[A-Za-z0-9'']+') as p from documents order by doc_id limit 3), "
+    f"o as (select qid, {S_SENTENCES} as sents, {S_MARKS.format('answer')} as marks from an), "
+    f"st as (select qid, unnest(sents) as sentence, generate_subscripts(sents, 1) as pos from o), "
+    f"ci as (select qid, pos, regexp_extract_all(lower(sentence), '[A-Za-z0-9'']+') as s, unnest(list_distinct(flatten({S_MARKS.format('sentence')}))) as n from st), "
+    "pp as (select qid, pos, s, p, list_distinct(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1])) as sp, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) as pw from ci join h using (n)), "
+    "su as (select qid, pos, max(case when len(s) < 2 or len(p) < 2 then case when len(s) = 0 then 0 else len(list_intersect(list_distinct(s), p)) / len(list_distinct(s)) end else len(list_intersect(sp, pw)) / len(sp) end) as support from pp group by all), "
+    "tt as (select qid, count(*) as n_cited, avg(support) as mean_support from su group by 1) "
+    "select qid, cast(len(sents) as integer) as n_sentences, coalesce(n_cited, 0) as n_cited, round(case when len(sents) > 0 then coalesce(n_cited, 0) / len(sents) else 0 end, 6) as citation_coverage, "
+    "round(case when len(sents) > 0 and len(marks) > 0 then len(list_filter(marks, lambda m: len(list_filter(m, lambda x: x < 1 or x > 3)) > 0)) / len(marks) else 0 end, 6) as invalid_citation_rate, "
+    "round(coalesce(mean_support, 0), 6) as mean_support from o left join tt using (qid)"
+)
 def faith(spark, sf_dir):
     """Coverage, invalid rate and support of the stated answers over three documents."""
     hits = table(spark, sf_dir, "documents").orderBy("doc_id").limit(3).select((F.row_number().over(Window.orderBy("doc_id")) - 1).alias("rank"), "text")  # the three passages are the feature
     each = hits.crossJoin(F.broadcast(_answers(spark).select("qid")))
-    return A.faithfulness(_answers(spark), each)
+    return A.faithfulness(_answers(spark), each).select("qid", "n_sentences", "n_cited", *(R6(c).alias(c) for c in ("citation_coverage", "invalid_citation_rate", "mean_support")))
 
 
 def _next_ids(ids, span=1024):
@@ -398,7 +422,10 @@ def lex_support(spark, sf_dir):
     return own.join(after, "doc_id").join(texts, "pair", "left").select("doc_id", R6(A.lexical_support(F.col("text"), F.coalesce("next", F.lit("")))).alias("support"))
 
 
-@register()
+@register(
+    f"select doc_id, cast(len({S_SENTENCES.replace('answer', 'text')}) as integer) as n_sentences, "
+    + "cast(len(list_filter({}, lambda y: length(y) >= {})) as integer) as n_long from documents".format(_s_split("regexp_replace(text, '\\s+', ' ', 'g')", "A-Z\"''("), A.LEAST_CHARS)
+)
 def sent_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(A.split_sentences(F.col("text"))).alias("n_sentences"), F.size(A.answer_sentences(F.col("text"))).alias("n_long"))
 

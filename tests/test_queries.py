@@ -47,3 +47,14 @@ def test_entry_has_rows(spark):
 @pytest.mark.parametrize("name", ["chunk_record", "dedup", "hybrid", "multi_period", "faith", "local_answer", "rate_limit", "q_expand_parse"])
 def test_has_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
+
+
+def test_chunk_ids_are_unique(spark):
+    """Ids tell the chunks of all letters apart, though letters share years; links stay within a letter."""
+    own = entry.queries()["chunk_record"](spark, SF).select("id", "source_file", "chunk_index", "previous_chunk_id", "next_chunk_id").collect()
+    by = {r["id"]: r for r in own}
+    assert len(by) == len(own) > 0
+    for r in own:
+        for link, step in (("previous_chunk_id", -1), ("next_chunk_id", 1)):
+            if r[link] is not None:
+                assert (by[r[link]]["source_file"], by[r[link]]["chunk_index"]) == (r["source_file"], r["chunk_index"] + step)
