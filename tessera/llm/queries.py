@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import decontaminate, fixity, html_text, lang_id, licenses, line_dedup, neardup, packing, quality, url_lists
+from . import decontaminate, fixity, html_text, lang_id, licenses, line_dedup, neardup, packing, quality, spelling, token_counts, url_lists, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,28 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def _s_round(k: int) -> str:
+    """SQL: a<k>, each part's nearest entry in b<k>, and b<k + 1>, the entries moved to their means."""
+    return (
+        f"a{k} as materialized (select p.r, p.part, any_value(x) as x, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint * 64 + e) as best from p join b{k} using (part) group by p.r, p.part), "
+        f"m{k} as (select part, best % 64 as e, i, sum(x[i])::bigint as s, count(*) as n from a{k}, unnest(range(1, len(x) + 1)) as t(i) group by all), "
+        f"n{k} as (select part, e, list((s - ((s % n) + n) % n) // n order by i) as c from m{k} group by all), "
+        f"b{k + 1} as materialized (select part, e, coalesce(n{k}.c, b{k}.c) as c from b{k} left join n{k} using (part, e)), "
+    )
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_url_filters": op2_url_filters,
@@ -89,6 +111,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
+    "op11_token_counts": op11_token_counts,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": """
@@ -156,4 +181,28 @@ SQL: dict[str, str] = {
         select p.file, p.pos as "offset", case when d.payload is null then 'missing' else 'changed' end as kind, sha256(p.payload) as left_hash, sha256(d.payload) as right_hash,
           cast(strlen(p.payload) as bigint) as left_bytes, cast(strlen(d.payload) as bigint) as right_bytes
         from p left join d using (file, pos) where d.payload is null or d.payload <> p.payload""",
+    "op12_vector_codes": f"""
+        with v as materialized (select row_number() over (order by vec_id) as r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+          where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        p as materialized (select r, part, list_slice(v, part * (len(v) // 16) + 1, (part + 1) * (len(v) // 16)) as x from v, unnest(range(16)) as t(part)),
+        b0 as materialized (select part, r - 1 as e, x as c from p where r <= 64),
+        {_s_round(0)}{_s_round(1)}
+        a2 as materialized (select p.r, p.part, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint * 64 + e) as best from p join b2 using (part) group by p.r, p.part),
+        g as (select r, string_agg(printf('%02x', best % 64), '' order by part) as code, sum(best // 64)::bigint as error from a2 group by 1)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, (select sha256(string_agg(array_to_string(c, ','), ',' order by part, e)) from b2) as codebooks_sha256 from v join g using (r)""",
+    "op13_spelling_variants": """
+        with recursive crc as materialized (select list(list_reduce(range(0, 8), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as t from range(256) as r(i)),
+        d as materialized (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as n
+          from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) as r from documents) group by all),
+        h as materialized (select d.*, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || w, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end)),
+          lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]), 4294967295::bigint), 4294967295) as h from d, crc),
+        c as materialized (select case when h % 199 = 0 then left(w, (h % length(w))::integer) || substr(w, (h % length(w))::integer + 2) else w end as word, sum(n)::bigint as n from h group by 1 having length(word) >= 6 and sum(n) >= 5),
+        k as materialized (select word, n, i, left(word, i::integer - 1) || substr(word, i::integer + 1) as gap from c, unnest(range(1, length(word) + 1)) as u(i)),
+        pairs as (select distinct a.word as word, b.word as other, b.n as other_n from k a join k b on a.gap = b.gap and a.i = b.i and a.word <> b.word),
+        less as (select distinct k.word, k.n, c.word as other, c.n as other_n from k join c on c.word = k.gap),
+        near as materialized (select * from pairs union all select word, other, other_n from less union all select other, word, n from less),
+        best as (select word, count(*) as n_near, arg_min({'o': other, 'n': other_n}, (-other_n, encode(other))) as b from near group by 1),
+        f as materialized (select c.word, c.n, coalesce(n_near, 0) as n_near, case when b.n >= 5 * c.n then b.o end as form, case when b.n >= 5 * c.n then b.n end as form_n from c left join best using (word)),
+        walk as (select word, word as at, form as next from f union all select walk.word, walk.next, f.form from walk join f on f.word = walk.next)
+        select f.word, f.form, walk.at as root, f.n, f.n_near, f.form_n from f join walk on walk.word = f.word and walk.next is null""",
 }
