@@ -59,11 +59,15 @@ def build_bm25(docs: DataFrame, id_col: str, text_col: str, path: str | None = N
     # a document's first row, whichever it is, stands for it
     dl = kept(counted.groupBy("id").agg(F.max("dl").alias("dl")), "dl")
     stats = kept(dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats")
-    raw = tf.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
-    raw = kept(raw, "raw")
+    df = kept(tf.groupBy("tok").agg(F.count("*").alias("df")), "frequencies")
+    return Bm25Index(tf, dl, kept(inverse_frequencies(df, stats), "idf"), stats)
+
+
+def inverse_frequencies(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(tok, df, idf) from (tok, df) and one row of (n, ...); what is negative becomes a share of the mean."""
+    raw = df.crossJoin(F.broadcast(stats.select("n"))).select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
-    return Bm25Index(tf, dl, kept(idf, "idf"), stats)
+    return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
 def if_small(df: DataFrame) -> DataFrame:
@@ -75,9 +79,8 @@ def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """(qid, id, score) of documents that hold a token of the query (qid, query); a repeated token counts again.
 
     The postings of the queries' tokens are dealt by id, so that a document's
-    scores for all queries are summed where its postings are, and what comes
-    after (the best k) starts from whole scores: nothing of the size of queries
-    times documents is shuffled.
+    scores for all queries are summed where its postings are.  Whoever wants the
+    best k alone asks ``impact_best``, which does not score every document.
     """
     toks = queries.select("qid", F.explode(bm25_tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf"))
     weights = if_small(toks.join(index.idf, "tok").select("qid", "tok", (F.col("qf") * F.col("idf")).alias("w")))
@@ -86,29 +89,30 @@ def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     return hit.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(index: Bm25Index, queries: DataFrame, k: int, *, keep: DataFrame | None = None) -> DataFrame:
+def bm25_topk(index: Bm25Index, queries: DataFrame, k: int, *, keep: DataFrame | None = None, best: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best for each query, ties by id, rank from 0.
 
     Documents without a token of the query score 0 and fill up k: of those only
     the k smallest ids can matter, so no more than k a query are added.  keep:
-    ids that pass a filter, which comes after scoring.
+    ids that pass a filter, which comes after scoring; best: (qid, id, score) that
+    hold each question's k best, such as ``impact_best`` finds them.
     """
-    score = bm25_scores(index, queries)
+    score = bm25_scores(index, queries) if best is None else best
     ids = index.dl.select("id")
     if keep is not None:
         score, ids = score.join(keep.select("id"), "id", "left_semi"), ids.join(keep.select("id"), "id", "left_semi")
-    asked = queries.where(F.size(bm25_tokens(F.col("query"))) > 0).select("qid")
+    toks = queries.select("qid", F.explode(bm25_tokens(F.col("query"))).alias("tok")).distinct()
     # a document of the first k + hits is always among the k smallest without a hit; the sizes are k a query
-    best = _top(score, k)
     rest = ids.orderBy("id").limit(2 * k)
-    fill = rest.crossJoin(F.broadcast(asked)).join(best.select("qid", "id"), ["qid", "id"], "left_anti")
-    fill = fill.join(score.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"))
-    return _top(best.select("qid", "id", "score").unionByName(fill), k)
+    held = index.tf.select("id", "tok").join(F.broadcast(rest), "id", "left_semi").join(if_small(toks), "tok").select("qid", "id").distinct()  # 2k ids
+    fill = rest.crossJoin(if_small(toks.select("qid").distinct())).join(held, ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"))
+    return _top(_top(score, k).select("qid", "id", "score").unionByName(fill), k)
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:
+    """The k best of each question; a limit on the bare row number is one that tasks apply before they shuffle."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def check_width(vectors: DataFrame, width: int, col: str = "embedding") -> DataFrame:
@@ -184,37 +188,6 @@ def fit_cells(vectors: DataFrame, cells: int, *, vec_col: str = "embedding", sam
     return centres
 
 
-def assign_cells(vectors: DataFrame, centres: np.ndarray, probes: int = 1, *, vec_col: str = "embedding") -> DataFrame:
-    """A row for each of a vector's nearest cells, with ``cell``; every vector that is not null has its cells."""
-    ship(vectors.sparkSession)
-
-    def nearest(batches):
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if len(pdf) and len(centres):
-                s = _unit(np.array(pdf[vec_col].tolist(), float)) @ centres.T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :probes]
-                out = pdf.loc[pdf.index.repeat(best.shape[1])].copy()
-                out["cell"] = best.ravel()
-                yield out
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
-    return vectors.mapInPandas(nearest, f"{schema}, cell int")
-
-
-def vector_ann(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, *, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """(qid, id, score, rank): the k of highest cosine among the vectors of each query's nearest cells.
-
-    indexed: what ``assign_cells`` returns for all vectors.  Queries meet vectors by
-    cell; neither side is collected, and Spark splits a large cell.
-    """
-    unit = normalized(F.col("vec"))
-    asked = assign_cells(queries.select("qid", "vec"), centres, probes, vec_col="vec").select("qid", "cell", unit.alias("q"))
-    own = indexed.select(F.col(id_col).alias("id"), "cell", normalized(F.col(vec_col)).alias("v"))
-    score = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return _top(asked.join(own, "cell").select("qid", "id", F.round(score, 12).alias("score")), k)
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Old rows with those of a new key replaced or added; of several new ones the last by ``order``."""
     w = Window.partitionBy(key).orderBy(F.desc(order))

@@ -12,8 +12,12 @@ STRATEGIES = ("naive", "vector", "metadata", "hybrid", "hybrid_multi")
 
 
 def ranked(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return first_rows(scores, k, Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
+
+
+def first_rows(df: DataFrame, k: int, w) -> DataFrame:
+    """The first k rows of each window with their ``rank`` from 0; tasks keep k rows a window before they shuffle."""
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def rrf(rankings: DataFrame, k: int, *, by: tuple[str, ...] = ("qid",), constant: int = RRF_K) -> DataFrame:
@@ -24,7 +28,7 @@ def rrf(rankings: DataFrame, k: int, *, by: tuple[str, ...] = ("qid",), constant
     weight = F.col("weight") if "weight" in rankings.columns else F.lit(1.0)
     fused = rankings.groupBy(*by, "id").agg(F.sum(weight / (constant + F.col("rank") + 1)).alias("score"), F.min(F.struct("src", "rank")).alias("seen"))
     w = Window.partitionBy(*by).orderBy(F.desc(F.round("score", 12)), "seen", "id")
-    return fused.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(*by, "id", "score", "rank")
+    return first_rows(fused, k, w).select(*by, "id", "score", "rank")
 
 
 def minmax_rerank(raw: DataFrame, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import query as Q, text as T
-from ..operators import answer as A, chunk as C, embed as E, index as I, metrics as M, retrieve as R
+from ..operators import answer as A, chunk as C, embed as E, index as I, inverted as V, metrics as M, retrieve as R
 from ..session import shared_dir
 from ..sources import files
 from .catalog import LETTERS, LIT, S_CHUNKS, _chunks, letters, register, table
@@ -225,8 +225,7 @@ def emb_query(spark, sf_dir):
 
 @register()
 def vec_ann(spark, sf_dir):
-    """Every vector whose id is divisible by 100 against the vectors of its nearest cells; every vector is indexed."""
+    """Every vector whose id is divisible by 100 by an inverted file of codes; every vector is indexed."""
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    centres = I.fit_cells(own, 32)
-    indexed = I.assign_cells(own, centres)
-    return I.vector_ann(indexed, centres, _vector_queries(spark, sf_dir), 10, 20).select("qid", "id", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+    found = V.inverted_topk(V.build_inverted(own), _vector_queries(spark, sf_dir), 10)
+    return found.select("qid", "id", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"))

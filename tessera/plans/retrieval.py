@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import Window, functions as F
 
 from ..functions import query as Q, text as T
-from ..operators import answer as A, index as I, metrics as M, retrieve as R
-from ..session import shared_dir
+from ..operators import answer as A, impact as X, index as I, metrics as M, retrieve as R, segments as G
+from ..session import shared_dir, written
+from ..sources.versioned import VersionedTable
+from ..streaming import limiter as L
 from .catalog import LETTERS, LIT, QUERIES, SQL, S_CHUNKS, S_LINKED, _chunks, _linked, letters, register, table  # noqa: F401
 
 R6 = lambda c: F.round(c, 6)
@@ -67,15 +69,35 @@ S_SCORES = (
 _indexes: dict = {}
 
 
+def _state(docs):
+    """What tells a table's files from those of another time: how many there are, and a sum over paths, sizes and times."""
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time") % (1 << 40))).first())
+
+
 def _index(spark, sf_dir):
-    """The BM25 index of ``documents``, written to the shared folder once a session and table."""
+    """The BM25 index of ``documents``, written to the shared folder once a session and state of the table."""
     docs = table(spark, sf_dir, "documents")
-    key = spark.sparkContext.applicationId, tuple(sorted(docs.inputFiles()))
+    key = spark.sparkContext.applicationId, sf_dir, _state(docs)
     if key not in _indexes:
         _indexes[key] = I.build_bm25(docs, "doc_id", "text", f"{shared_dir(spark)}/tessera/bm25-{uuid.uuid4().hex}")
     return _indexes[key]
 
 
+def _impact(spark, sf_dir):
+    """Its impact-bounded blocks, with the letters' years."""
+    index = _index(spark, sf_dir)
+    key = "impact", id(index)
+    if key not in _indexes:
+        _indexes[key] = X.build_impact(index, f"{shared_dir(spark)}/tessera/impact-{uuid.uuid4().hex}", carried=letters(spark, sf_dir).groupBy("id").agg(F.max("year").alias("year")))
+    return _indexes[key]
+
+
+def _best(spark, sf_dir, queries, k, slot=None):
+    """(qid, slot, id, score): candidates that hold the k best of each slot, with the scores' last bits off."""
+    return X.impact_best(_impact(spark, sf_dir), queries, k, slot=slot).withColumn("score", F.round("score", 9))
+
+
 def _one_question(spark):
     return spark.createDataFrame([(0, QUESTION)], "qid int, query string")
 
@@ -90,13 +112,12 @@ def bm25_build(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     """The ten best documents for a fixed question, with their years and snippets."""
     own = letters(spark, sf_dir)
-    index = _index(spark, sf_dir)
-    best = _bm25_top(index, _one_question(spark), 10)
+    best = _bm25_top(spark, sf_dir, _one_question(spark), 10)
     return best.join(own, "id").select("id", "year", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"), T.snippet(F.col("text")).alias("preview"))
 
 
-def _bm25_top(index, queries, k):
-    return R.ranked(I.bm25_topk(index, queries, k).withColumn("score", F.round("score", 9)).drop("rank"), k)
+def _bm25_top(spark, sf_dir, queries, k):
+    return I.bm25_topk(_index(spark, sf_dir), queries, k, best=_best(spark, sf_dir, queries, k))
 
 
 S_BENCH = "qs as (select item_id as qid, text as query from benchmark)"
@@ -109,9 +130,7 @@ def _bench(spark, sf_dir):
 @register(f"with {S_BENCH}, {S_SCORES} select qid, id, round(score, 6) as score from (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as r from sc) where r <= 5")
 def bm25_score(spark, sf_dir):
     """Every benchmark item as a question against all documents."""
-    index = _index(spark, sf_dir)
-    scores = I.bm25_scores(index, _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return R.ranked(scores, 5).select("qid", "id", R6("score").alias("score"))
+    return R.ranked(_best(spark, sf_dir, _bench(spark, sf_dir), 5), 5).select("qid", "id", R6("score").alias("score"))
 
 
 S_GOLD = "rel as (select item_id as qid, doc_id as id from benchmark b join documents d on contains(d.text, b.text)), hit as (select qid from rel group by 1)"
@@ -121,12 +140,15 @@ S_RANKS = (
 )
 
 
+def _whole(spark, sf_dir, k=30):
+    """BM25 over all letters."""
+    return R.ranked(_best(spark, sf_dir, _bench(spark, sf_dir), k), k)
+
+
 def _two_rankings(spark, sf_dir, k=30):
     """BM25 over all letters, and over those of 1985 to 2017, both with the statistics of all."""
-    own = letters(spark, sf_dir)
-    scores = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    inside = scores.join(own.where("year between 1985 and 2017").select("id"), "id", "left_semi")
-    return R.ranked(scores, k), R.ranked(inside, k)
+    inside = _best(spark, sf_dir, _bench(spark, sf_dir), k, F.when(F.col("year").between(1985, 2017), 0))
+    return _whole(spark, sf_dir, k), R.ranked(inside, k)
 
 
 S_FUSED = "fused as (select qid, id, round(sum(w / (60 + rank + 1)), 12) as score, min(src * 1000 + rank) as seen from u group by all), top as (select *, row_number() over (partition by qid order by score desc, seen, id) as r from fused)"
@@ -148,22 +170,22 @@ def rrf_weighted(spark, sf_dir):
 
 @register(f"with {S_BENCH}, {S_SCORES}, y as (select *, cast((1977 + id % 48) // 10 * 10 as integer) as decade from sc), t as (select *, row_number() over (partition by qid, decade order by round(score, 9) desc, id) as r from y), g as (select qid, d.decade from (select distinct qid from sc), (select unnest([1980, 1990, 2000, 2010, 2020])::integer as decade) d) select g.qid, g.decade, id, round(score, 6) as score from g left join (select * from t where r <= 3) t using (qid, decade)")
 def topk_decade(spark, sf_dir):
-    own = letters(spark, sf_dir)
-    scores = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9)).join(own.select("id", "decade"), "id")
-    return R.topk_by_decade(scores, [1980, 1990, 2000, 2010, 2020]).select("qid", "decade", "id", R6("score").alias("score"))
+    decade = T.decade(F.col("year"))
+    best = _best(spark, sf_dir, _bench(spark, sf_dir), 3, decade).withColumn("decade", F.col("slot").cast("int"))
+    return R.topk_by_decade(best, [1980, 1990, 2000, 2010, 2020]).select("qid", "decade", "id", R6("score").alias("score"))
 
 
 @register(f"with {S_BENCH}, {S_SCORES}, {S_RANKS}, c as (select qid, id, round(score, 9) as raw from sc qualify row_number() over (partition by qid order by round(score, 9) desc, id) <= 30), m as (select *, min(raw) over (partition by qid) as lo, max(raw) over (partition by qid) as hi from c) select qid, id, round(case when hi = lo then 1 else (raw - lo) / (hi - lo) end, 6) as score from m qualify row_number() over (partition by qid order by round(case when hi = lo then 1 else (raw - lo) / (hi - lo) end, 9) desc, id) <= 8")
 def rerank(spark, sf_dir):
     """Min-max scores over each question's 30 candidates, the BM25 score standing in for a model's."""
-    whole, _ = _two_rankings(spark, sf_dir)
+    whole = _whole(spark, sf_dir)
     return R.ranked(R.minmax_rerank(whole.select("qid", "id", F.col("score").alias("raw")), 30).withColumn("score", F.round("score", 9)).drop("rank"), 8).select("qid", "id", R6("score").alias("score"))
 
 
 @register()
 def dedup(spark, sf_dir):
     """Greedy removal of repeats among each question's 30 candidates, in rank order."""
-    whole, _ = _two_rankings(spark, sf_dir)
+    whole = _whole(spark, sf_dir)
     hits = whole.join(letters(spark, sf_dir).select("id", "text"), "id")
     return R.drop_repeats(hits).select("qid", "id", "rank", R6("score").alias("score"))
 
@@ -244,7 +266,7 @@ def _held_items(spark, sf_dir):
 def _flags(spark, sf_dir):
     """The ten best for each item that some document holds; relevant documents hold the item."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    whole, _ = _two_rankings(spark, sf_dir, 10)
+    whole = _whole(spark, sf_dir, 10)
     held = whole.join(docs, "id").join(_bench(spark, sf_dir), "qid").withColumn("relevant", F.contains("text", F.col("query")))
     return held.join(_held_items(spark, sf_dir), "qid", "left_semi").select("qid", "rank", "relevant", F.col("relevant").alias("year_hit"))
 
@@ -295,11 +317,48 @@ def win_history(spark, sf_dir):
     return A.history_block(table(spark, sf_dir, "conversations"))
 
 
-@register()
+
+
+def _s_rates(most, seconds):
+    """SQL: vd(event_id, key, t, anchor, nth, allowed) of the events as requests."""
+    return (
+        "rq as materialized (select event_id, user_id || ':' || event_type as key, epoch_us(ts) / 1e6 as t from events), "
+        f"ac as (select key, min(t) as t from rq group by 1 union all select ac.key, min(rq.t) from ac join rq on rq.key = ac.key and rq.t >= ac.t + {seconds} group by ac.key, ac.t), "
+        f"ve as (select event_id, rq.key, rq.t, anchor, row_number() over (partition by rq.key, anchor order by rq.t, event_id) as nth from (select rq.*, max(ac.t) as anchor from rq join ac on ac.key = rq.key and ac.t <= rq.t group by all) rq), "
+        f"vd as (select *, nth <= {most} as allowed from ve)"
+    )
+
+
+def _requests(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").alias("at"), "event_id")
+
+
+@register(f"with recursive {_s_rates(2, 60.0)} select key, count(*) as n, count(*) filter (not allowed) as denied, count(*) filter (nth = 1) as windows from vd group by 1")
 def rate_limit(spark, sf_dir):
     """At most two requests of a user and type in a minute from the first."""
-    own = table(spark, sf_dir, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").alias("at"))
-    return M.rate_limit(own, 2, 60.0)
+    return M.rate_limit(_requests(spark, sf_dir), 2, 60.0)
+
+
+@register(f"with recursive {_s_rates(1, 86400.0)} select event_id, key, round(t, 6) as \"at\", round(anchor, 6) as anchor, nth, allowed from vd")
+def rate_verdicts(spark, sf_dir):
+    """A verdict for every request: one of a user and type in a day from the first."""
+    told = M.rate_verdicts(_requests(spark, sf_dir), 1, 86400.0, id_col="event_id")
+    return told.select(F.col("id").alias("event_id"), "key", R6("at").alias("at"), R6("anchor").alias("anchor"), F.col("nth").cast("long").alias("nth"), "allowed")
+
+
+@register(f"with recursive {_s_rates(1, 86400.0)} select key, round(t, 6) as \"at\", allowed from vd")
+def rate_stream(spark, sf_dir):
+    """The same limit by a stream that is stopped and started again twice, each time with more of the events."""
+    rows = _requests(spark, sf_dir)
+    rows = written(rows.select("key", M.seconds_of(rows).alias("at")).where("key is not null and at is not null"), "requests")
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    base = f"{shared_dir(spark)}/tessera/rates-{uuid.uuid4().hex}"
+    third = F.least(F.lit(2), F.floor((F.col("at") - F.lit(low)) / F.lit(max((high or 0) - (low or 0), 1e-6) / 3)))
+    for n in range(3):
+        rows.where(third == n).write.mode("append").parquet(f"{base}/in")
+        requests = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        L.run_limiter(requests, f"{base}/out", f"{base}/checkpoint", 1, 86400.0)
+    return spark.read.schema("key string, at double, allowed boolean").parquet(f"{base}/out").select("key", R6("at").alias("at"), "allowed")
 
 
 # ---------------------------------------------------------------- joins, context, answers
@@ -315,6 +374,35 @@ def j_upsert(spark, sf_dir):
     return I.upsert(old.withColumn("at", F.lit(-1)), first.unionByName(later).unionByName(added), "id", "at").select("id", "v")
 
 
+@register(
+    "with a as (select doc_id as id, source as v from documents where doc_id % 2 = 0), b as (select doc_id as id, 'new' || doc_id % 7 as v from documents where doc_id % 3 = 0), "
+    "c as (select * from a where id not in (select id from b) union all select * from b) "
+    "select 1 as version, * from a union all select 2, * from c union all select 3, * from c where id % 5 <> 0"
+)
+def store_versions(spark, sf_dir):
+    """A versioned table after an insert, an upsert and a deletion, read at each of its three versions."""
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("v")).where("id is not null")
+    store = VersionedTable(spark, f"{shared_dir(spark)}/tessera/store-{uuid.uuid4().hex}", "id")
+    store.upsert(own.where("id % 2 = 0"), "v")
+    store.upsert(own.where("id % 3 = 0").withColumn("v", F.concat(F.lit("new"), (F.col("id") % 7).cast("string"))), "v")
+    store.upsert(own.limit(0), "v", deleted=own.where("id % 5 = 0"))
+    versions = [store.read(n).select(F.lit(n).alias("version"), "id", "v") for n in (1, 2, 3)]
+    return versions[0].unionByName(versions[1]).unionByName(versions[2])
+
+
+@register(f"with documents as (select * from documents where doc_id % 7 <> 0), {S_BM25} select tok, df, round(idf, 6) as idf from idf")
+def bm25_segments(spark, sf_dir):
+    """Statistics of an index that took four batches, the last a deletion, and was merged in between: those of an index built at once."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = G.SegmentedIndex(spark, f"{shared_dir(spark)}/tessera/segments-{uuid.uuid4().hex}")
+    index.add(own.where("doc_id % 2 = 0").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("draft "), F.left("text", F.lit(50)))).otherwise(F.col("text"))), "doc_id", "text")
+    index.add(own.where("doc_id % 2 = 1"), "doc_id", "text")
+    index.merge()
+    index.add(own.where("doc_id % 6 = 0"), "doc_id", "text")
+    index.add(own.limit(0), "doc_id", "text", deleted=own.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id")))
+    return index.index().idf.select("tok", "df", R6("idf").alias("idf"))
+
+
 @register("select h.id, d.source, d.text is not null as found from (select doc_id * 2 as id from documents) h left join documents d on d.doc_id = h.id")
 def j_lookup(spark, sf_dir):
     own = table(spark, sf_dir, "documents")
@@ -343,7 +431,7 @@ SQL["ctx_compose"], QUERIES["ctx_compose"] = SQL["ctx_expand"], QUERIES["ctx_exp
 def passage_block(spark, sf_dir):
     """The first eight letters of each source as numbered passages."""
     w = Window.partitionBy("source_file").orderBy("id")
-    hits = letters(spark, sf_dir).withColumn("rank", F.row_number().over(w) - 1).where("rank < 8").withColumn("qid", F.col("source_file"))
+    hits = R.first_rows(letters(spark, sf_dir), 8, w).withColumn("qid", F.col("source_file"))
     return A.passage_block(hits)
 
 
@@ -433,7 +521,7 @@ def sent_split(spark, sf_dir):
 @register()
 def local_answer(spark, sf_dir):
     """An extractive answer to every benchmark item from its best passages."""
-    whole, _ = _two_rankings(spark, sf_dir, 8)
+    whole = _whole(spark, sf_dir, 8)
     hits = whole.join(letters(spark, sf_dir).select("id", "text"), "id").select("qid", "rank", "text")
     return A.extractive_answers(_bench(spark, sf_dir), hits)
 
@@ -441,7 +529,7 @@ def local_answer(spark, sf_dir):
 @register("select qid, " + LIT(A.CONTRACT) + " || chr(10) || chr(10) || '<passages>' || chr(10) || passages || chr(10) || '</passages>' || chr(10) || chr(10) || '<question>' || chr(10) || " + LIT(QUESTION) + " || chr(10) || '</question>' || chr(10) as prompt from (" + SQL["passage_block"] + ")")
 def build_prompt(spark, sf_dir):
     w = Window.partitionBy("source_file").orderBy("id")
-    hits = letters(spark, sf_dir).withColumn("rank", F.row_number().over(w) - 1).where("rank < 8").withColumn("qid", F.col("source_file"))
+    hits = R.first_rows(letters(spark, sf_dir), 8, w).withColumn("qid", F.col("source_file"))
     return A.passage_block(hits).select("qid", A.build_prompt(F.lit(QUESTION), F.col("passages")).alias("prompt"))
 
 
@@ -500,7 +588,7 @@ def block_kind(spark, sf_dir):
 def first5(spark, sf_dir):
     """The first five rows of a year: the limit is the feature."""
     w = Window.partitionBy("year").orderBy("id")
-    return letters(spark, sf_dir).where("year = 1990").withColumn("chunk_index", F.row_number().over(w).cast("long") - 1).where("chunk_index < 5").select("id", "chunk_index", "text")
+    return R.first_rows(letters(spark, sf_dir).where("year = 1990"), 5, w).select("id", F.col("rank").cast("long").alias("chunk_index"), "text")
 
 
 @register()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as a Parquet table of its own below ``folder`` in the shared folder: what reads it starts from there."""
+    path = f"{shared_dir(df.sparkSession)}/tessera/{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults; conf overrides them (dots written as ``__``)."""
     builder = SparkSession.builder.appName(app)

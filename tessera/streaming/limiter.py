@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
+from ..sources.versioned import VersionedTable
 
 STATE = StructType([StructField("count", LongType()), StructField("reset", DoubleType())])
 
@@ -17,14 +19,16 @@ STATE = StructType([StructField("count", LongType()), StructField("reset", Doubl
 class AnchoredWindow(StatefulProcessor):
     """A window that starts at a key's first request; at or after its end the next request starts another.
 
-    The state of an idle key expires; requests of one batch are taken in time order.
+    Requests of one batch are taken in time order, batches in the order of their
+    times.  The state of an idle key expires after two windows by the clock,
+    unless the stream replays requests of another time.
     """
 
-    def __init__(self, most: int, window: float):
-        self.most, self.window = most, window
+    def __init__(self, most: int, window: float, expires: bool = True):
+        self.most, self.window, self.expires = most, window, expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", STATE, ttlDurationMs=int(2000 * self.window))
+        self.state = handle.getValueState("window", STATE, ttlDurationMs=int(2000 * self.window) if self.expires else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count, reset = self.state.get() if self.state.exists() else (0, float("-inf"))
@@ -42,9 +46,32 @@ class AnchoredWindow(StatefulProcessor):
         pass
 
 
-def limit_stream(requests: DataFrame, most: int, window_seconds: float) -> DataFrame:
-    """(key, at, allowed) for a stream of (key string, at seconds double); needs the RocksDB state store."""
-    return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=AnchoredWindow(most, window_seconds), outputStructType="key string, at double, allowed boolean", outputMode="Append", timeMode="ProcessingTime")
+def limit_stream(requests: DataFrame, most: int, window_seconds: float, *, replay: bool = False) -> DataFrame:
+    """(key, at, allowed) for a stream of (key string, at seconds double); needs the RocksDB state store.
+
+    replay: the requests' times are not those of the clock, so no state expires.
+    """
+    own = AnchoredWindow(most, window_seconds, expires=not replay)
+    return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=own, outputStructType="key string, at double, allowed boolean", outputMode="Append", timeMode="None" if replay else "ProcessingTime")
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider") -> Iterator[None]:
+    """The state store that typed state needs, for streams started here."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def run_limiter(requests: DataFrame, path: str, checkpoint: str, most: int, window_seconds: float) -> None:
+    """Decide all that a stream of requests (key, at) has now, append it to ``path`` and stop; a later run goes on where this one ended."""
+    with state_store(requests.sparkSession):
+        decided = limit_stream(requests, most, window_seconds, replay=True)
+        decided.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def letter_stream(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
@@ -52,3 +79,22 @@ def letter_stream(spark: SparkSession, path: str, pattern: str = "*.txt") -> Dat
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return files.select(T.year_of_name(name).alias("year"), name.alias("source_file"), T.clean(T.decode_utf8_or_latin1(F.col("content"))).alias("text")).where("year is not null")
+
+
+def ingest_letters(spark: SparkSession, path: str, store: VersionedTable, checkpoint: str, *, pattern: str = "*.txt", delay: str = "1 day") -> None:
+    """Upsert the letters of all new files below ``path`` into ``store`` (key ``source_file``) and stop.
+
+    A file is read once, as the checkpoint says; one that is delivered again under
+    another path with the same name and content within ``delay`` is the same
+    letter.  A batch that is tried again puts the same rows in place of themselves.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    rows = files.select("modificationTime", name.alias("source_file"), F.sha2("content", 256).alias("digest"), T.year_of_name(name).alias("year"), T.clean(T.decode_utf8_or_latin1(F.col("content"))).alias("text")).where("year is not null")
+    once = rows.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["source_file", "digest"])
+
+    def put(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            store.upsert(batch.withColumnRenamed("modificationTime", "modified"), "modified")
+
+    once.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
