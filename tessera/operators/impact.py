@@ -1,4 +1,4 @@
-"""BM25 by impact-bounded posting blocks: blocks that cannot reach the k-th score are skipped, and the result is exact.
+"""BM25 by impact-bounded posting blocks: what cannot reach the k-th score is skipped, and the result is exact.
 
 Documents are dealt into shards of a bounded number of them by a hash of the
 id.  Within a shard a token's postings, in order of the documents, are cut into
@@ -7,10 +7,11 @@ documents, and the highest frequency and least length in it, from which a
 bound of its scores follows under any statistics.  Both tables are bucketed by
 shard, so that a search meets a shard's blocks and documents without a shuffle.
 
-A search scores a shard's postings for one question after another, rarest
-token first.  The k-th score so far only rises.  A block is skipped where the best
+A search scores a shard's postings for one question after another, highest
+bound first.  The k-th score so far only rises.  A block is skipped where the best
 document in its range, the block's bound and the bounds of the tokens still to come
-together stay below it.  What leaves a task is k rows a question and shard.
+together stay below it; in other blocks the postings of documents that stay below
+it are.  What leaves a task is k rows a question and shard.
 """
 
 from __future__ import annotations
@@ -103,8 +104,13 @@ class ShardSearch:
             rest -= max(bounds[t])
             for (lo, hi, _, _, no, f), bound in zip(blocks, bounds[t]):
                 self.postings += len(no)
-                if reached > -np.inf and score[lo : hi + 1].max() + bound + rest < reached - SLACK * (1 + abs(reached)):
-                    continue
+                if reached > -np.inf:
+                    least = reached - SLACK * (1 + abs(reached)) - bound - rest
+                    if score[lo : hi + 1].max() < least:
+                        continue
+                    if least > 0:  # new documents come too late, and of those met only some can still win
+                        wins = score[no] >= least
+                        no, f = no[wins], f[wins]
                 self.scored += len(no)
                 score[no] += w * _gain(f, self.dl[no], self.avgdl)
                 seen[no] = True

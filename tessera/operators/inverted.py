@@ -24,6 +24,8 @@ from .index import QUERY_BLOCK, _top, _unit, fit_cells, normalized
 MOST_PARTS = 4096
 #: vectors in a partition of the whole ones, about
 PLACE = 4096
+#: the share of the cells that a question looks into: what vectors without clusters need; clustered ones need fewer
+PROBED = 0.48
 
 
 @dataclass
@@ -59,17 +61,17 @@ def _coded(centres: np.ndarray, copies: int, parts: int):
     return run
 
 
-def build_inverted(vectors: DataFrame, *, id_col: str = "id", vec_col: str = "embedding", cells: int | None = None, copies: int = 2, sample: int = 20_000) -> InvertedFile:
+def build_inverted(vectors: DataFrame, *, id_col: str = "id", vec_col: str = "embedding", cells: int | None = None, copies: int = 1, sample: int = 20_000) -> InvertedFile:
     """File all vectors that are not null, in the shared folder.
 
-    cells: 2 * sqrt(n) if not given; copies: in how many of its nearest cells a
+    cells: 4 * sqrt(n) if not given; copies: in how many of its nearest cells a
     vector is filed; the centres are fitted on ``sample`` vectors at most, or 16 a cell.
     """
     spark = vectors.sparkSession
     ship(spark)
     own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).where("vec is not null")
     n = own.count()
-    cells = max(1, math.ceil(2 * math.sqrt(n))) if cells is None else cells
+    cells = max(1, math.ceil(4 * math.sqrt(n))) if cells is None else cells
     centres = fit_cells(own, cells, vec_col="vec", sample=max(sample, 16 * cells)) if n else np.empty((0, 0))
     places, parts = max(1, min(MOST_PARTS, n // PLACE)), max(1, min(len(centres), MOST_PARTS))
     path = f"{shared_dir(spark)}/tessera/inverted-{uuid.uuid4().hex}"
@@ -109,14 +111,14 @@ def _scan(asked: np.ndarray, looked: dict[int, np.ndarray], centres: np.ndarray,
 def candidates(index: InvertedFile, queries: DataFrame, keep: int, probes: int | None = None) -> DataFrame:
     """(qid, id, score): each question's ``keep`` best by code; the questions (qid, vec) are a block of at most QUERY_BLOCK.
 
-    probes: into how many cells a question looks, two ninths of them if not given.
+    probes: into how many cells a question looks, PROBED of them, and 8 at least, if not given.
     """
     spark = queries.sparkSession
     rows = queries.where("vec is not null").select("qid", "vec").collect()
     kind = queries.schema["qid"].dataType.simpleString()
     id_kind = index.codes.schema["id"].dataType.simpleString()
     asked = _unit(np.array([r["vec"] for r in rows], float).reshape(len(rows), -1))
-    probes = math.ceil(len(index.centres) * 2 / 9) if probes is None else probes
+    probes = max(8, math.ceil(len(index.centres) * PROBED)) if probes is None else probes
     near = np.argsort(-(asked @ index.centres.T), axis=1, kind="stable")[:, :probes] if rows and len(index.centres) else np.empty((len(rows), 0), int)
     looked = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
     wanted = spark.createDataFrame([(c % index.parts, c) for c in looked], "part int, cell int")
@@ -129,11 +131,11 @@ def candidates(index: InvertedFile, queries: DataFrame, keep: int, probes: int |
 
 
 def inverted_topk(index: InvertedFile, queries: DataFrame, k: int, *, probes: int | None = None, rescored: int | None = None) -> DataFrame:
-    """(qid, id, score, rank): the k of highest cosine among the ``rescored`` (8 k if not given) best by code; ties by id.
+    """(qid, id, score, rank): the k of highest cosine among the ``rescored`` (3 k if not given) best by code; ties by id.
 
     Questions (qid, vec) are the stated set, taken in blocks.
     """
-    spark, keep = queries.sparkSession, 8 * k if rescored is None else rescored
+    spark, keep = queries.sparkSession, 3 * k if rescored is None else rescored
     n = queries.count()
     passes = max(1, -(-n // QUERY_BLOCK))
     path = f"{shared_dir(spark)}/tessera/inverted-search-{uuid.uuid4().hex}"
