@@ -29,6 +29,10 @@ class Bm25Index:
     idf: DataFrame
     stats: DataFrame
 
+    def postings(self, tokens: DataFrame) -> DataFrame:
+        """Those of ``tokens`` (tok, each once)."""
+        return self.tf.join(if_small(tokens.select("tok")), "tok", "left_semi")
+
     def write(self, path: str) -> None:
         for name in ("tf", "dl", "idf", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -38,6 +42,17 @@ class Bm25Index:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("tf", "dl", "idf", "stats")))
 
 
+def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tok, f, dl) of each document's distinct tokens, counted where its text is read; tok is null for one without any."""
+    toks = docs.select(F.col(id_col).alias("id"), F.array_sort(bm25_tokens(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("toks"))
+    # in order, a token's count is from its first place to the next token's
+    firsts = F.filter(F.sequence(F.lit(1), F.size("toks")), lambda i: (i == 1) | (F.get("toks", i - 1) != F.get("toks", i - 2)))
+    cut = toks.withColumn("at", F.when(F.size("toks") > 0, firsts).otherwise(F.array().cast("array<int>")))
+    each = cut.select("id", F.size("toks").cast("long").alias("dl"), "toks", "at", F.posexplode_outer("at").alias("k", "first"))
+    count = F.coalesce(F.get("at", F.col("k") + 1), F.size("toks") + 1) - F.col("first")
+    return each.select("id", F.get("toks", F.col("first") - 1).alias("tok"), F.coalesce(count, F.lit(1)).cast("long").alias("f"), "dl")
+
+
 def build_bm25(docs: DataFrame, id_col: str, text_col: str, path: str | None = None) -> Bm25Index:
     """Documents without tokens count in n and avgdl.
 
@@ -52,9 +67,7 @@ def build_bm25(docs: DataFrame, id_col: str, text_col: str, path: str | None = N
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    toks = docs.select(F.col(id_col).alias("id"), bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
-    counted = toks.select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("tok")).groupBy("id", "dl", "tok").agg(F.count("*").alias("f"))
-    counted = kept(counted, "postings")
+    counted = kept(token_counts(docs, id_col, text_col), "postings")
     tf = counted.where("tok is not null").select("id", "tok", "f", "dl")
     # a document's first row, whichever it is, stands for it
     dl = kept(counted.groupBy("id").agg(F.max("dl").alias("dl")), "dl")
@@ -84,7 +97,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """
     toks = queries.select("qid", F.explode(bm25_tokens(F.col("query"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qf"))
     weights = if_small(toks.join(index.idf, "tok").select("qid", "tok", (F.col("qf") * F.col("idf")).alias("w")))
-    hit = index.tf.join(if_small(toks.select("tok").distinct()), "tok", "left_semi").repartition("id").join(weights, "tok").crossJoin(F.broadcast(index.stats))
+    hit = index.postings(toks.select("tok").distinct()).repartition("id").join(weights, "tok").crossJoin(F.broadcast(index.stats))
     part = F.col("w") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
@@ -104,7 +117,7 @@ def bm25_topk(index: Bm25Index, queries: DataFrame, k: int, *, keep: DataFrame |
     toks = queries.select("qid", F.explode(bm25_tokens(F.col("query"))).alias("tok")).distinct()
     # a document of the first k + hits is always among the k smallest without a hit; the sizes are k a query
     rest = ids.orderBy("id").limit(2 * k)
-    held = index.tf.select("id", "tok").join(F.broadcast(rest), "id", "left_semi").join(if_small(toks), "tok").select("qid", "id").distinct()  # 2k ids
+    held = index.postings(toks.select("tok").distinct()).select("id", "tok").join(F.broadcast(rest), "id", "left_semi").join(if_small(toks), "tok").select("qid", "id").distinct()  # 2k ids
     fill = rest.crossJoin(if_small(toks.select("qid").distinct())).join(held, ["qid", "id"], "left_anti").select("qid", "id", F.lit(0.0).alias("score"))
     return _top(_top(score, k).select("qid", "id", "score").unionByName(fill), k)
 

@@ -18,9 +18,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import bm25_tokens
 from ..sources.versioned import VersionedTable
-from .index import Bm25Index, if_small, inverse_frequencies
+from .index import Bm25Index, if_small, inverse_frequencies, token_counts
 
 
 class SegmentedIndex:
@@ -39,9 +38,7 @@ class SegmentedIndex:
         known = self.segments()
         number = max((r["segment"] for r in known), default=0) + 1
         at = f"{self.path}/{number}-{uuid.uuid4().hex}"
-        toks = docs.select(F.col(id_col).alias("id"), bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("toks"))
-        counted = toks.select("id", F.size("toks").cast("long").alias("dl"), F.explode_outer("toks").alias("tok")).groupBy("id", "dl", "tok").agg(F.count("*").alias("f"))
-        counted.select("id", "tok", "f", "dl").write.parquet(f"{at}/postings")
+        token_counts(docs, id_col, text_col).write.parquet(f"{at}/postings")
         own = self.spark.read.parquet(f"{at}/postings")
         ids = own.select("id").distinct()
         gone = ids if deleted is None else ids.unionByName(deleted.select(F.col("id").cast(ids.schema["id"].dataType)))
@@ -72,7 +69,7 @@ class SegmentedIndex:
             each, dead = (own, out) if each is None else (each.unionByName(own), dead.unionByName(out))
         # a document is replaced in its first segment by itself: what counts is its last one
         last = dead.groupBy("id").agg(F.max("by").alias("by"))
-        return each.join(last, "id").where("segment = by").drop("segment", "by")
+        return each.join(if_small(last), "id").where("segment = by").drop("segment", "by")
 
     def index(self, version: int | None = None) -> Bm25Index:
         """The whole index as its batches have left it."""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import query as Q, text as T
-from ..operators import answer as A, chunk as C, index as I, metrics as M, retrieve as R
+from ..operators import answer as A, chunk as C, index as I, metrics as M, retrieve as R, topics as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -197,12 +197,60 @@ def _topic_sql(topics: dict) -> str:
 
 @register(_topic_sql(PROSE_TOPICS))
 def topic_tag(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.topic_tags(F.col("text"), PROSE_TOPICS).alias("topics"))
+    found = K.topics_of(table(spark, sf_dir, "documents"), K.keyword_table(spark, PROSE_TOPICS))
+    return found.select(F.col("id").alias("doc_id"), "topics")
+
+
+# SQL: the runs of words of a text, as keywords(topic, place, keyword, nth) are long, and each topic's hits from the left
+S_HITS = (
+    rf"wd as materialized (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as w, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+([^\p{{L}}\p{{N}}_]*)', 1) as gap from documents), "
+    rf"sz as (select distinct len(regexp_extract_all(keyword, '[\p{{L}}\p{{N}}_]+')) as size from keywords), "
+    "rn as (select doc_id, a, size, array_to_string(list_transform(range(a, a + size), lambda i: w[i] || case when i < a + size - 1 then gap[i] else '' end), '') as keyword from (select *, unnest(range(1, len(w) + 1)) as a from wd), sz where a + size - 1 <= len(w)), "
+    "mt as (select doc_id, topic, place, list([a, nth, size] order by a, nth) as met from rn join keywords using (keyword) group by all), "
+    "ht as (select doc_id, topic, place, (list_reduce(list_prepend([0::bigint, 0, 1], met), lambda s, x: case when x[1] >= s[3] then [0::bigint, s[2] + 1, x[1] + x[3]] else s end))[2] as hits from mt), "
+    "tp as (select doc_id, list(topic order by hits desc, place, topic) as topics from (select * from ht qualify row_number() over (partition by doc_id order by hits desc, place, topic) <= 4) group by 1)"
+)
+
+
+def _s_keywords(topics):
+    return "keywords(topic, place, keyword, nth) as (values " + ", ".join(f"({LIT(t)}, {i}, {LIT(k.lower())}, {n}::bigint)" for i, (t, keys) in enumerate(topics.items()) for n, k in enumerate(keys)) + ")"
+
+
+# the invented prose has none of the shipped keywords: each document's "the" becomes one of them
+SHIPPED = tuple(k for keys in T.TOPICS.values() for k in keys)
+
+
+@register(f"with docs0 as (select doc_id, replace(text, ' the ', ' ' || ([{', '.join(map(LIT, SHIPPED))}])[1 + doc_id % {len(SHIPPED)}] || ' ') as text from documents), documents as (select * from docs0), {_s_keywords(T.TOPICS)}, {S_HITS} select doc_id, topic, hits from ht")
+def topic_hits(spark, sf_dir):
+    """Hits of the shipped topics in every document."""
+    word = F.element_at(F.array(*map(F.lit, SHIPPED)), (1 + F.col("doc_id") % len(SHIPPED)).cast("int"))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit(" the "), F.concat(F.lit(" "), word, F.lit(" "))))
+    found = K.keyword_hits(docs, K.keyword_table(spark, T.TOPICS))
+    return found.select(F.col("id").alias("doc_id"), "topic", F.col("hits").cast("long").alias("hits"))
+
+
+@register(
+    r"with bw as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from benchmark), "
+    "kk as (select distinct unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as keyword from bw), "
+    "keywords as materialized (select 't' || length(keyword) % 14 as topic, (length(keyword) % 14)::integer as place, keyword, row_number() over (partition by length(keyword) % 14 order by md5(keyword)) as nth from kk), "
+    f"{S_HITS} select doc_id, coalesce(topics, []::varchar[]) as topics from documents left join tp using (doc_id)"
+)
+def topic_keywords(spark, sf_dir):
+    """Topics of every document by a table of thousands of keywords: all words and pairs of words of the benchmark."""
+    w = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(K.WORD), F.lit(0)).alias("w")).where("size(w) > 0")
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    place = F.length("keyword") % 14
+    nth = F.row_number().over(Window.partitionBy("place").orderBy(F.md5("keyword")))
+    keys = w.select(F.explode(F.concat("w", pairs)).alias("keyword")).distinct().withColumn("place", place)
+    keys = keys.select(F.concat(F.lit("t"), F.col("place").cast("string")).alias("topic"), "place", "keyword", nth.alias("nth"))
+    return K.topics_of(table(spark, sf_dir, "documents"), keys).select(F.col("id").alias("doc_id"), "topics")
 
 
 @register(f"with t as ({_topic_sql(PROSE_TOPICS)}) select cast((1977 + doc_id % 48) // 10 * 10 as integer) as decade, topic, count(*) as n from (select doc_id, unnest(topics) as topic from t) group by all")
 def topic_explode(spark, sf_dir):
-    return letters(spark, sf_dir).select("decade", F.explode(T.topic_tags(F.col("text"), PROSE_TOPICS)).alias("topic")).groupBy("decade", "topic").agg(F.count("*").alias("n"))
+    own = letters(spark, sf_dir)
+    tags = K.topics_of(own, K.keyword_table(spark, PROSE_TOPICS), id_col="id")
+    return own.select("id", "decade").join(tags, "id").select("decade", F.explode("topics").alias("topic")).groupBy("decade", "topic").agg(F.count("*").alias("n"))
 
 
 @register("select cast(1977 + doc_id % 48 as integer) as year, cast((1977 + doc_id % 48) // 10 * 10 as integer) as decade, count(*) as n from documents group by all")

@@ -75,22 +75,18 @@ def _state(docs):
     return tuple(files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time") % (1 << 40))).first())
 
 
-def _index(spark, sf_dir):
-    """The BM25 index of ``documents``, written to the shared folder once a session and state of the table."""
+def _impact(spark, sf_dir):
+    """The BM25 index of ``documents``, written to the shared folder once a session and state of the table; it carries the letters' years."""
     docs = table(spark, sf_dir, "documents")
     key = spark.sparkContext.applicationId, sf_dir, _state(docs)
     if key not in _indexes:
-        _indexes[key] = I.build_bm25(docs, "doc_id", "text", f"{shared_dir(spark)}/tessera/bm25-{uuid.uuid4().hex}")
+        own = letters(spark, sf_dir)
+        _indexes[key] = X.build_impact(own, "id", "text", f"{shared_dir(spark)}/tessera/bm25-{uuid.uuid4().hex}", carried={"year": F.col("year")})
     return _indexes[key]
 
 
-def _impact(spark, sf_dir):
-    """Its impact-bounded blocks, with the letters' years."""
-    index = _index(spark, sf_dir)
-    key = "impact", id(index)
-    if key not in _indexes:
-        _indexes[key] = X.build_impact(index, f"{shared_dir(spark)}/tessera/impact-{uuid.uuid4().hex}", carried=letters(spark, sf_dir).groupBy("id").agg(F.max("year").alias("year")))
-    return _indexes[key]
+def _index(spark, sf_dir):
+    return _impact(spark, sf_dir).whole()
 
 
 def _best(spark, sf_dir, queries, k, slot=None):
@@ -145,9 +141,14 @@ def _whole(spark, sf_dir, k=30):
     return R.ranked(_best(spark, sf_dir, _bench(spark, sf_dir), k), k)
 
 
+def _by_year(spark, sf_dir, k):
+    """(qid, id, score): each question's k best of every year, which hold those of any range of years."""
+    return _best(spark, sf_dir, _bench(spark, sf_dir), k, lambda d: d["year"]).drop("slot")
+
+
 def _two_rankings(spark, sf_dir, k=30):
     """BM25 over all letters, and over those of 1985 to 2017, both with the statistics of all."""
-    inside = _best(spark, sf_dir, _bench(spark, sf_dir), k, F.when(F.col("year").between(1985, 2017), 0))
+    inside = _best(spark, sf_dir, _bench(spark, sf_dir), k, lambda d: F.when(d["year"].between(1985, 2017), 0))
     return _whole(spark, sf_dir, k), R.ranked(inside, k)
 
 
@@ -170,8 +171,7 @@ def rrf_weighted(spark, sf_dir):
 
 @register(f"with {S_BENCH}, {S_SCORES}, y as (select *, cast((1977 + id % 48) // 10 * 10 as integer) as decade from sc), t as (select *, row_number() over (partition by qid, decade order by round(score, 9) desc, id) as r from y), g as (select qid, d.decade from (select distinct qid from sc), (select unnest([1980, 1990, 2000, 2010, 2020])::integer as decade) d) select g.qid, g.decade, id, round(score, 6) as score from g left join (select * from t where r <= 3) t using (qid, decade)")
 def topk_decade(spark, sf_dir):
-    decade = T.decade(F.col("year"))
-    best = _best(spark, sf_dir, _bench(spark, sf_dir), 3, decade).withColumn("decade", F.col("slot").cast("int"))
+    best = _best(spark, sf_dir, _bench(spark, sf_dir), 3, lambda d: T.decade(d["year"])).withColumn("decade", F.col("slot").cast("int"))
     return R.topk_by_decade(best, [1980, 1990, 2000, 2010, 2020]).select("qid", "decade", "id", R6("score").alias("score"))
 
 
@@ -210,7 +210,7 @@ S_TOP10 = "select qid, id, r - 1 as rank, round(score, 6) as score from top wher
 def hybrid(spark, sf_dir):
     """Vectors and BM25 fused, with a boost for the years that the question names; ids of both tables meet."""
     own = letters(spark, sf_dir)
-    lexical = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    lexical = _by_year(spark, sf_dir, 30)
     asked = _vector_queries(spark, sf_dir).select((F.col("qid") / 100).cast("long").alias("qid"), "vec")
     vector = I.vector_topk(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), asked, 30).drop("rank")
     ranges = _bench(spark, sf_dir).select("qid", F.when(F.col("qid") % 2 == 0, 1985).alias("lo"), F.when(F.col("qid") % 2 == 0, 1999).alias("hi"))
@@ -227,7 +227,7 @@ def multi_period(spark, sf_dir):
     """Each question over two periods: vectors and BM25 fused for each, and the periods fused once more."""
     own = letters(spark, sf_dir)
     years = own.select("id", "year")
-    lexical = I.bm25_scores(_index(spark, sf_dir), _bench(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    lexical = _by_year(spark, sf_dir, 30)
     two = ((0, 1977, 1999), (1, 2000, 2024))
     spans = spark.createDataFrame(two, "period int, lo int, hi int")
     periods = _bench(spark, sf_dir).select("qid").crossJoin(F.broadcast(spans))
@@ -256,7 +256,8 @@ def _held_items(spark, sf_dir):
     rarest = inner.join(index.idf, "tok").groupBy("qid").agg(F.min_by(F.struct("tok", "query"), F.struct("df", "tok")).alias("r")).select("qid", "r.*")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     # an item with a token that no document has is held by none, and its rarest token finds nothing that holds it
-    found = index.tf.select("id", "tok").join(I.if_small(rarest), "tok").select("qid", "id", "query").join(docs, "id").where(F.contains("text", F.col("query"))).select("qid")
+    met = index.postings(rarest.select("tok").distinct()).select("id", "tok").join(I.if_small(rarest), "tok")
+    found = met.select("qid", "id", "query").join(docs, "id").where(F.contains("text", F.col("query"))).select("qid")
     short = asked.where("size(toks) <= 2").select("qid", "query")  # the stated query set against all rows
     if not short.isEmpty():
         found = found.union(docs.join(I.if_small(short), F.contains("text", F.col("query"))).select("qid"))
@@ -541,7 +542,15 @@ def strip_artifacts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_artifacts(F.expr(_NOISY)).alias("out"))
 
 
-@register()
+S_LISTED = "'Points: 1. ' || text || ', 2. more, 3. end' || chr(10) || 'after' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || 'last'"
+S_ITEM = "regexp_matches({}, '^\\s*([-*]|\\d+\\.)\\s')"
+
+
+@register(
+    f"with s as (select doc_id, list_transform(string_split({S_LISTED}, chr(10)), lambda l: string_split(regexp_replace(l, ',\\s*(\\d+\\.\\s)', chr(1) || '\\1', 'g'), chr(1))) as cut, string_split({S_LISTED}, chr(10)) as raw from documents), "
+    "l as (select doc_id, flatten(list_transform(cut, lambda p, i: case when len(list_filter(p[:-2], lambda x: regexp_matches(x, '\\d+\\.\\s+.'))) > 0 then p else [raw[i]] end)) as ls from s) "
+    f"select doc_id, regexp_replace(array_to_string(list_transform(ls, lambda x, i: case when i > 1 and trim(ls[i - 1]) <> '' and trim(x) <> '' and ({S_ITEM.format('x')} or {S_ITEM.format('ls[i - 1]')}) then chr(10) else '' end || x), chr(10)), '^\\s+|\\s+$', '', 'g') as out from l"
+)
 def fmt_list(spark, sf_dir):
     listed = F.concat(F.lit("Points: 1. "), F.col("text"), F.lit(", 2. more, 3. end\nafter\n- a\n- b\nlast"))
     return table(spark, sf_dir, "documents").select("doc_id", T.format_list(listed).alias("out"))
@@ -571,7 +580,7 @@ def score_bar(spark, sf_dir):
 _ERR = "case doc_id % 8 when 0 then 'Insufficient_Quota' when 1 then 'Incorrect API key' when 2 then 'Unauthorized' when 3 then 'api_key is required' when 4 then 'model does not exist' when 5 then 'HTTP 429' when 6 then 'Overloaded' else 'boom' end"
 
 
-@register("with e as (select doc_id, lower(" + _ERR + ") as r from documents) select doc_id, case " + " ".join("when " + " or ".join(f"contains(r, {LIT(m)})" for m in marks) + f" then {LIT(text)}" for marks, text in T.ERRORS) + " else '[LLM unavailable]' end as message from e")
+@register("with e as (select doc_id, lower(" + _ERR + ") as r from documents) select doc_id, case " + " ".join("when " + " or ".join(f"contains(r, {LIT(m)})" for m in marks) + f" then {LIT(text)}" for marks, text in zip(T.ERROR_MARKS, T.MESSAGES)) + f" else {LIT(T.NO_ANSWER)} end as message from e")
 def err_map(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.error_message(F.expr(_ERR)).alias("message"))
 
