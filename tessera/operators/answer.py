@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import collapse_space, content_words, strip, support_tokens
+from ..session import ship, written
 
 # The citation and sentence patterns, and the extractive limits.
 CITATION = r"\[(\d+(?:\s*,\s*\d+)*)\]"
@@ -33,6 +35,44 @@ def _walk(chunks: DataFrame, link: str, hops: int, out: str) -> DataFrame:
     return at.select("id", texts.alias(out))
 
 
+def walk_links(starts: DataFrame, chunks: DataFrame, hops: int) -> DataFrame:
+    """(id, before, after): texts of up to ``hops`` neighbours on each side of the chunks ``starts`` (id), by a recursive query from those alone.
+
+    A walk ends at a null link, a missing chunk or one that it has met, so links in a circle end.
+    """
+    spark = chunks.sparkSession
+    own = chunks.select("id", "text", "previous_chunk_id", "next_chunk_id")
+    met = spark.sql(
+        """with recursive walk(start, side, hop, next, seen, text) as (
+             select c.id, side, 0, if(side = 0, previous_chunk_id, next_chunk_id), array(c.id), c.text from {starts} s join {own} c on c.id = s.id lateral view explode(array(0, 1)) as side
+             union all
+             select start, side, hop + 1, if(side = 0, c.previous_chunk_id, c.next_chunk_id), array_append(seen, c.id), c.text
+             from walk w join {own} c on c.id = w.next where hop < :hops and not array_contains(seen, c.id))
+           select start, side, hop, text from walk where hop > 0""",
+        {"hops": hops}, starts=starts.select("id").distinct(), own=own,
+    )
+    side = lambda n, order: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct((F.col("hop") * order).alias("o"), "text")))), lambda x: x["text"])
+    return met.groupBy(F.col("start").alias("id")).agg(side(0, -1).alias("before"), side(1, 1).alias("after"))
+
+
+def expand_hits(hits: DataFrame, chunks: DataFrame, *, hops: int = 1, most: int = 2600) -> DataFrame:
+    """Scored hits with their neighbours' texts, for an answer: (qid, rank, id, score, text, section_title, expanded).
+
+    hits: (qid, rank, id, score, text[, section_title]); chunks: (id, text, previous_chunk_id,
+    next_chunk_id[, section_title]).  A hit keeps its score and its own title, if it
+    has one; one that is no chunk passes unchanged, as all do without hops.
+    """
+    title = lambda df: F.col("section_title") if "section_title" in df.columns else F.lit(None).cast("string")
+    own = hits.select("qid", "rank", "id", "score", "text", title(hits).alias("own_title"))
+    if hops <= 0:
+        return own.select("qid", "rank", "id", "score", "text", F.col("own_title").alias("section_title"), F.lit(False).alias("expanded"))
+    known = chunks.select("id", F.col("text").alias("current"), title(chunks).alias("title"))
+    wide = own.join(known, "id", "left").join(walk_links(hits, chunks, hops), "id", "left")
+    there = F.col("current").isNotNull()
+    text = F.when(there, compose_context(F.col("before"), F.col("current"), F.col("after"), most)).otherwise(F.col("text"))
+    return wide.select("qid", "rank", "id", "score", text.alias("text"), F.coalesce("own_title", F.when(there, F.coalesce("title", F.lit("")))).alias("section_title"), there.alias("expanded"))
+
+
 def compose_context(before: Column, current: Column, after: Column, most: int = 9000) -> Column:
     """A chunk with its neighbours within a budget: its own text first, then half of the rest to each side.
 
@@ -157,6 +197,54 @@ def faithfulness(answers: DataFrame, hits: DataFrame, scorer: Callable[[Column,
     return own.join(total, "qid", "left").select("qid", "n_sentences", F.coalesce("n_cited", F.lit(0)).alias("n_cited"), F.when(F.col("n_sentences") > 0, F.coalesce("n_cited", F.lit(0)) / F.col("n_sentences")).otherwise(0.0).alias("citation_coverage"), F.col("rate").alias("invalid_citation_rate"), F.coalesce("mean_support", F.lit(0.0)).alias("mean_support"))
 
 
+def failing_kept(answer: Callable[[str], str], most_chars: int = 300) -> Callable[[Column], Column]:
+    """A Column function of a prompt: struct(answer, error), where a call that raises leaves its message in place of an answer."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("answer string, error string")
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def one(prompt: str | None) -> tuple:
+            try:
+                return answer(prompt or ""), None
+            except Exception as e:  # whatever a provider raises is a row's error, not the job's
+                return None, f"{type(e).__name__}: {e}"[:most_chars]
+
+        for part in prompts:
+            yield pd.DataFrame([one(p) for p in part], columns=["answer", "error"])
+
+    return run
+
+
+def answer_all(prompts: DataFrame, answer: Callable[[str], str], *, tries: int = 2) -> DataFrame:
+    """(qid, answer, error, tries) of every prompt (qid, prompt); a try after the first runs over the failed rows alone.
+
+    Each try is written before the next starts, so no call is made twice for a row that has its answer.
+    """
+    ship(prompts.sparkSession)
+    ask = failing_kept(answer)
+    own = prompts.select("qid", "prompt")
+    done = None
+    for n in range(1, tries + 1):
+        told = written(own.withColumn("a", ask(F.col("prompt"))).select("qid", "prompt", "a.answer", "a.error", F.lit(n).alias("tries")), "answers")
+        last = told.where("error is null") if n < tries else told
+        done = last if done is None else done.unionByName(last)
+        own = told.where("error is not null").select("qid", "prompt")
+    return done.select("qid", "answer", "error", "tries")
+
+
+def evaluate_answers(answers: DataFrame, hits: DataFrame, gold: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_support) -> DataFrame:
+    """(qid, answer, error, keyword_rate, n_sentences, n_cited, citation_coverage, invalid_citation_rate, mean_support).
+
+    answers: (qid, answer, error); hits: (qid, rank, text); gold: (qid, answer_keywords).
+    A question whose answer failed keeps its row, with the error and no scores.
+    """
+    from .metrics import keyword_rate
+
+    scores = faithfulness(answers.where("error is null").select("qid", F.coalesce("answer", F.lit("")).alias("answer")), hits, scorer)
+    rate = F.when(F.col("error").isNull(), keyword_rate(F.coalesce("answer", F.lit("")), F.col("answer_keywords")))
+    return answers.join(gold.select("qid", "answer_keywords"), "qid", "left").select("qid", "answer", "error", rate.alias("keyword_rate")).join(scores, "qid", "left")
+
+
 def refusal_retry(first: Column, second: Column, refusal: str = REFUSAL) -> Column:
     """The second answer where the first is the refusal."""
     return F.when(F.startswith(strip(first), F.lit(refusal)), second).otherwise(first)

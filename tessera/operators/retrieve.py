@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import dedup_tokens
+from ..functions.text import bm25_tokens, dedup_tokens
 
 # The fusion constant, and the similarities from which a hit repeats another.
 RRF_K, JACCARD, CONTAINED = 60, 0.85, 0.92
@@ -75,6 +77,53 @@ def rerank_by(hits: DataFrame, scorer, k: int) -> DataFrame:
     return minmax_rerank(hits.select("qid", "id", scorer(F.col("query"), F.col("text")).alias("raw")), k)
 
 
+def batched_scorer(score, at_once: int = 32):
+    """A scorer for ``rerank_by`` from a model: ``score`` takes lists of queries and of texts and returns a list of numbers.
+
+    Pairs of an Arrow batch go to the model by ``at_once``, ordered by length, so that
+    those of one call are about as long; their results return to their rows.
+    """
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for queries, texts in parts:
+            q, t = queries.fillna("").tolist(), texts.fillna("").tolist()
+            order = sorted(range(len(t)), key=lambda i: len(q[i]) + len(t[i]))
+            out = [0.0] * len(t)
+            for k in range(0, len(order), at_once):
+                own = order[k : k + at_once]
+                for i, x in zip(own, score([q[i] for i in own], [t[i] for i in own])):
+                    out[i] = float(x)
+            yield pd.Series(out, dtype=float)
+
+    return run
+
+
+def window_scores(hits: DataFrame) -> DataFrame:
+    """(qid, id, raw) of a query's candidates (qid, id, query, text) by where the query's words stand.
+
+    raw: how many of the query's distinct words the text has, and one over the length
+    of the smallest run of words that holds all of those.  Positions of the
+    candidates' words meet the query's words, and one pass over them keeps each
+    word's last place.
+    """
+    words = hits.select("qid", "id", F.array_distinct(bm25_tokens(F.col("query"))).alias("asked"), bm25_tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    places = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("i"), F.array_position("asked", t).cast("int").alias("n"))), lambda x: x["n"] > 0)
+    own = words.select("qid", "id", places.alias("p")).withColumn("m", F.size(F.array_distinct(F.transform("p", lambda x: x["n"]))))
+    # last: the last place of each word, by number; a window ends at every place
+    start = F.struct(F.create_map().cast("map<int,int>").alias("last"), F.lit(1 << 30).alias("least"))
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.map_concat(F.map_filter(a["last"], lambda k, v: k != x["n"]), F.create_map(x["n"], x["i"]))
+        size = x["i"] - F.array_min(F.map_values(last)) + 1
+        return F.struct(last.alias("last"), F.when((F.size(last) == F.col("m")) & (size < a["least"]), size).otherwise(a["least"]).alias("least"))
+
+    least = F.aggregate("p", start, step)["least"]
+    return own.select("qid", "id", F.when(F.col("m") > 0, F.col("m") + 1 / least).otherwise(0.0).alias("raw"))
+
+
 def topk_by_decade(scores: DataFrame, decades: list[int], k: int = 3) -> DataFrame:
     """The k best of each decade for each query in one pass; a decade without hits keeps a row of nulls."""
     best = ranked(scores.where(F.col("decade").isin(decades)), k, ("qid", "decade"))

@@ -425,6 +425,53 @@ def ctx_expand(spark, sf_dir):
     return A.neighbor_texts(_linked(spark, sf_dir), 1).select("id", A.compose_context(F.col("before"), F.col("text"), F.col("after"), 900).alias("context"))
 
 
+# SQL: the three best documents of every item, at a chunk that the item names; in every fifth document the links form a circle
+S_HIT3 = "h3 as (select qid, id as doc_id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 9) desc, id) - 1 as rank from sc qualify rank < 3), ch as (select h3.*, doc_id || '_' || (qid % total_chunks) as id from h3 join (select distinct doc_id, total_chunks from linked) using (doc_id))"
+S_RING = "ring as (select id, text, doc_id, chunk_index, case when doc_id % 5 = 0 and chunk_index = 0 then doc_id || '_' || (total_chunks - 1) else previous_chunk_id end as prev, case when doc_id % 5 = 0 and chunk_index = total_chunks - 1 then doc_id || '_0' else next_chunk_id end as next from linked)"
+_CTX3 = "case when length(t) >= 2600 then left(t, 2600) else array_to_string(list_filter([regexp_replace(case when (2600 - length(t)) // 2 > 0 then right(b, (2600 - length(t)) // 2) else '' end, '^\\s+|\\s+$', '', 'g'), t, regexp_replace(left(a, 2600 - length(t) - (2600 - length(t)) // 2), '^\\s+|\\s+$', '', 'g')], lambda x: x <> ''), chr(10) || chr(10)) end"
+
+
+@register(
+    f"with recursive {LETTERS}, {S_CHUNKS}, {S_LINKED}, {S_BENCH}, {S_SCORES}, {S_HIT3}, {S_RING}, "
+    "walk as (select id as start, side, 0 as hop, case when side = 0 then prev else next end as nxt, [id] as seen, text from ring, (values (0), (1)) sd(side) where id in (select id from ch) "
+    "union all select start, side, hop + 1, case when side = 0 then r.prev else r.next end, list_append(seen, r.id), r.text from walk join ring r on r.id = nxt where hop < 3 and not list_contains(seen, r.id)), "
+    "tx as (select start, coalesce(string_agg(text, chr(10) || chr(10) order by hop desc) filter (side = 0 and hop > 0), '') as b, coalesce(string_agg(text, chr(10) || chr(10) order by hop) filter (side = 1 and hop > 0), '') as a from walk group by 1), "
+    f"x as (select ch.qid, ch.rank, ch.id, ch.score, ring.text as t, b, a, case when chunk_index % 2 = 0 then 'part ' || chunk_index else '' end as title from ch join ring using (id) join tx on start = ch.id) select qid, rank, id, score, {_CTX3} as text, title as section_title, true as expanded from x"
+)
+def ctx_hits(spark, sf_dir):
+    """Each item's three best hits with up to three neighbours on each side: scores stay, titles and marks come."""
+    linked = _linked(spark, sf_dir)
+    at = F.col("doc_id") % 5 == 0
+    end = lambda n: F.concat_ws("_", F.col("doc_id").cast("string"), n.cast("string"))
+    ring = linked.select(
+        "id", "text", "doc_id", "total_chunks", F.when(at & (F.col("chunk_index") == 0), end(F.col("total_chunks") - 1)).otherwise(F.col("previous_chunk_id")).alias("previous_chunk_id"),
+        F.when(at & (F.col("chunk_index") == F.col("total_chunks") - 1), end(F.lit(0))).otherwise(F.col("next_chunk_id")).alias("next_chunk_id"),
+        F.when(F.col("chunk_index") % 2 == 0, F.concat(F.lit("part "), F.col("chunk_index").cast("string"))).alias("section_title"),
+    )
+    totals = linked.groupBy("doc_id").agg(F.max("total_chunks").alias("total"))
+    best = _whole(spark, sf_dir, 3).withColumnRenamed("id", "doc_id").join(totals, "doc_id")
+    hits = best.select("qid", F.col("rank").cast("long").alias("rank"), end(F.col("qid") % F.col("total")).alias("id"), R6("score").alias("score"), F.lit("").alias("text"))
+    return A.expand_hits(hits, ring, hops=3)
+
+
+@register(
+    f"with {S_BENCH}, {S_SCORES}, c as (select qid, id from sc qualify row_number() over (partition by qid order by round(score, 9) desc, id) <= 30), "
+    "tk as (select qid, id, list_transform(regexp_extract_all(d.text, '[A-Za-z0-9'']+'), lambda x: lower(x)) as toks, list_distinct(list_transform(regexp_extract_all(query, '[A-Za-z0-9'']+'), lambda x: lower(x))) as asked from c join documents d on doc_id = id join qs using (qid)), "
+    "ps as materialized (select qid, id, tok, list(i order by i) as pl from (select qid, id, unnest(toks) as tok, unnest(range(1, len(toks) + 1)) as i, asked from tk) where list_contains(asked, tok) group by all), "
+    "al as materialized (select qid, id, list(pl) as terms, count(*) as m from ps group by all), "
+    "wn as (select al.qid, al.id, m, e - list_min(list_transform(terms, lambda t: list_max(list_filter(t, lambda p: p <= e)))) + 1 as size from al join (select qid, id, unnest(pl) as e from ps) using (qid, id) where len(list_filter(terms, lambda t: t[1] <= e)) = m), "
+    "rw as (select qid, id, max(m) + 1.0 / min(size) as raw from wn group by all union all select qid, id, 0 from c where (qid, id) not in (select (qid, id) from al)), "
+    "sx as (select qid, id, round(case when hi = lo then 1 else (raw - lo) / (hi - lo) end, 9) as score from (select *, min(raw) over (partition by qid) as lo, max(raw) over (partition by qid) as hi from rw)) "
+    "select qid, id, round(score, 6) as score, r - 1 as rank from (select *, row_number() over (partition by qid order by score desc, id) as r from sx) where r <= 8"
+)
+def rerank_window(spark, sf_dir):
+    """Each item's 30 candidates by how many of its words they have and how close together."""
+    texts = letters(spark, sf_dir).select("id", "text")
+    pool = _whole(spark, sf_dir).select("qid", "id").join(texts, "id").join(_bench(spark, sf_dir), "qid")
+    scored = R.minmax_rerank(R.window_scores(pool), 30).withColumn("score", F.round("score", 9)).drop("rank")
+    return R.ranked(scored, 8).select("qid", "id", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 SQL["ctx_compose"], QUERIES["ctx_compose"] = SQL["ctx_expand"], QUERIES["ctx_expand"]
 
 
@@ -489,6 +536,47 @@ def faith(spark, sf_dir):
     return A.faithfulness(_answers(spark), each).select("qid", "n_sentences", "n_cited", *(R6(c).alias(c) for c in ("citation_coverage", "invalid_citation_rate", "mean_support")))
 
 
+# SQL: three passages of every item, its best documents, and an answer from them by the number of the item
+S_PASSAGES = "hp as (select qid, id, row_number() over (partition by qid order by round(score, 9) desc, id) as n from sc qualify n <= 3), h as (select qid, n, text, regexp_extract_all(lower(text), '[A-Za-z0-9'']+') as p from hp join documents on doc_id = id)"
+S_GIVEN = "gv as (select qs.qid, coalesce(left(h.text, 120), '') || ' [1]. ' || " + f"([{', '.join(map(LIT, ANSWERS))}])[1 + qs.qid % {len(ANSWERS)}]" + " as answer from qs left join h on h.qid = qs.qid and n = 1)"
+S_FAITH = (
+    f"o as (select qid, {S_SENTENCES} as sents, {S_MARKS.format('answer')} as marks, (select count(*) from h where h.qid = an.qid) as nh from an), "
+    f"sy as (select qid, unnest(sents) as sentence, generate_subscripts(sents, 1) as pos from o), "
+    f"ci as (select qid, pos, regexp_extract_all(lower(sentence), '[A-Za-z0-9'']+') as s, unnest(list_distinct(flatten({S_MARKS.format('sentence')}))) as n from sy), "
+    "pp as (select qid, pos, s, p, list_distinct(list_transform(range(1, len(s)), lambda i: s[i] || ' ' || s[i + 1])) as sp, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) as pw from ci join h using (qid, n)), "
+    "su as (select qid, pos, max(case when len(s) < 2 or len(p) < 2 then case when len(s) = 0 then 0 else len(list_intersect(list_distinct(s), p)) / len(list_distinct(s)) end else len(list_intersect(sp, pw)) / len(sp) end) as support from pp group by all), "
+    "tt as (select qid, count(*) as n_cited, avg(support) as mean_support from su group by 1), "
+    "fa as (select qid, cast(len(sents) as integer) as n_sentences, coalesce(n_cited, 0) as n_cited, round(case when len(sents) > 0 then coalesce(n_cited, 0) / len(sents) else 0 end, 6) as citation_coverage, "
+    "round(case when len(sents) > 0 and len(marks) > 0 then len(list_filter(marks, lambda m: len(list_filter(m, lambda x: x < 1 or x > nh)) > 0)) / len(marks) else 0 end, 6) as invalid_citation_rate, "
+    "round(coalesce(mean_support, 0), 6) as mean_support from o left join tt using (qid))"
+)
+
+
+def _echo(prompt: str) -> str:
+    """A provider that gives its prompt back, is busy for some and refuses others."""
+    if prompt.startswith("!"):
+        raise RuntimeError("refused")
+    return prompt
+
+
+@register(
+    f"with {S_BENCH}, {S_SCORES}, {S_PASSAGES}, {S_GIVEN}, an as (select * from gv where qid % 10 <> 3), {S_FAITH} "
+    "select gv.qid, case when gv.qid % 10 <> 3 then md5(gv.answer) end as answer, case when gv.qid % 10 = 3 then 'RuntimeError: refused' end as error, case when gv.qid % 10 = 3 then 2 else 1 end as tries, "
+    "case when gv.qid % 10 <> 3 then round((contains(lower(gv.answer), 'the')::int + contains(lower(gv.answer), 'zz')::int) / 2, 6) end as keyword_rate, n_sentences, n_cited, citation_coverage, invalid_citation_rate, mean_support from gv left join fa using (qid)"
+)
+def eval_answers(spark, sf_dir):
+    """Answers to all items judged by their three best documents; questions whose provider fails keep its error."""
+    hits = _whole(spark, sf_dir, 3).join(letters(spark, sf_dir).select("id", "text"), "id").select("qid", "rank", "text")
+    first = hits.where("rank = 0").select("qid", F.left("text", F.lit(120)).alias("first"))
+    told = F.element_at(F.array(*map(F.lit, ANSWERS)), (1 + F.col("qid") % len(ANSWERS)).cast("int"))
+    asked = _bench(spark, sf_dir).select("qid").join(first, "qid", "left")
+    prompts = asked.select("qid", F.concat(F.when(F.col("qid") % 10 == 3, "!").otherwise(""), F.coalesce("first", F.lit("")), F.lit(" [1]. "), told).alias("prompt"))
+    answers = A.answer_all(prompts, _echo)
+    gold = _bench(spark, sf_dir).select("qid", F.array(F.lit("the"), F.lit("zz")).alias("answer_keywords"))
+    scores = A.evaluate_answers(answers, hits, gold)
+    return scores.join(answers.select("qid", "tries"), "qid").select("qid", F.md5("answer").alias("answer"), "error", "tries", R6("keyword_rate").alias("keyword_rate"), "n_sentences", "n_cited", *(R6(c).alias(c) for c in ("citation_coverage", "invalid_citation_rate", "mean_support")))
+
+
 def _next_ids(ids, span=1024):
     """(doc_id, pair): the next id in order.  Ids are ordered within spans of so many; a span's last id goes on with the next span's first."""
     spans = ids.where("doc_id is not null").withColumn("span", F.floor(F.col("doc_id") / span))
