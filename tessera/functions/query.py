@@ -99,6 +99,13 @@ def validate_filter(where: dict | None) -> None:
                     raise ValueError("$in needs a collection")
 
 
+def filter_fault(field: Column, op: Column, listed: Column) -> Column:
+    """What is wrong with a condition that comes as data (its field, operator and whether its value is a list), or null."""
+    return F.when(~F.coalesce(field.isin(*FIELDS), F.lit(False)), F.concat(F.lit("unknown filter field: "), F.coalesce(field, F.lit("")))).when(
+        ~F.coalesce(op.isin(*OPERATORS), F.lit(False)), F.concat(F.lit("unknown filter operator: "), F.coalesce(op, F.lit("")))
+    ).when((op == "$in") & ~listed, "$in needs a collection")
+
+
 def filter_column(where: dict | None) -> Column:
     """A conjunction with SQL's nulls: a null field matches nothing."""
     validate_filter(where)
@@ -135,6 +142,18 @@ def filter_label(where: dict | None) -> str:
     return f"year:{year}" if year else f"decade:{where['decade']}s" if where.get("decade") else "custom"
 
 
+def label_column(year: Column, low: Column, high: Column, decade: Column, other: Column) -> Column:
+    """The same for filters that come as data; other: whether there is any further condition."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    return (
+        F.when(low.isNotNull() | high.isNotNull(), F.concat(F.lit("year:"), part(low), F.lit("–"), part(high)))
+        .when(year.isNotNull(), F.concat(F.lit("year:"), year.cast("string")))
+        .when(decade.isNotNull(), F.concat(F.lit("decade:"), decade.cast("string"), F.lit("s")))
+        .when(other, "custom")
+        .otherwise("none")
+    )
+
+
 # Words that mark a reply as no keyword list, and its limits.
 NO_KEYWORD = r"(?i)passage|shareholder letters do not|keyword|question"
 MOST_KEYWORDS, KEYWORD_CHARS, KEYWORD_WORDS = 8, 40, 4
@@ -157,8 +176,16 @@ def expand_query(query: Column, keywords: Column) -> Column:
     return F.when(F.coalesce(F.size(keywords), F.lit(0)) > 0, F.concat_ws(" ", query, F.array_join(keywords, " "))).otherwise(query)
 
 
+IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{0,62}"
+
+
+def identifier_ok(name: Column) -> Column:
+    """Whether a name needs no quoting."""
+    return F.coalesce(name.rlike(rf"\A{IDENTIFIER}\z"), F.lit(False))
+
+
 def valid_identifier(name: str) -> str:
     """A table name that needs no quoting, or ValueError."""
-    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]{0,62}", name):
+    if not re.fullmatch(IDENTIFIER, name):
         raise ValueError(f"not an identifier: {name!r}")
     return name

@@ -313,12 +313,27 @@ QUESTIONS = (
     "",
 )
 REPLIES = ("float, Reserve; premium, FLOAT, 'loss ratio'", "The passages do not mention it, underwriting", "", "a, b, c, d, e, f, g, h, i, j", "one two three four five, ok\nsecond line, no", " - dash -, [bracket], \"quoted\".; question mark, x" + "y" * 41, "NULL-like, null , Null")
-S_QUESTIONS = "q(qid, query) as (values " + ", ".join(f"({i}, {LIT(x)})" for i, x in enumerate(QUESTIONS)) + ")"
+_PICK = lambda texts, n: f"([{', '.join(map(LIT, texts))}])[1 + {n} % {len(texts)}]"  # noqa: E731  SQL: one of the texts by a number
+# every benchmark item asks one of the questions about its own text
+S_QUESTIONS = f"q as (select item_id as qid, {_PICK(QUESTIONS, 'item_id')} || ' ' || coalesce(text, '') as query from benchmark)"
 S_MAP = "map {" + ", ".join(f"'{k}': {{'lo': {a}, 'hi': {b}}}" for k, (a, b) in Q.DECADES.items()) + "}"
 
 
-def _questions(spark):
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, query string")
+def picked(texts, n):
+    """One of the texts by a number."""
+    return F.element_at(F.array(*map(F.lit, texts)), (1 + n % len(texts)).cast("int"))
+
+
+def _questions(spark, sf_dir):
+    own = table(spark, sf_dir, "benchmark")
+    return own.select(F.col("item_id").alias("qid"), F.concat(picked(QUESTIONS, F.col("item_id")), F.lit(" "), F.coalesce("text", F.lit(""))).alias("query"))
+
+
+def _replies(spark, sf_dir):
+    """Every turn of the conversations as a reply: one of the stated ones, and what was said behind every other."""
+    n = F.col("conv_id") + F.col("turn")
+    said = F.when(n % 2 == 0, F.concat(F.lit(", "), F.coalesce("text", F.lit("")))).otherwise("")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(picked(REPLIES, n), said).alias("reply"))
 
 
 S_PARSED = (
@@ -334,7 +349,7 @@ S_PARSED = (
     "cast(case when y1 is not null then greatest(y1, y2) when d1 is not null then d2.hi when d is not null then d.hi when len(ys) > 0 then list_max(ys) end as integer) as hi from p"
 )
 def q_yearfilter(spark, sf_dir):
-    return _questions(spark).select("qid", Q.year_range(F.col("query")).alias("r")).select("qid", "r.lo", "r.hi")
+    return _questions(spark, sf_dir).select("qid", Q.year_range(F.col("query")).alias("r")).select("qid", "r.lo", "r.hi")
 
 
 S_PERIODS = (
@@ -346,37 +361,38 @@ S_PERIODS = (
 
 @register(f"with {S_QUESTIONS}, {S_PARSED}, {S_PERIODS} select qid, cast(period as integer) as period, cast(lo as integer) as lo, cast(hi as integer) as hi from e")
 def q_temporal(spark, sf_dir):
-    return R.with_periods(_questions(spark), Q.comparison_periods(F.col("query"))).select("qid", "period", "lo", "hi")
+    return R.with_periods(_questions(spark, sf_dir), Q.comparison_periods(F.col("query"))).select("qid", "period", "lo", "hi")
 
 
 @register(f"with {LETTERS}, {S_QUESTIONS}, {S_PARSED}, {S_PERIODS} select qid, cast(period as integer) as period, count(*) as n from e join letters on year between lo and hi group by all")
 def j_period(spark, sf_dir):
-    periods = R.with_periods(_questions(spark), Q.comparison_periods(F.col("query"))).select("qid", "period", "lo", "hi")
+    periods = R.with_periods(_questions(spark, sf_dir), Q.comparison_periods(F.col("query"))).select("qid", "period", "lo", "hi")
     years = letters(spark, sf_dir).groupBy("year").agg(F.count("*").alias("n"))  # a row a year before the range join
-    return years.join(F.broadcast(periods), F.col("year").between(F.col("lo"), F.col("hi"))).groupBy("qid", "period").agg(F.sum("n").alias("n"))
+    return years.join(I.if_small(periods), F.col("year").between(F.col("lo"), F.col("hi"))).groupBy("qid", "period").agg(F.sum("n").alias("n"))
 
 
 S_KEYWORDS = (
-    "rp(qid, reply) as (values " + ", ".join(f"({i}, {LIT(x)})" for i, x in enumerate(REPLIES)) + "), "
-    "pt as (select qid, list_transform(regexp_split_to_array(regexp_split_to_array(regexp_replace(reply, '^\\s+|\\s+$', '', 'g'), '\\r\\n|\\n|\\r')[1], '[,;]'), "
+    f"rp as (select conv_id, turn, {_PICK(REPLIES, '(conv_id + turn)')} || case when (conv_id + turn) % 2 = 0 then ', ' || coalesce(text, '') else '' end as reply from conversations), "
+    "pt as (select conv_id, turn, list_transform(regexp_split_to_array(regexp_split_to_array(regexp_replace(reply, '^\\s+|\\s+$', '', 'g'), '\\r\\n|\\n|\\r')[1], '[,;]'), "
     f"lambda x: regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), {LIT(Q.KEYWORD_ENDS)}, '', 'g')) as parts from rp), "
-    f"gd as (select qid, list_filter(parts, lambda x: x <> '' and length(x) <= {Q.KEYWORD_CHARS} and len(regexp_split_to_array(trim(x), '\\s+')) <= {Q.KEYWORD_WORDS} and not regexp_matches(x, {LIT(Q.NO_KEYWORD)})) as good from pt), "
-    f"kw as (select qid, list_slice(list_filter(good, lambda x, i: list_position(list_transform(good, lambda y: lower(y)), lower(x)) = i), 1, {Q.MOST_KEYWORDS}) as keywords from gd)"
+    f"gd as (select conv_id, turn, list_filter(parts, lambda x: x <> '' and length(x) <= {Q.KEYWORD_CHARS} and len(regexp_split_to_array(trim(x), '\\s+')) <= {Q.KEYWORD_WORDS} and not regexp_matches(x, {LIT(Q.NO_KEYWORD)})) as good from pt), "
+    f"kw as (select conv_id, turn, list_slice(list_filter(good, lambda x, i: list_position(list_transform(good, lambda y: lower(y)), lower(x)) = i), 1, {Q.MOST_KEYWORDS}) as keywords from gd)"
 )
 
 
-@register(f"with {S_KEYWORDS} select qid, keywords from kw")
+@register(f"with {S_KEYWORDS} select conv_id, turn, keywords from kw")
 def q_expand_parse(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(REPLIES)), "qid int, reply string").select("qid", Q.expansion_keywords(F.col("reply")).alias("keywords"))
+    return _replies(spark, sf_dir).select("conv_id", "turn", Q.expansion_keywords(F.col("reply")).alias("keywords"))
 
 
-@register(f"with {S_QUESTIONS}, {S_KEYWORDS} select qid, query || case when len(keywords) > 0 then ' ' || array_to_string(keywords, ' ') else '' end as expanded from q left join kw using (qid)")
+@register(f"with {S_QUESTIONS}, {S_KEYWORDS}, fk as (select conv_id as qid, arg_min(keywords, turn) as keywords from kw group by 1) select qid, query || case when len(keywords) > 0 then ' ' || array_to_string(keywords, ' ') else '' end as expanded from q left join fk using (qid)")
 def q_expand(spark, sf_dir):
-    replies = spark.createDataFrame(list(enumerate(REPLIES)), "qid int, reply string")
-    return _questions(spark).join(replies, "qid", "left").select("qid", Q.expand_query(F.col("query"), Q.expansion_keywords(F.col("reply"))).alias("expanded"))
+    """Each question with the keywords of the first reply in the conversation of its number."""
+    first = _replies(spark, sf_dir).groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("reply", "turn").alias("reply"))
+    return _questions(spark, sf_dir).join(first, "qid", "left").select("qid", Q.expand_query(F.col("query"), Q.expansion_keywords(F.col("reply"))).alias("expanded"))
 
 
 @register(f"with {S_QUESTIONS}, {S_PARSED} select qid, case when qid % 3 = 0 then 'caller' when y1 is not null or d is not null or len(ys) > 0 then 'detected' else 'none' end as used from p")
 def q_where_override(spark, sf_dir):
     found = Q.year_range(F.col("query"))
-    return _questions(spark).select("qid", F.when(F.col("qid") % 3 == 0, "caller").when(found.isNotNull(), "detected").otherwise("none").alias("used"))
+    return _questions(spark, sf_dir).select("qid", F.when(F.col("qid") % 3 == 0, "caller").when(found.isNotNull(), "detected").otherwise("none").alias("used"))

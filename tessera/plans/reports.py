@@ -11,7 +11,7 @@ from ..operators import answer as A, chunk as C, embed as E, index as I, inverte
 from ..session import shared_dir
 from ..sources import files
 from .catalog import LETTERS, LIT, S_CHUNKS, _chunks, letters, register, table
-from .retrieval import R6, S_ANSWERS, S_BENCH, S_RANKS, S_SCORES, _answers, _bench, _two_rankings, _vector_queries
+from .retrieval import R6, S_BENCH, S_RANKS, S_SAID, S_SCORES, _bench, _said, _two_rankings, _vector_queries
 
 # ---------------------------------------------------------------- files
 
@@ -80,38 +80,34 @@ def meta_sanitize(spark, sf_dir):
 
 # ---------------------------------------------------------------- filters
 
-# Filters and what they should give, stated once for both engines.
-FILTERS = (
-    (None, "ok", "none"), ({"year": 1990}, "ok", "year:1990"), ({"year": {"$gte": 1980, "$lte": 1989}}, "ok", "year:1980–1989"), ({"decade": 1990}, "ok", "decade:1990s"),
-    ({"topics": {"$in": ["a"]}}, "ok", "custom"), ({"year": {"$gt": 1}}, "ok", "year:?–?"), ({"colour": 1}, "refused", "custom"), ({"year": {"$ne": 1}}, "refused", "year:?–?"),
-    ({"year": {}}, "refused", "year:?–?"), ({"topics": {"$in": "a"}}, "refused", "custom"),
-)
+_FIELD = "case doc_id % 7 when 0 then 'year' when 1 then 'decade' when 2 then 'source_file' when 3 then lang when 4 then 'topics' when 5 then source else 'chunk_index' end"
+_OP = "case doc_id % 8 when 0 then '$eq' when 1 then '$gte' when 2 then '$lte' when 3 then '$gt' when 4 then '$lt' when 5 then '$in' when 6 then '$ne' else '$' || lang end"
 
 
-def _verdict(check, value):
-    try:
-        check(value)
-    except ValueError:
-        return "refused"
-    return "ok"
-
-
-@register("values " + ", ".join(f"({i}, '{verdict}')" for i, (_, verdict, _) in enumerate(FILTERS)))
+@register(
+    f"with f as (select doc_id, {_FIELD} as field, {_OP} as op, doc_id % 3 = 0 as listed from documents) select doc_id, case when field not in ({', '.join(map(LIT, Q.FIELDS))}) then 'unknown filter field: ' || field "
+    f"when op not in ({', '.join(map(LIT, Q.OPERATORS))}) then 'unknown filter operator: ' || op when op = '$in' and not listed then '$in needs a collection' end as fault from f"
+)
 def where_validate(spark, sf_dir):
-    return spark.createDataFrame([(i, _verdict(Q.validate_filter, w)) for i, (w, _, _) in enumerate(FILTERS)], "col0 int, col1 string")
+    """What is wrong with each of the documents' conditions."""
+    return table(spark, sf_dir, "documents").select("doc_id", Q.filter_fault(F.expr(_FIELD), F.expr(_OP), F.col("doc_id") % 3 == 0).alias("fault"))
 
 
-@register("values " + ", ".join(f"({i}, {LIT(label)})" for i, (_, _, label) in enumerate(FILTERS)))
+@register("select doc_id, case doc_id % 6 when 0 then 'year:' || (1977 + doc_id % 48) || '–' || (1980 + doc_id % 48) when 1 then 'year:?–' || (1980 + doc_id % 48) when 2 then 'year:' || (1977 + doc_id % 48) when 3 then 'decade:' || (1970 + doc_id % 5 * 10) || 's' when 4 then 'custom' else 'none' end as label from documents")
 def filter_label(spark, sf_dir):
-    return spark.createDataFrame([(i, Q.filter_label(w)) for i, (w, _, _) in enumerate(FILTERS)], "col0 int, col1 string")
+    """The filter of each document in a few words."""
+    k, year = F.col("doc_id") % 6, 1977 + F.col("doc_id") % 48
+    label = Q.label_column(F.when(k == 2, year), F.when(k == 0, year), F.when(k < 2, year + 3), F.when(k == 3, 1970 + F.col("doc_id") % 5 * 10), k == 4)
+    return table(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
 
 
-NAMES = (("letters", "ok"), ("_x9", "ok"), ("a" * 63, "ok"), ("a" * 64, "refused"), ("9a", "refused"), ("a-b", "refused"), ("", "refused"), ("a; drop", "refused"))
+_NAME = "case doc_id % 6 when 0 then source when 1 then '_' || lang || doc_id when 2 then doc_id || lang when 3 then source || '-' || lang when 4 then repeat('a', cast(doc_id % 70 as int)) else lang || chr(10) end"
 
 
-@register("values " + ", ".join(f"({LIT(n)}, '{v}')" for n, v in NAMES))
+@register(f"select doc_id, regexp_full_match({_NAME}, '{Q.IDENTIFIER}') as ok from documents")
 def pg_ident(spark, sf_dir):
-    return spark.createDataFrame([(n, _verdict(Q.valid_identifier, n)) for n, _ in NAMES], "col0 string, col1 string")
+    """Whether each of the documents' names may name a table."""
+    return table(spark, sf_dir, "documents").select("doc_id", Q.identifier_ok(F.expr(_NAME)).alias("ok"))
 
 
 @register(f"with {LETTERS} select id from letters where year = 1990 and decade = 1990")
@@ -134,10 +130,10 @@ def where_ui(spark, sf_dir):
 _MARK = r"\[\d+(?:\s*,\s*\d+)*\]"
 
 
-@register(f"with {S_ANSWERS} select qid, regexp_extract_all(answer, '{_MARK}|[^\\[]+|\\[') as tokens from an")
+@register(f"with {S_SAID} select conv_id, turn, regexp_extract_all(answer, '{_MARK}|[^\\[]+|\\[') as tokens from an")
 def cite_tokens(spark, sf_dir):
     """An answer as its citation marks and the text between them."""
-    return _answers(spark).select("qid", F.regexp_extract_all("answer", F.lit(_MARK + r"|[^\[]+|\["), F.lit(0)).alias("tokens"))
+    return _said(spark, sf_dir).select("conv_id", "turn", F.regexp_extract_all("answer", F.lit(_MARK + r"|[^\[]+|\["), F.lit(0)).alias("tokens"))
 
 
 @register(f"select doc_id, case when doc_id % 3 = 0 then text else {LIT(A.REFUSAL)} || ' Sorry.' end as first, case when doc_id % 3 = 0 then text else source end as answer from documents")

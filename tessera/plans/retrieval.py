@@ -11,7 +11,7 @@ from ..operators import answer as A, impact as X, index as I, metrics as M, retr
 from ..session import shared_dir, written
 from ..sources.versioned import VersionedTable
 from ..streaming import limiter as L
-from .catalog import LETTERS, LIT, QUERIES, SQL, S_CHUNKS, S_LINKED, _chunks, _linked, letters, register, table  # noqa: F401
+from .catalog import LETTERS, LIT, QUERIES, SQL, S_CHUNKS, S_LINKED, _chunks, _linked, letters, picked, register, table  # noqa: F401
 
 R6 = lambda c: F.round(c, 6)
 
@@ -499,9 +499,19 @@ def _answers(spark):
     return spark.createDataFrame(list(enumerate(ANSWERS)), "qid int, answer string")
 
 
-@register(f"with {S_ANSWERS}, m as (select qid, unnest(regexp_extract_all(answer, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1)) as m, generate_subscripts(regexp_extract_all(answer, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), 1) as pos from an) select qid, cast(pos - 1 as integer) as pos, list_transform(regexp_split_to_array(m, '\\s*,\\s*'), lambda x: x::integer) as raw_numbers, list_transform(list_filter(list_transform(regexp_split_to_array(m, '\\s*,\\s*'), lambda x: x::integer), lambda n: n between 1 and 3), lambda n: n - 1) as passage_indices from m")
+# every turn of the conversations as an answer: one of the stated ones and what was said
+S_SAID = f"an as (select conv_id, turn, ([{', '.join(map(LIT, ANSWERS))}])[1 + (conv_id + turn) % {len(ANSWERS)}] || ' ' || coalesce(text, '') as answer from conversations)"
+
+
+def _said(spark, sf_dir):
+    told = picked(ANSWERS, F.col("conv_id") + F.col("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(told, F.lit(" "), F.coalesce("text", F.lit(""))).alias("answer"))
+
+
+@register(f"with {S_SAID}, m as (select conv_id, turn, unnest(regexp_extract_all(answer, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1)) as m, generate_subscripts(regexp_extract_all(answer, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), 1) as pos from an) select conv_id, turn, cast(pos - 1 as integer) as pos, list_transform(regexp_split_to_array(m, '\\s*,\\s*'), lambda x: x::integer) as raw_numbers, list_transform(list_filter(list_transform(regexp_split_to_array(m, '\\s*,\\s*'), lambda x: x::integer), lambda n: n between 1 and 3), lambda n: n - 1) as passage_indices from m")
 def cite_parse(spark, sf_dir):
-    return _answers(spark).select("qid", F.posexplode(A.parse_citations(F.col("answer"), F.lit(3))).alias("pos", "c")).select("qid", "pos", "c.raw_numbers", "c.passage_indices")
+    each = _said(spark, sf_dir).select("conv_id", "turn", F.posexplode(A.parse_citations(F.col("answer"), F.lit(3))).alias("pos", "c"))
+    return each.select("conv_id", "turn", "pos", "c.raw_numbers", "c.passage_indices")
 
 
 def _s_strip(x):
