@@ -122,9 +122,9 @@ def bm25_topk(index: Bm25Index, queries: DataFrame, k: int, *, keep: DataFrame |
     return _top(_top(score, k).select("qid", "id", "score").unionByName(fill), k)
 
 
-def _top(scores: DataFrame, k: int) -> DataFrame:
+def _top(scores: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """The k best of each question; a limit on the bare row number is one that tasks apply before they shuffle."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy(*(by or ["qid"])).orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
@@ -138,9 +138,11 @@ def normalized(c):
     return F.transform(F.array(F.transform(c, lambda x: x.cast("double"))), lambda v: F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))).getItem(0)).getItem(0)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding", slot_col: str | None = None) -> DataFrame:
     """(qid, id, score, rank): the k of highest cosine for each query (qid, vec), ties by id.
 
+    slot_col: with it the k best of each query and slot, (qid, slot, id, score, rank).
+
     Queries are the stated set.  A block of them is multiplied with each batch
     of vectors; a task returns its k best a query, and the ranks are merged.
     """
@@ -148,14 +150,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     rows = queries.select("qid", "vec").collect()
     rows.sort(key=lambda r: str(r["qid"]))
     parts = []
-    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    by = ["qid"] if slot_col is None else ["qid", "slot"]
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), (F.lit(0) if slot_col is None else F.col(slot_col)).cast("int").alias("slot")).where("slot is not null")
     qtype, itype = (df.schema[c].dataType.simpleString() for df, c in ((queries, "qid"), (own, "id")))
     for at in range(0, max(1, len(rows)), QUERY_BLOCK):
         block = rows[at : at + QUERY_BLOCK]
         ids = [r["qid"] for r in block]
         asked = _unit(np.array([r["vec"] for r in block], float).reshape(len(block), -1))
-        parts.append(own.mapInPandas(_best(ids, asked, k), f"qid {qtype}, id {itype}, score double"))
-    return _top(reduce(DataFrame.unionByName, parts), k)
+        parts.append(own.mapInPandas(_best(ids, asked, k), f"qid {qtype}, slot int, id {itype}, score double"))
+    return _top(reduce(DataFrame.unionByName, parts).select(*by, "id", "score"), k, by)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -172,14 +175,16 @@ def _best(ids: list, asked: np.ndarray, k: int):
                 continue
             # rounded so that a batch's shape does not change a score's last bits
             s = np.round(asked @ _unit(np.array(pdf.vec.tolist(), float)).T, 12)
-            # the k best of each query and what ties with the last of them
-            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else s.min(1)
-            q, at = np.nonzero(s >= least[:, None])
-            found = pd.DataFrame({"q": q, "id": pdf.id.to_numpy()[at], "score": s[q, at]})
-            found = found if kept is None else pd.concat([kept, found])
-            kept = found.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+            found = [] if kept is None else [kept]
+            for slot, columns in pdf.groupby("slot").indices.items():
+                part = s[:, columns]
+                # the k best of each query and what ties with the last of them
+                least = np.partition(part, -k, axis=1)[:, -k] if part.shape[1] > k else part.min(1)
+                q, at = np.nonzero(part >= least[:, None])
+                found.append(pd.DataFrame({"q": q, "slot": slot, "id": pdf.id.to_numpy()[columns[at]], "score": part[q, at]}))
+            kept = pd.concat(found).sort_values(["q", "slot", "score", "id"], ascending=[True, True, False, True]).groupby(["q", "slot"]).head(k)
         if kept is not None:
-            yield pd.DataFrame({"qid": [ids[q] for q in kept.q], "id": kept.id, "score": kept.score})
+            yield pd.DataFrame({"qid": [ids[q] for q in kept.q], "slot": kept.slot.astype("int32"), "id": kept.id, "score": kept.score})
 
     return run
 

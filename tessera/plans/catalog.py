@@ -353,9 +353,9 @@ def q_yearfilter(spark, sf_dir):
 
 
 S_PERIODS = (
-    "u as (select *, list_reduce(list_prepend([]::varchar[], list_transform(words, lambda w: [w])), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as dw from p), "
-    f"e as (select qid, 0 as period, {S_MAP}[dw[1]].lo as lo, {S_MAP}[dw[1]].hi as hi from u where change and len(dw) >= 2 union all select qid, 1, {S_MAP}[dw[2]].lo, {S_MAP}[dw[2]].hi from u where change and len(dw) >= 2 "
-    "union all select qid, 0, least(y1, y2), (y1 + y2) // 2 from u where change and len(words) < 2 and abs(y1 - y2) >= 10 union all select qid, 1, (y1 + y2) // 2 + 1, greatest(y1, y2) from u where change and len(words) < 2 and abs(y1 - y2) >= 10)"
+    "pu as (select *, list_reduce(list_prepend([]::varchar[], list_transform(words, lambda w: [w])), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as dw from p), "
+    f"e as (select qid, 0 as period, {S_MAP}[dw[1]].lo as lo, {S_MAP}[dw[1]].hi as hi from pu where change and len(dw) >= 2 union all select qid, 1, {S_MAP}[dw[2]].lo, {S_MAP}[dw[2]].hi from pu where change and len(dw) >= 2 "
+    "union all select qid, 0, least(y1, y2), (y1 + y2) // 2 from pu where change and len(words) < 2 and abs(y1 - y2) >= 10 union all select qid, 1, (y1 + y2) // 2 + 1, greatest(y1, y2) from pu where change and len(words) < 2 and abs(y1 - y2) >= 10)"
 )
 
 

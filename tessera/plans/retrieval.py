@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import query as Q, text as T
 from ..operators import answer as A, impact as X, index as I, metrics as M, retrieve as R, segments as G
 from ..session import shared_dir, written
 from ..sources.versioned import VersionedTable
 from ..streaming import limiter as L
-from .catalog import LETTERS, LIT, QUERIES, SQL, S_CHUNKS, S_LINKED, _chunks, _linked, letters, picked, register, table  # noqa: F401
+from .catalog import LETTERS, LIT, QUERIES, SQL, S_CHUNKS, S_LINKED, S_PARSED, S_PERIODS, S_QUESTIONS, _chunks, _linked, _questions, letters, picked, register, table  # noqa: F401
 
 R6 = lambda c: F.round(c, 6)
 
 # ---------------------------------------------------------------- vectors
 
 S_VEC = (
-    "q as (select vec_id as qid, list_transform(embedding, lambda x: x::double) as qv from embeddings where vec_id % 100 = 0), v as (select vec_id as id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), "
-    "s as (select qid, id, label, round(list_cosine_similarity(qv, v), 12) as score from q, v)"
+    "vq as (select vec_id as qid, list_transform(embedding, lambda x: x::double) as qv from embeddings where vec_id % 100 = 0), v as (select vec_id as id, label, list_transform(embedding, lambda x: x::double) as v from embeddings), "
+    "s as (select qid, id, label, round(list_cosine_similarity(qv, v), 12) as score from vq, v)"
 )
 
 
@@ -239,6 +240,65 @@ def multi_period(spark, sf_dir):
     return found.select("qid", "id", F.col("rank").cast("long").alias("rank"), R6("score").alias("score"))
 
 
+# SQL: candidates c of the items' questions from both sources, the years that a question names, and the periods that it compares
+S_ASKED = (
+    f"{LETTERS}, {S_QUESTIONS}, {S_PARSED}, {S_PERIODS}, qs as (select qid, query from q), {S_SCORES}, {S_VEC}, "
+    "yr as (select qid, case when y1 is not null then least(y1, y2) when d1 is not null then d1.lo when d is not null then d.lo when len(ys) > 0 then list_min(ys) end as lo, case when y1 is not null then greatest(y1, y2) when d1 is not null then d2.hi when d is not null then d.hi when len(ys) > 0 then list_max(ys) end as hi from p), "
+    "c as materialized (select 0 as src, s.qid // 100 as qid, s.id, s.score, year from s join letters on letters.id = s.id where s.qid // 100 in (select qid from qs) union all select 1, sc.qid, sc.id, round(sc.score, 9), year from sc join letters on letters.id = sc.id), "
+    f"i as (select c.* from c join yr using (qid) where year between lo and hi), ep as (select c.*, period from c join e using (qid) where year between e.lo and e.hi), fv as (select c.* from c join yr using (qid) where src = 0 and (lo is null or year between lo and hi)), "
+    f"{_s_fused('whole', 'c', 'qid')}, {_s_fused('inside', 'i', 'qid')}, {_s_fused('each', 'ep', 'qid, period')}, "
+    "u as (select period as src, 1.0::double as w, qid, id, rank from each union all select 0, 2.0::double, * from inside where qid not in (select qid from e) union all select 1, 1.0::double, * from whole where qid not in (select qid from e)), "
+    f"{S_FUSED}, found as materialized (select 'naive' as strategy, qid, id, row_number() over (partition by qid order by score desc, id) - 1 as rank, score from c where src = 0 "
+    "union all select st, qid, id, row_number() over (partition by st, qid order by score desc, id) - 1, score from fv, (values ('vector'), ('metadata')) k(st) union all select 'hybrid', qid, id, r - 1, score from top)"
+)
+
+
+def _asked(spark, sf_dir, strategy, k):
+    """(qid, id, rank, score) of the items' questions under a strategy, by the years that they name and the periods that they compare."""
+    asked = _questions(spark, sf_dir)
+    years = letters(spark, sf_dir).select("id", "year")
+    # the best of every year hold those of any range of years
+    lexical = _best(spark, sf_dir, asked, 30, lambda d: d["year"]).drop("slot")
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id").join(years, "id")
+    own = _vector_queries(spark, sf_dir).select((F.col("qid") / 100).cast("long").alias("qid"), "vec").join(asked.select("qid"), "qid", "left_semi")
+    vector = I.vector_topk(vectors, own, 30, slot_col="year").select("qid", "id", "score")
+    named = Q.year_range(F.col("query"))
+    ranges = asked.select("qid", named.alias("r")).select("qid", "r.lo", "r.hi")
+    periods = R.with_periods(asked, Q.comparison_periods(F.col("query"))).select("qid", "period", "lo", "hi")
+    return R.search(strategy, vector, lexical, years, ranges, k, 30, periods if strategy.startswith("hybrid") else None).select("qid", "id", "rank", "score")
+
+
+STRATEGIES = ("naive", "vector", "metadata", "hybrid")
+
+
+@register(f"with {S_ASKED} select strategy, qid, id, rank, round(score, 6) as score from found where rank < 10")
+def search_all(spark, sf_dir):
+    """Every item's question under each strategy; hybrid searches each period of a question that compares."""
+    runs = [_asked(spark, sf_dir, name, 10).select(F.lit(name).alias("strategy"), "*") for name in STRATEGIES]
+    return reduce(DataFrame.unionByName, runs).select("strategy", "qid", "id", F.col("rank").cast("long").alias("rank"), R6("score").alias("score"))
+
+
+@register(
+    f"with {S_ASKED}, m as (select strategy, false as rerank, qid, id, rank from found where rank < 10 union all select strategy, true, qid, id, row_number() over (partition by strategy, qid order by length(text), id) - 1 from found join documents on doc_id = id where rank < 20 qualify row_number() over (partition by strategy, qid order by length(text), id) <= 10), "
+    "fl as (select strategy, rerank, qid, rank, cast(1977 + id % 48 as integer) // 10 * 10 = 1980 + qid % 4 * 10 as year_hit, contains(lower(text), 'the') as word from m join documents on doc_id = id), "
+    "per as (select strategy, rerank, qid, count(*) filter (year_hit and rank < 5) / greatest(count(*) filter (rank < 5), 1) as y5, max((year_hit and word and rank < 5)::int::double) as r5, coalesce(1.0 / min(case when year_hit and word then rank + 1 end), 0) as mrr from fl group by all) "
+    "select strategy, rerank, count(distinct qid) as n_queries, round(avg(r5), 4) as recall_at_5, round(avg(y5), 4) as year_hit_rate_at_5, round(avg(mrr), 4) as mrr from per group by all"
+)
+def m_strategies(spark, sf_dir):
+    """Mean metrics of every strategy, plain and with its rerank pool in another scorer's order (the shortest first)."""
+    texts = letters(spark, sf_dir).select("id", "year", "text")
+    first = (1980 + F.col("qid") % 4 * 10).cast("int")
+    gold = _bench(spark, sf_dir).select("qid", F.sequence(first, first + 9).alias("target_years"), F.array(F.lit("the")).alias("must_contain_any"))
+    runs = []
+    for name in STRATEGIES:
+        pool = written(_asked(spark, sf_dir, name, R.rerank_pool(10)).select("qid", "id", "rank"), "strategies").join(texts, "id").join(_questions(spark, sf_dir), "qid")
+        again = R.rerank_by(pool, lambda q, t: -F.length(t), 10).select("qid", "id", "rank").join(texts, "id")
+        runs += [found.select(F.lit(name).alias("strategy"), F.lit(flag).alias("rerank"), "qid", "rank", "year", "text") for flag, found in ((False, pool.where("rank < 10")), (True, again))]
+    flags = M.relevance(reduce(DataFrame.unionByName, runs), gold)
+    means = M.means(M.per_query(flags, (1, 5), by=("strategy", "rerank", "qid")), ("strategy", "rerank"))
+    return means.select("strategy", "rerank", "n_queries", *(F.round(c, 4).alias(c) for c in ("recall_at_5", "year_hit_rate_at_5", "mrr")))
+
+
 # ---------------------------------------------------------------- metrics
 
 S_FLAGS = f"fl as (select v1.qid, v1.rank, rel.id is not null as rel from v1 join hit using (qid) left join rel on rel.qid = v1.qid and rel.id = v1.id where v1.rank < 10)"
