@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import bm25_tokens, dedup_tokens
@@ -83,7 +84,6 @@ def batched_scorer(score, at_once: int = 32):
     Pairs of an Arrow batch go to the model by ``at_once``, ordered by length, so that
     those of one call are about as long; their results return to their rows.
     """
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
