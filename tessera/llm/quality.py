@@ -18,13 +18,15 @@ rules, so all rules together stay within ``total_risk``.  A stratum with too
 few labels to prove anything gets no cutoff and loses nothing to these rules:
 with four strata that is one of fewer than 970 good holdout documents.
 
-``joint`` cutoffs, which ``quality_filter`` uses, need few labels.  A level is one
-quantile for all rules at once; levels are tested from the mildest on, each for
-all rules together at ``total_risk`` and alpha / strata, up to the first that
+``joint`` cutoffs, which ``quality_rules`` and ``quality_filter`` use, need few labels.
+They are tested as vectors in a sequence that is fixed beforehand: the quantiles
+from the mildest on, and within each the rules in ``SEQUENCE``, so that a step
+makes one rule stricter by one quantile.  Each step's vector is tested for all
+its rules together at ``total_risk`` and alpha / strata, up to the first that
 fails (fixed-sequence testing), so 86 good holdout documents are enough with four
 strata.  Each rule then has the best of its useful cutoffs that are no lower than
-the last level's, which reject no more than that level does.
-``quality_rules`` keeps the separate tests, which its SQL fixes.
+the last step's, which reject no more than that step does.
+The separate tests are there for callers with many labels (``joint=False``).
 ``strata_report`` tells which strata have cutoffs.
 
 Nulls and edges: a null text has no words (all counts 0, base_failed true); a
@@ -53,6 +55,8 @@ RULES = {
     "upper_ratio": ("n_upper", "word_chars"),
     "mark_ratio": ("n_marks", "word_chars"),
 }
+#: the order in which rules get stricter: those first whose ratio is mostly 0 in ordinary texts
+SEQUENCE = ("symbol_ratio", "mark_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "word_length")
 QUANTILES = (0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0)
 #: Cutoffs of up to this many strata are broadcast: a row of a few hundred bytes each.
 BROADCAST_STRATA = 4096
@@ -175,17 +179,22 @@ def _best_cutoffs(valid: DataFrame, min_lift: float) -> DataFrame:
 
 
 def _joint_floors(rows: DataFrame, risk: float, level: float) -> DataFrame:
-    """(stratum, rule, floor): the cutoffs of the strictest level that holds for all rules together."""
+    """(stratum, rule, floor): the cutoffs of the last step that holds for all rules together; a rule without one has no row."""
     at = F.percentile("x", F.array(*map(F.lit, QUANTILES))).alias("cuts")
-    cuts = rows.where("proposes and good").groupBy("stratum", "rule").agg(at).select("stratum", "rule", F.posexplode("cuts").alias("level", "floor"))
+    place = F.array_position(F.array(*map(F.lit, SEQUENCE)), F.col("rule")).cast("int") - 1
+    # QUANTILES rise: the mildest comes first
+    step = (len(QUANTILES) - 1 - F.col("level")) * len(SEQUENCE) + place
+    cuts = rows.where("proposes and good").groupBy("stratum", "rule").agg(at).select("stratum", "rule", F.posexplode("cuts").alias("level", "floor")).withColumn("step", step)
     cuts = materialize(cuts, "quality-levels")
     both = rows.where("good and not proposes").join(cuts.withColumnsRenamed({"stratum": "st", "rule": "ru"}), F.col("stratum").eqNullSafe(F.col("st")) & (F.col("rule") == F.col("ru")))
-    docs = both.groupBy("stratum", "level", "doc_id").agg(F.max((F.col("x") > F.col("floor")).cast("int")).alias("over"))
-    tested = docs.groupBy("stratum", "level").agg(F.count("*").alias("n_good"), F.sum("over").alias("n_false"))
+    # a document that one step rejects is rejected by all later ones
+    docs = both.groupBy("stratum", "doc_id").agg(F.min(F.when(F.col("x") > F.col("floor"), F.col("step"))).alias("first"))
+    steps = range(len(QUANTILES) * len(SEQUENCE))
+    counted = docs.groupBy("stratum").agg(F.count("*").alias("n_good"), F.array(*(F.count_if(F.col("first") <= s) for s in steps)).alias("over"))
+    tested = counted.select("stratum", "n_good", F.posexplode("over").alias("step", "n_false"))
     fits = F.coalesce((F.col("n_false") <= F.floor(F.col("n_good") * risk)) & (F.expr(_log_tail("n_good", "n_false", risk)) <= F.log(F.lit(level))), F.lit(False))
-    # QUANTILES rise: the mildest level is the last, and those below a failure are not tested
-    last = tested.groupBy("stratum").agg(F.max(F.when(~fits, F.col("level"))).alias("failed")).withColumnsRenamed({"stratum": "st"})
-    return cuts.join(last, F.col("stratum").eqNullSafe(F.col("st"))).where("failed is null or level > failed").groupBy("stratum", "rule").agg(F.min("floor").alias("floor"))
+    last = tested.groupBy("stratum").agg(F.min(F.when(~fits, F.col("step"))).alias("failed")).withColumnsRenamed({"stratum": "st"})
+    return cuts.join(last, F.col("stratum").eqNullSafe(F.col("st"))).where("failed is null or step < failed").groupBy("stratum", "rule").agg(F.min("floor").alias("floor"))
 
 
 def strata_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **risk: float) -> DataFrame:
@@ -219,10 +228,10 @@ def _with_verdict(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **risk: float) -> DataFrame:
-    """(doc_id, COUNTS..., base_failed, kept) for every row of ``docs``."""
+    """(doc_id, COUNTS..., base_failed, kept) for every row of ``docs``, under joint cutoffs."""
     counts = _text_rows(docs, id_col, text_col, stratum_col)
     counts = materialize(counts, "quality-counts")
-    rows = _with_verdict(counts, risk_cutoffs(counts, labels, **risk))
+    rows = _with_verdict(counts, risk_cutoffs(counts, labels, **({"joint": True} | risk)))
     return rows.select("doc_id", "c.*", "base_failed", "kept")
 
 

@@ -143,11 +143,18 @@ SQL: dict[str, str] = {
         e as materialized (select doc_id, st, unnest(['symbol_ratio', 'dup_line_ratio', 'repeat_ratio', 'word_length', 'upper_ratio', 'mark_ratio']) as rule, unnest([x.symbol_ratio, x.dup_line_ratio, x.repeat_ratio, x.word_length, x.upper_ratio, x.mark_ratio]) as x from r),
         one as (select doc_id, min(quality) > 0 as good from labels where doc_id is not null and quality is not null group by 1),
         y as materialized (select e.*, good, substr(md5(doc_id::varchar), 1, 1) < '8' as proposes from e join one using (doc_id)),
-        o as (select st, rule, unnest(list_distinct(q)) as cutoff from (select st, rule, quantile_cont(x, [0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0]) as q from y where proposes and good group by all)),
+        qs as materialized (select st, rule, quantile_cont(x, [0.9, 0.95, 0.98, 0.99, 0.995, 0.999, 1.0]) as q from y where proposes and good group by all),
+        o as (select st, rule, unnest(list_distinct(q)) as cutoff from qs),
         h as materialized (select y.st, y.rule, cutoff, count(*) filter (good) as n, count(*) filter (good and x > cutoff) as k, count(*) filter (not good) as b, count(*) filter (not good and x > cutoff) as hit
               from y join o on y.st is not distinct from o.st and y.rule = o.rule where not proposes group by all),
-        z as (select *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)))) as tail from h where n > 0 and k <= floor(n * 0.05 / 6)),
-        u as (select st, rule, arg_max(cutoff, (hit, -k, cutoff)) as cutoff from z where tail <= 0.05 / ((select greatest(1, count(distinct coalesce(st, chr(0)))) from h) * 6 * 7) and hit > 0 and hit * n >= 10 * k * b group by all),
+        lv as materialized (select *, (6 - level) * 6 + list_position(['symbol_ratio', 'mark_ratio', 'dup_line_ratio', 'repeat_ratio', 'upper_ratio', 'word_length'], rule) - 1 as step from (select st, rule, unnest(q) as low, unnest(range(len(q))) as level from qs)),
+        dv as materialized (select y.st, doc_id, min(step) filter (x > low) as first from y join lv on y.st is not distinct from lv.st and y.rule = lv.rule where good and not proposes group by all),
+        tl as (select st, step, count(*) as n, count(*) filter (first <= step) as k from dv, range(42) as r(step) group by all),
+        ft as (select st, step, k <= floor(n * 0.05) and list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(1 - 0.05))))
+              <= 0.05 / (select greatest(1, count(distinct coalesce(st, chr(0)))) from h) as fits from tl),
+        fl as (select st, min(step) filter (not fits) as failed from ft group by 1),
+        mn as (select lv.st, rule, min(low) as low from lv join fl on lv.st is not distinct from fl.st where failed is null or step < failed group by all),
+        u as (select h.st, h.rule, arg_max(cutoff, (hit, -k, cutoff)) as cutoff from h join mn on h.st is not distinct from mn.st and h.rule = mn.rule where cutoff >= low and hit > 0 and hit * n >= 10 * k * b group by all),
         f as (select e.doc_id, bool_or(x > cutoff) as rejected from e join u on e.st is not distinct from u.st and e.rule = u.rule group by 1)
         select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
           not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not coalesce(rejected, false) as kept from c left join f using (doc_id)""",

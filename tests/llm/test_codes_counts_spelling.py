@@ -218,3 +218,21 @@ def test_letter_values_tell_exchanges_apart():
     letters = [*range(97, 123), *range(0xC0, 0x100)]
     moves = [a**5 - b**5 for a in letters for b in letters if a != b]
     assert len(set(moves)) == len(moves) and 2 * max(moves) < spelling.MODULUS
+
+
+# ---------------------------------------------------------------- quality rules on the given tables
+
+
+def test_quality_cutoffs_are_live(spark):
+    """Cutoffs are found where labels allow them, and reject what the base rules leave."""
+    from tessera.llm import quality
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.quality_rules(docs, labels).join(docs.select("doc_id", "lang"), "doc_id")
+    rejected = {r["lang"]: r["n"] for r in found.where("not kept and not base_failed").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert {"en", "fr", "de"} <= set(rejected) and min(rejected.values()) > 50
+    good = found.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id").where("not base_failed")
+    assert good.where("not kept").count() <= 0.05 * good.count()
+    small = "/root/testdata/sf0.01"
+    few = quality.strata_report(*(spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels")), joint=True)
+    assert {r["stratum"]: r["n_cutoffs"] for r in few.collect()}["en"] > 0
