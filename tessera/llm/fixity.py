@@ -33,10 +33,20 @@ def warc_record(record_id: Column, url: Column, payload: Column) -> Column:
     return F.concat(head, F.lit(f"{CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF * 2), body, F.lit(CRLF * 2))
 
 
+def record_hash(payload: Column) -> Column:
+    """A record's hash, in 64 digits; a null payload's is a mark of its own."""
+    return F.coalesce(F.sha2(payload.cast("binary"), 256), F.lit("null"))
+
+
+def record_bytes(payload: Column) -> Column:
+    return F.coalesce(F.octet_length(payload.cast("binary")), F.lit(0)).cast("long")
+
+
 def leaves(records: DataFrame) -> DataFrame:
-    """(file, at, hash, bytes) from records (file, offset, payload)."""
-    payload = F.col("payload").cast("binary")
-    one = records.where("file is not null and offset is not null").select("file", F.col("offset").cast("long").alias("at"), F.coalesce(F.sha2(payload, 256), F.lit("null")).alias("hash"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("bytes"))
+    """(file, at, hash, bytes) from records (file, offset, payload), or from (file, offset, hash, bytes) of payloads hashed where they lie."""
+    if "payload" in records.columns:
+        records = records.select("file", "offset", record_hash(F.col("payload")).alias("hash"), record_bytes(F.col("payload")).alias("bytes"))
+    one = records.where("file is not null and offset is not null").select("file", F.col("offset").cast("long").alias("at"), "hash", "bytes")
     same = one.groupBy("file", "at").agg(F.sort_array(F.collect_list("hash")).alias("hashes"), F.sum("bytes").alias("bytes"))
     return same.select("file", "at", F.when(F.size("hashes") == 1, F.col("hashes")[0]).otherwise(F.sha2(F.array_join("hashes", ","), 256)).alias("hash"), "bytes")
 
@@ -67,8 +77,9 @@ def tree_height(*replicas: DataFrame, range_bytes: int, fanout: int) -> int:
 def audit_replicas(left: DataFrame, right: DataFrame, *, range_bytes: int = 1 << 20, fanout: int = 16) -> DataFrame:
     """(file, offset, kind, left_hash, right_hash, left_bytes, right_bytes) of the records that differ.
 
-    left and right: (file, offset, payload).  kind: ``changed``, ``missing``
-    (left only) or ``extra`` (right only).
+    left and right: (file, offset, payload), or (file, offset, hash, bytes) with
+    ``record_hash`` and ``record_bytes``, so that payloads need not move to be placed.
+    kind: ``changed``, ``missing`` (left only) or ``extra`` (right only).
     """
     height = tree_height(left, right, range_bytes=range_bytes, fanout=fanout)
     options = {"range_bytes": range_bytes, "fanout": fanout, "height": height}

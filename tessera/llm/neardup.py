@@ -278,8 +278,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = connected_components(links.unionByName(more))
 
     # rows of one set, or of one id, belong together: sets are nodes named by their smallest id
-    named = own.join(least, ["d1", "d2"], "left").join(found.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("root", "id", "doc_id")
+    sets = own.where("d1 is not null").join(least, ["d1", "d2"], "left").join(found.withColumnRenamed("node", "id"), "id", "left")
+    # empty sets are linked with nothing: they meet no join, where their null keys would be one task's work
+    named = sets.select("doc_id", "n_shingles", F.coalesce("root", "id").alias("root")).unionByName(own.where("d1 is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import decontaminate, fixity, html_text, lang_id, licenses, line_dedup, neardup, packing, quality, spelling, token_counts, url_lists, vector_codes
+from .shared import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +48,16 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as records of archive files of 256 ids; the second replica has damage set by the md5 of page_id."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 256").alias("file"), fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("payload"), F.substring(F.md5(F.col("page_id").cast("string")), 1, 2).alias("fate"))
+    payload, fate = fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html")), F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 256").alias("file"), payload.alias("payload"), fate.alias("fate"))
+    other = F.when(F.col("fate") == "01", F.concat(F.lit("X"), F.expr("substring(payload, 2)"))).when(F.col("fate") == "02", F.expr("left(payload, length(payload) - 1)")).otherwise(F.col("payload"))
+    told = lambda name, c: [fixity.record_hash(c).alias(f"{name}_hash"), fixity.record_bytes(c).alias(f"{name}_bytes")]
+    # hashed where they lie: what is placed and compared is some 150 bytes a record
+    hashed = pages.select("page_id", "file", "fate", *told("left", F.col("payload")), *told("right", other))
     before = Window.partitionBy("file").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pages.withColumn("offset", F.coalesce(F.sum(F.octet_length("payload")).over(before), F.lit(0)))
-    damaged = placed.where("fate <> '00'").withColumn("payload", F.when(F.col("fate") == "01", F.concat(F.lit("X"), F.expr("substring(payload, 2)"))).when(F.col("fate") == "02", F.expr("left(payload, length(payload) - 1)")).otherwise(F.col("payload")))
-    return fixity.audit_replicas(placed.select("file", "offset", "payload"), damaged.select("file", "offset", "payload"))
+    placed = materialize(hashed.withColumn("offset", F.coalesce(F.sum("left_bytes").over(before), F.lit(0))), "placed-records")
+    side = lambda rows, name: rows.select("file", "offset", F.col(f"{name}_hash").alias("hash"), F.col(f"{name}_bytes").alias("bytes"))
+    return fixity.audit_replicas(side(placed, "left"), side(placed.where("fate <> '00'"), "right"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
