@@ -3,13 +3,18 @@
 A page becomes a row of tags and text runs, without comments, declarations,
 ``head``, raw-text elements (scripts, styles ...) and without subtrees that
 their element, role, class or id marks as menu, page header or footer, sidebar,
-notice, advert, form or reader comments.  A mark is a whole class or id, or a
-part of one that does not begin with has-, no-, with- and the like.  Nothing is
-left out that holds the page's first ``main`` or ``article``, and on a page
-without these no form, role, class or id leaves out most of its words.  Every word scores ``word``, every tag
-a negative weight; one linear scan (Kadane, 1984; Bentley, 1984) finds the
-contiguous region of the largest sum.  Blocks that have text in the region are
-the main text.
+notice, advert, form or reader comments.  A class or id marks an element if it is
+one of the words for such, ends in one (site-footer), or has one before a word
+for a container (share-buttons, but not share-price), and does not begin with has-,
+no-, with- and the like; in the labelled content ids mark reader comments alone,
+and emphasis, links and headings are never marked.  Nothing is left out
+that holds the page's first ``main`` or ``article``, and on a page without these no
+form, role, class or id leaves out most of its words.  Every word scores ``word``,
+every tag a negative weight; one linear scan (Kadane, 1984; Bentley, 1984) finds
+the contiguous region of the largest sum.  Blocks that have text in the region
+are the main text.  Where a page labels its content, the region lies within one
+label and tags there cost nothing, so a list of links does not part an article;
+an ``article`` with half the words of the ``main`` around it is the label.
 
 The weights come from labelled pages, those that mark their content with
 ``article`` or ``main``: a tag that is mostly outside costs nearly ``SCALE``
@@ -19,6 +24,8 @@ expectation and is counted where it lies.
 
 Text is decoded (character references), its white space runs become one space,
 blocks are trimmed and joined by one newline in page order; nothing is capped.
+Pages are read in linear time: from the first tag on whose quotes do not close,
+tags end at the next ``>``, and one that the page's end cuts off is dropped.
 ``br`` and table cells are white space inside a block.
 
 Nulls and edges: a null or empty page, or one without words, has the text ``''``
@@ -31,6 +38,7 @@ weights; an empty table gives an empty result.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,10 +51,13 @@ from .shared import map_arrow
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|([^<]+|<)",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|([^<]+|<(?!/?[a-zA-Z]))",
     re.S,
 )
+#: a tag whose quotes mean nothing
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+TAG_START = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +76,14 @@ MARKS = frozenset(
 )
 #: a class or id that begins so tells of a state of the page or of what is in it
 STATES = frozenset("has have no not non with without is in hide show enable enabled disable disabled supports".split())
+#: what a mark in front of it makes part of the page's frame: a container and not what is told
+CONTAINERS = frozenset(
+    "box boxes container wrapper wrap inner outer block blocks bar list lists item items group area section slot unit row col column panel pane content body holder frame top bottom left right "
+    "header title heading button buttons link links icon icons post posts story stories count form field input text label list-item zone region module card cards tools tool".split()
+)
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+UNMARKED = frozenset("a abbr b cite code em h1 h2 h3 h4 h5 h6 i mark q small strong sub sup u".split())
+QUOTES = frozenset("quote quotes pullquote pull blockquote".split())
 #: elements that are left out by name, but not with most of a page's words
 WRAPPERS = frozenset("form fieldset aside".split())
 HEADS = frozenset(("header", "topbar", "site-header", "page-header"))
@@ -82,30 +101,48 @@ def _marked(name: str, raw: str, inside: bool) -> str:
     a = _attributes(raw)
     if name not in LABELS and name not in ("body", "html") and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()):
         return "unseen"
+    words = (a.get("class", "") + " " + a.get("id", "")).lower().split()
     if name in WRAPPERS:
-        return "mark"
+        return "" if inside and name == "aside" and any(not QUOTES.isdisjoint(_parts(w)) for w in words) else "mark"
     if name in HIDDEN or (name == "header" and not inside):
         return "name"
     if not a or name in LABELS or name in ("body", "html"):
         return ""
     if a.get("role", "").lower() in ROLES:
         return "mark"
-    words = (a.get("class", "") + " " + a.get("id", "")).lower().split()
-    for word in words:
-        parts = re.split(r"[^a-z0-9]+", word.strip("-_"))
-        if parts[0] not in STATES and not MARKS.isdisjoint(parts):
-            return "mark"
+    if name in UNMARKED:
+        return ""
+    if any(map(_is_mark, a.get("class", "").lower().split())):
+        return "mark"
+    if any(_is_mark(w) and (not inside or not COMMENTS.isdisjoint(_parts(w))) for w in a.get("id", "").lower().split()):
+        return "mark"
     return "mark" if not inside and not HEADS.isdisjoint(words) else ""
 
 
+def _parts(word: str) -> list[str]:
+    return [x for x in re.split(r"[^a-z0-9]+", word) if x]
+
+
+def _is_mark(word: str) -> bool:
+    """Whether a class or id names a part of the page's frame."""
+    parts = _parts(word)
+    if not parts or parts[0] in STATES:
+        return False
+    *rest, last = parts
+    return last in MARKS or ((last in CONTAINERS or any(map(str.isdigit, last))) and not MARKS.isdisjoint(rest))
+
+
 def _all_tokens(page: str) -> list[tuple[str, bool, str]]:
     """(tag, closes, attributes) and ('', False, text) in page order, without comments and raw-text elements."""
     found: list[tuple[str, bool, str]] = []
     at, size = 0, len(page)
-    match = TOKEN.match
     endless: set[str] = set()  # raw-text elements with no end from here on
+    quoted = True
     while at < size:
-        m = match(page, at)
+        m = (TOKEN if quoted or not TAG_START.match(page, at) else PLAIN_TAG).match(page, at)
+        if m is None and quoted:
+            quoted = False
+            continue
         if m is None:  # a tag that the page's end cuts off
             break
         at = m.end()
@@ -213,12 +250,35 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def _labelled(tokens: list[tuple[str, str]], words: list[int]) -> list[bool] | None:
+    """Whether each token is in the page's label; None if no label has a word."""
+    depth = {"article": 0, "main": 0}
+    inside: dict[str, list[bool]] = {name: [] for name in depth}
+    for tag, _ in tokens:
+        name = tag.lstrip("/")
+        if name in depth and tag != name:
+            depth[name] = max(0, depth[name] - 1)
+        for k, flags in inside.items():
+            flags.append(depth[k] > 0)
+        if tag in depth:
+            depth[tag] += 1
+    held = {k: sum(n for n, f in zip(words, flags) if f) for k, flags in inside.items()}
+    if held["article"] and 2 * held["article"] >= held["main"]:
+        return inside["article"]
+    return inside["main"] if held["main"] else None
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     tokens = page_tokens(page)
     texts = [html.unescape(t) if not tag and "&" in t else t for tag, t in tokens]
-    scores = [weights.get(tag, -SCALE * _prior(tag)) if tag else WORD * len(t.split()) for (tag, _), t in zip(tokens, texts)]
+    words = [0 if tag else len(t.split()) for (tag, _), t in zip(tokens, texts)]
+    label = _labelled(tokens, words)
+    if label is None:
+        scores = [weights.get(tag, -SCALE * _prior(tag)) if tag else WORD * n for (tag, _), n in zip(tokens, words)]
+    else:
+        scores = [WORD * n if within else -math.inf for n, within in zip(words, label)]
     first, end = best_region(scores)
     blocks: list[str] = []
     parts: list[str] = []
