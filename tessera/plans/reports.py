@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import query as Q, text as T
 from ..operators import answer as A, chunk as C, embed as E, index as I, inverted as V, metrics as M, retrieve as R
 from ..session import shared_dir
-from ..sources import files
+from ..sources import files, stores
 from .catalog import LETTERS, LIT, S_CHUNKS, _chunks, letters, register, table
-from .retrieval import R6, S_BENCH, S_RANKS, S_SAID, S_SCORES, _bench, _said, _two_rankings, _vector_queries
+from .retrieval import R6, S_BENCH, S_RANKS, S_SAID, S_SCORES, S_VEC, _bench, _said, _two_rankings, _vector_queries
 
 # ---------------------------------------------------------------- files
 
@@ -204,19 +204,39 @@ def dedup_pairs(spark, sf_dir):
 
 # ---------------------------------------------------------------- embeddings
 
+S_LETTERS = "list_transform(range(26), lambda k: length(lower({0})) - length(replace(lower({0}), chr((97 + k)::integer), '')))"
+S_UNIT = "list_transform({0}, lambda x: round(cast(cast(case when {1} > 0 then x / sqrt({1}) else x end as float) as double), 6))"
+_S_EMBED = f"select {{}}, {S_UNIT.format('c', 'list_sum(list_transform(c, lambda x: x * x))')} as vec from (select {{}}, {S_LETTERS.format('t')} as c from (select {{}}, {{}} as t from {{}}))"
 
-@register()
+
+def _rounded(vec):
+    return F.transform(vec, lambda x: F.round(x.cast("double"), 6))
+
+
+@register(_S_EMBED.format("doc_id", "doc_id", "doc_id", "text", "documents"))
 def emb_doc(spark, sf_dir):
     """Every document's unit vector by an encoder that needs no model."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", E.embed(docs, F.col("text"), E.letter_counts).alias("vec"))
+    return docs.select("doc_id", _rounded(E.embed(docs, F.col("text"), E.letter_counts)).alias("vec"))
 
 
-@register()
+@register(_S_EMBED.format("qid", "qid", "item_id as qid", "'Represent this question: ' || text", "benchmark"))
 def emb_query(spark, sf_dir):
     """The same encoder on questions, behind their instruction."""
     asked = _bench(spark, sf_dir)
-    return asked.select("qid", E.embed(asked, F.col("query"), E.letter_counts, prefix="Represent this question: ").alias("vec"))
+    return asked.select("qid", _rounded(E.embed(asked, F.col("query"), E.letter_counts, prefix="Represent this question: ")).alias("vec"))
+
+
+@register(f"with {S_VEC} select qid, id, round(score, 6) as score, r - 1 as rank from (select *, row_number() over (partition by qid order by score desc, id) as r from s where id % 7 <> 0 and label < 6) where r <= 5")
+def store_search(spark, sf_dir):
+    """A store that took all vectors in two batches, the second over the first, and lost some: searched with a filter."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    store = stores.open_store("exact", spark, f"{shared_dir(spark)}/tessera/vectors-{uuid.uuid4().hex}", width=64)
+    store.upsert(own.where("id % 3 <> 0").withColumn("label", F.when(F.col("id") % 2 == 0, F.col("label")).otherwise(99)), "label")
+    store.upsert(own.where("id % 3 = 0 or id % 2 <> 0"), "label")
+    store.delete(own.where("id % 7 = 0").select("id"), "label")
+    found = store.search(_vector_queries(spark, sf_dir), 5, F.col("label") < 6)
+    return found.select("qid", "id", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @register()

@@ -183,7 +183,12 @@ def rerank(spark, sf_dir):
     return R.ranked(R.minmax_rerank(whole.select("qid", "id", F.col("score").alias("raw")), 30).withColumn("score", F.round("score", 9)).drop("rank"), 8).select("qid", "id", R6("score").alias("score"))
 
 
-@register()
+@register(
+    f"with {S_BENCH}, {S_SCORES}, {S_RANKS}, h as (select qid, rank, id, round(score, 9) as score, list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) as toks from v1 join sc using (qid, id) join documents on doc_id = id where rank < 30), "
+    "l as (select qid, list([{'id': id, 'score': score, 'toks': toks}] order by rank) as xs from h group by 1), "
+    "k as (select qid, list_reduce(xs, lambda a, b: case when len(list_filter(a, lambda y: len(list_intersect(y.toks, b[1].toks)) / greatest(len(y.toks) + len(b[1].toks) - len(list_intersect(y.toks, b[1].toks)), 1) >= 0.85 or len(list_intersect(y.toks, b[1].toks)) / greatest(least(len(y.toks), len(b[1].toks)), 1) >= 0.92)) > 0 then a else list_concat(a, b) end) as kept from l) "
+    "select qid, x.id as id, (n - 1)::integer as rank, round(x.score, 6) as score from (select qid, unnest(kept) as x, generate_subscripts(kept, 1) as n from k)"
+)
 def dedup(spark, sf_dir):
     """Greedy removal of repeats among each question's 30 candidates, in rank order."""
     whole = _whole(spark, sf_dir)
