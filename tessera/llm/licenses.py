@@ -4,7 +4,10 @@ Every block of a text is compared with whole licence headers, licence texts and
 titles: its header (the leading comment lines), each paragraph of several lines
 and, in a licence file, the whole text.  The block of the highest cosine names
 the licence; where none reaches ``threshold`` every line is compared with
-every template statement, and the best line does.  Terms are
+every template statement, and the best line does.  A line or short block that says
+something is not licensed names nothing.  A tag line ``SPDX-License-Identifier``
+outside all of these is exact: its first identifier is the licence, with score 1,
+whatever else the text has.  Terms are
 lower-case runs of letters and digits, a term weighs its count times
 ln((1 + N) / (1 + df)) + 1, with N and df counted over all documents; terms
 that no template has weigh as if in one document.  Only the products of shared
@@ -42,6 +45,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Licensed under Apache 2.0"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -56,6 +60,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("ISC", "Released under the ISC License"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("MIT", "Licensed under MIT"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -99,6 +104,12 @@ BLOCKS: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org"),
 )
+#: the tag that names a licence by its identifier, and what an identifier may end in
+SPDX = re.compile(r"SPDX-License-Identifier:\s*\(*\s*([A-Za-z0-9][A-Za-z0-9.+-]*)")
+SPDX_ENDS = re.compile(r"(-only|-or-later|\+)$")
+#: words that take a licence back; whole licence texts have them too, so they count in blocks of few terms
+NEGATED = re.compile(r"\b(?:not|never|no longer)\s+(?:\w+\s+)?(?:licen[cs]ed|released|covered|available|dedicated|permitted)\b|\bnot\s+subject\s+to\b", re.I)
+SHORT = 60
 COMMENT = re.compile(r"\s*(#|//|/\*|\*|--|;|%|<!--|\"{3}|'{3}|\(\*|\{-|rem\b|dnl\b)", re.I)
 OPENS = (("/*", "*/"), ("<!--", "-->"), ('"' * 3, '"' * 3), ("'" * 3, "'" * 3), ("(*", "*)"), ("{-", "-}"))
 
@@ -175,9 +186,15 @@ class TemplateIndex:
         """(licence, cosine, line number) of a text's best block, or else its best line, that reaches ``enough``."""
         found: tuple[str | None, float, int | None] = (None, 0.0, None)
         lines = text.split("\n") if text else []
+        if text and "SPDX-License-Identifier" in text:
+            for i, line in enumerate(lines):
+                if tag := SPDX.search(line):
+                    return SPDX_ENDS.sub("", tag[1].rstrip(".-")), 1.0, i
         each = [terms(line) for line in lines]
         if blocks:
             for start, end in _spans(lines, each, whole):
+                if sum(map(len, each[start:end])) < SHORT and NEGATED.search(" ".join(lines[start:end])):
+                    continue
                 score, name = blocks.near([t for ts in each[start:end] for t in ts], enough)
                 if score >= enough and score > found[1]:
                     found = name, score, start
@@ -185,7 +202,7 @@ class TemplateIndex:
                 return found
         for i, line in enumerate(each):
             score, name = self.best(line)
-            if score >= enough and score > found[1]:
+            if score >= enough and score > found[1] and not (len(line) < SHORT and NEGATED.search(lines[i])):
                 found = name, score, i
         return found
 
@@ -255,6 +272,8 @@ def scan_licenses(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "
     parts = F.split("folder", "/")
     above = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("dir"))
     nearest = above.join(holders, "dir").groupBy("folder").agg(F.max_by("x", F.length("dir")).alias("x"))
-    out = own.withColumn("folder", F.when(F.col("license").isNull(), folder)).join(nearest, "folder", "left")
+    # files with a licence of their own take no part in the join, where their null folder would be one task's work
+    bare = own.where("license is null").withColumn("folder", folder).join(nearest, "folder", "left").select(*own.columns, "x")
+    out = bare.unionByName(own.where("license is not null").withColumn("x", F.lit(None).cast(nearest.schema["x"].dataType)))
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("x").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.coalesce("license", "x.license").alias("license"), F.when(F.col("license").isNotNull(), F.col("score")).otherwise(F.coalesce("x.score", F.lit(0.0))).alias("score"), "line_no", origin.alias("origin"), F.when(F.col("license").isNull(), F.col("x.path")).alias("from_path"))

@@ -94,3 +94,59 @@ def test_null_ids_and_repeats_among_near_duplicates(spark):
     nulls = [(r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, width=3, percent=85).collect() if r["doc_id"] is None]
     assert nulls == [(None, None)] * 2
     assert len(list(itertools.chain(found, nulls))) == len(rows)
+
+
+# ---------------------------------------------------------------- licences
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("// SPDX-License-Identifier: MIT\nint x;", ("MIT", 0)),
+        ("x\n/* SPDX-License-Identifier: GPL-2.0-or-later */", ("GPL-2.0", 1)),
+        ("# SPDX-License-Identifier: (BSD-3-Clause OR MIT)\n", ("BSD-3-Clause", 0)),
+        ("Our library\n\nLicensed under MIT.", ("MIT", 2)),
+        ("This file is not licensed under the Apache License, Version 2.0", (None, None)),
+        ("It is no longer available.\nLicensed under the Apache License, Version 2.0", ("Apache-2.0", 1)),
+        (None, (None, None)),
+    ],
+)
+def test_what_names_a_licence(text, want):
+    from tessera.llm import licenses as N
+
+    index, blocks = N.TemplateIndex({}, 1000), N.TemplateIndex({}, 1000, N.BLOCKS, N.FULL_TEXTS)
+    name, _, line = index.scan(text, 0.8, blocks)
+    assert (name, line) == want
+
+
+def test_cosines_match_dense_vectors():
+    import math
+
+    from tessera.llm import licenses as N
+
+    rng = random.Random(3)
+    df = {t: rng.randrange(1, 900) for _, text in N.TEMPLATES for t in N.terms(text)}
+    index = N.TemplateIndex(df, 1000)
+    weigh = lambda t: math.log(1001 / (1 + df[t])) + 1 if t in df else math.log(1001 / 2) + 1
+
+    def cosine(a, b):
+        x, y = ({t: n * weigh(t) for t, n in Counter(c).items()} for c in (a, b))
+        return sum(v * y.get(t, 0) for t, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    for _ in range(200):
+        line = rng.sample(N.terms(rng.choice(N.TEMPLATES)[1]), 3) + rng.choices(["the", "zzz", "licensed", "under"], k=rng.randrange(4))
+        score, name = index.best(line)
+        each = [(round(cosine(line, N.terms(text)), 9), n) for n, text in N.TEMPLATES]
+        top = max(c for c, _ in each)
+        assert round(score, 9) == top and name == min(n for c, n in each if c == top)
+
+
+def test_licences_come_from_the_nearest_folder(spark):
+    from tessera.llm import licenses as N
+
+    mit, apache = "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0"
+    rows = [(1, "a/LICENSE", mit), (2, "a/x.c", "code"), (3, "a/b/y.c", "code"), (4, "a/b/COPYING", apache), (5, "a/b/c/z.c", "code"), (6, "ab/x.c", "code"), (7, None, "code"), (8, "top.c", None), (9, "a/b/own.c", mit), (2, "a/x.c", "code"), (10, "a/b/LICENSE.txt", mit)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumns({"license": F.lit("x"), "score": F.lit(9), "folder": F.lit("f")})
+    found = sorted((r["doc_id"], r["license"], r["origin"], r["from_path"]) for r in N.scan_licenses(docs).collect())
+    assert found == sorted([(1, "MIT", "own", None), (2, "MIT", "inherited", "a/LICENSE"), (2, "MIT", "inherited", "a/LICENSE"), (3, "Apache-2.0", "inherited", "a/b/COPYING"), (4, "Apache-2.0", "own", None), (5, "Apache-2.0", "inherited", "a/b/COPYING"), (6, None, "none", None), (7, None, "none", None), (8, None, "none", None), (9, "MIT", "own", None), (10, "MIT", "own", None)], key=lambda r: (r[0], str(r)))
+    assert N.scan_licenses(docs.limit(0)).count() == 0
