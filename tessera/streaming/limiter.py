@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -51,6 +53,8 @@ def limit_stream(requests: DataFrame, most: int, window_seconds: float, *, repla
 
     replay: the requests' times are not those of the clock, so no state expires.
     """
+    # the state's processor is also loaded beside the driver, where this package may not be on the path
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     own = AnchoredWindow(most, window_seconds, expires=not replay)
     return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=own, outputStructType="key string, at double, allowed boolean", outputMode="Append", timeMode="None" if replay else "ProcessingTime")
 
