@@ -111,17 +111,19 @@ def window_scores(hits: DataFrame) -> DataFrame:
     """
     words = hits.select("qid", "id", F.array_distinct(bm25_tokens(F.col("query"))).alias("asked"), bm25_tokens(F.coalesce("text", F.lit(""))).alias("toks"))
     places = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("i"), F.array_position("asked", t).cast("int").alias("n"))), lambda x: x["n"] > 0)
-    own = words.select("qid", "id", places.alias("p")).withColumn("m", F.size(F.array_distinct(F.transform("p", lambda x: x["n"]))))
-    # last: the last place of each word, by number; a window ends at every place
+    # one-element arrays bind the places and their count, so that a step of the fold does not compute them again
     start = F.struct(F.create_map().cast("map<int,int>").alias("last"), F.lit(1 << 30).alias("least"))
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.map_concat(F.map_filter(a["last"], lambda k, v: k != x["n"]), F.create_map(x["n"], x["i"]))
-        size = x["i"] - F.array_min(F.map_values(last)) + 1
-        return F.struct(last.alias("last"), F.when((F.size(last) == F.col("m")) & (size < a["least"]), size).otherwise(a["least"]).alias("least"))
+    def scored(x: Column) -> Column:
+        def step(a: Column, y: Column) -> Column:
+            last = F.map_concat(F.map_filter(a["last"], lambda k, v: k != y["n"]), F.create_map(y["n"], y["i"]))
+            size = y["i"] - F.array_min(F.map_values(last)) + 1
+            return F.struct(last.alias("last"), F.when((F.size(last) == x["m"]) & (size < a["least"]), size).otherwise(a["least"]).alias("least"))
 
-    least = F.aggregate("p", start, step)["least"]
-    return own.select("qid", "id", F.when(F.col("m") > 0, F.col("m") + 1 / least).otherwise(0.0).alias("raw"))
+        return F.when(x["m"] > 0, x["m"] + 1 / F.aggregate(x["p"], start, step)["least"]).otherwise(0.0)
+
+    counted = F.transform(F.array(places), lambda p: F.struct(p.alias("p"), F.size(F.array_distinct(F.transform(p, lambda y: y["n"]))).alias("m")))
+    return words.select("qid", "id", F.transform(counted, scored).getItem(0).alias("raw"))
 
 
 def topk_by_decade(scores: DataFrame, decades: list[int], k: int = 3) -> DataFrame:
