@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import shared_dir, ship
-from .index import QUERY_BLOCK, _top, _unit, fit_cells, normalized
+from .index import QUERY_BLOCK, Kept, _top, _unit, fit_cells, nearest, normalized, tiles
 
 #: partitions of either table; more cells than that share them
 MOST_PARTS = 4096
@@ -51,7 +51,7 @@ def _coded(centres: np.ndarray, copies: int, parts: int):
             if not len(pdf) or not len(centres):
                 continue
             unit = _unit(np.array(pdf.vec.tolist(), float))
-            cells = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :copies]
+            cells = nearest(unit, centres)[:, None] if copies == 1 else np.concatenate([np.argsort(-(unit[t] @ centres.T), axis=1, kind="stable")[:, :copies] for t in tiles(len(unit), len(centres))])
             n = cells.shape[1]
             rest = np.repeat(unit, n, 0) - centres[cells.ravel()]
             step = np.maximum(np.abs(rest).max(1), 1e-12) / 127
@@ -88,22 +88,25 @@ def _scan(asked: np.ndarray, looked: dict[int, np.ndarray], centres: np.ndarray,
     """mapInPandas: codes -> (n, id, score), each question's best of a task."""
 
     def run(batches):
-        best = None
+        best = Kept(len(asked), keep, once=True)  # a vector of two cells counts by its better code
         for pdf in batches:
-            found = [] if best is None else [best]
             for cell, own in pdf.groupby("cell", sort=False):
                 qs = looked.get(int(cell))
                 if qs is None:
                     continue
-                code = np.frombuffer(b"".join(own.code), np.int8).reshape(len(own), -1).astype(np.float32)
-                score = (asked[qs] @ code.T) * own.step.to_numpy()[None, :] + (asked[qs] @ centres[cell])[:, None]
-                found.append(pd.DataFrame({"n": np.repeat(qs, len(own)), "id": np.tile(own.id.to_numpy(), len(qs)), "score": score.ravel().astype(float)}))
-            if found:
-                # a vector of two cells counts by its better code
-                both = pd.concat(found).sort_values(["n", "score", "id"], ascending=[True, False, True]).drop_duplicates(["n", "id"])
-                best = both.groupby("n").head(keep)
-        if best is not None:
-            yield best
+                ids, step = own.id.to_numpy(), own.step.to_numpy()
+                code = np.frombuffer(b"".join(own.code), np.int8).reshape(len(own), -1)
+                centre = asked[qs] @ centres[cell]
+                for t in tiles(len(own), len(qs)):
+                    score = ((asked[qs] @ code[t].T.astype(np.float32)) * step[t][None, :] + centre[:, None]).astype(float)
+                    least = best.least(0)[qs]
+                    if score.shape[1] > keep:
+                        least = np.maximum(least, np.partition(score, -keep, axis=1)[:, -keep])
+                    q, at = np.nonzero(score >= least[:, None])
+                    best.add(qs[q], 0, ids[t][at], score[q, at])
+        kept = best.best()
+        if kept is not None:
+            yield pd.DataFrame({"n": kept.q.astype("int64"), "id": kept.id, "score": kept.score})
 
     return run
 

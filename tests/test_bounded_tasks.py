@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
-from tessera.operators import index as I
+from tessera.operators import index as I, inverted as V
 
 
 def _peak_mb(run) -> tuple:
@@ -45,3 +45,25 @@ def test_tiles_change_no_rank(monkeypatch):
             want = pd.DataFrame({"id": every.id[own], "score": score[q, own]}).sort_values(["score", "id"], ascending=[False, True]).head(4)
             got = found[(found.qid == q) & (found.slot == slot)]
             assert got.id.tolist() == want.id.tolist() and got.score.tolist() == want.score.tolist()
+
+
+def test_inverted_scan_holds_tiles():
+    rng = np.random.default_rng(7)
+    asked = I._unit(rng.normal(size=(I.QUERY_BLOCK, 16))).astype(np.float32)
+    centres = I._unit(rng.normal(size=(4, 16))).astype(np.float32)
+    code = rng.integers(-127, 128, size=(10_000, 16)).astype(np.int8)
+    pdf = pd.DataFrame({"cell": np.arange(10_000, dtype=np.int32) % 4, "id": np.arange(10_000), "step": np.float32(0.004), "code": [c.tobytes() for c in code]})
+    looked = {c: np.arange(len(asked)) for c in range(4)}
+    (found,), mb = _peak_mb(lambda: list(V._scan(asked, looked, centres, 6)(iter([pdf]))))
+    assert mb < 150  # a row for each question and code took more than 1,000
+    exact = (asked[:20] @ code.T.astype(np.float32)) * np.float32(0.004) + asked[:20] @ centres[pdf.cell].T
+    for q in range(20):
+        assert set(found[found.n == q].id) == set(np.argsort(-exact[q])[:6].tolist())
+
+
+def test_nearest_centres_by_tiles(monkeypatch):
+    rng = np.random.default_rng(8)
+    unit, centres = I._unit(rng.normal(size=(500, 8))), I._unit(rng.normal(size=(37, 8)))
+    monkeypatch.setattr(I, "TILE", 100)
+    assert I.nearest(unit, centres).tolist() == np.argmax(unit @ centres.T, axis=1).tolist()
+    assert len(I.nearest(unit[:0], centres)) == 0
