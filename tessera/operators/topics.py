@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .index import if_small
 
 #: a word and what separates it from the next
-WORD, GAP = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]*"
+WORD, GAP, NO_WORD = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]*", r"[^\p{L}\p{N}_]+"
+#: first words of keywords that are looked up in the arrays; with more, every word begins a run
+MOST_FIRSTS = 20_000
 
 
 def keyword_table(spark: SparkSession, topics: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -20,6 +22,12 @@ def _words(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)))
 
 
+def _runs(size: int) -> Column:
+    """(at, size, keyword) of the runs of ``size`` words that begin with one of ``begun`` (at, word)."""
+    fit = F.filter("begun", lambda x: x["at"] + size <= F.size("w"))
+    return F.transform(fit, lambda x: F.struct(x["at"].alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("mixed", 2 * x["at"] + 1, F.lit(2 * size - 1)), "").alias("keyword")))
+
+
 def keyword_hits(docs: DataFrame, keywords: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, topic, place, hits): whole-word hits of each topic's keywords that do not overlap.
 
@@ -29,13 +37,16 @@ def keyword_hits(docs: DataFrame, keywords: DataFrame, *, id_col: str = "doc_id"
     begins behind it.  A keyword starts and ends with a letter, digit or
     underscore; what stands between its words must be the same in the text.
     """
-    lengths = [r[0] for r in keywords.select(_words(F.col("keyword"))).distinct().collect()]  # of keywords in words: a few numbers
-    parts = lambda group: F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})({GAP})"), F.lit(group))
-    words = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", parts(1).alias("w"), parts(2).alias("gap"))
-    mixed = words.select("id", F.flatten(F.transform(F.arrays_zip("w", "gap"), lambda x: F.array(x["w"], x["gap"]))).alias("mixed"), F.size("w").alias("n"))
-    at = mixed.where("n > 0").select("id", "mixed", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    runs = at.select("id", "at", "n", "mixed", F.explode(F.array(*map(F.lit, lengths or [1]))).alias("size")).where("at + size <= n")
-    runs = runs.select("id", "at", "size", F.array_join(F.slice("mixed", 2 * F.col("at") + 1, 2 * F.col("size") - 1), "").alias("keyword"))
+    keyed = keywords.select(_words(F.col("keyword")).alias("size"), F.regexp_extract("keyword", WORD, 0).alias("word"))
+    lengths = [r[0] for r in keyed.select("size").distinct().collect()]  # of keywords in words: a few numbers
+    firsts = [r[0] for r in keyed.select("word").distinct().limit(MOST_FIRSTS + 1).collect()]
+    # words and runs are put together within their arrays: a row that carried its text's array would make a text's rows quadratic
+    words = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low")).select("id", "low", F.filter(F.split("low", NO_WORD), lambda x: x != "").alias("w"))
+    placed = F.transform("w", lambda x, at: F.struct(at.alias("at"), x.alias("word")))
+    begun = words.select("id", "low", "w", (F.filter(placed, lambda x: x["word"].isin(firsts)) if len(firsts) <= MOST_FIRSTS else placed).alias("begun"))
+    gaps = F.when(F.size("begun") > 0, F.regexp_extract_all("low", F.lit(f"{WORD}({GAP})"), F.lit(1)))
+    mixed = begun.select("id", "w", "begun", gaps.alias("gap")).select("id", "w", "begun", F.flatten(F.zip_with("w", "gap", lambda w, gap: F.array(w, gap))).alias("mixed"))
+    runs = mixed.select("id", F.inline(F.flatten(F.array(*(_runs(n) for n in lengths or [1])))))
     found = runs.join(if_small(keywords.select("keyword", "topic", "place", "nth")), "keyword")
     order = F.array_sort(F.collect_list(F.struct("at", "nth", "size")))
     start = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("end"))

@@ -1,11 +1,13 @@
 """What a task or the driver holds at once does not grow with the tables."""
 
+import time
 import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
-from tessera.operators import index as I, inverted as V
+from tessera.operators import chunk as C, index as I, inverted as V, topics as K
 
 
 def _peak_mb(run) -> tuple:
@@ -24,7 +26,7 @@ def test_vector_search_holds_tiles():
     ids = list(range(len(asked)))
     pdf = pd.DataFrame({"id": np.arange(10_000), "vec": list(rng.normal(size=(10_000, 16))), "slot": np.int32(0)})
     (found,), mb = _peak_mb(lambda: list(I._best(ids, asked, 5)(iter([pdf]))))
-    assert mb < 150  # whole matrices took more than 600
+    assert mb < 150
     score = np.round(asked[:40] @ I._unit(np.array(pdf.vec.tolist())).T, 12)
     for q in range(40):
         assert found[found.qid == q].id.tolist() == np.lexsort((pdf.id, -score[q]))[:5].tolist()
@@ -55,7 +57,7 @@ def test_inverted_scan_holds_tiles():
     pdf = pd.DataFrame({"cell": np.arange(10_000, dtype=np.int32) % 4, "id": np.arange(10_000), "step": np.float32(0.004), "code": [c.tobytes() for c in code]})
     looked = {c: np.arange(len(asked)) for c in range(4)}
     (found,), mb = _peak_mb(lambda: list(V._scan(asked, looked, centres, 6)(iter([pdf]))))
-    assert mb < 150  # a row for each question and code took more than 1,000
+    assert mb < 150
     exact = (asked[:20] @ code.T.astype(np.float32)) * np.float32(0.004) + asked[:20] @ centres[pdf.cell].T
     for q in range(20):
         assert set(found[found.n == q].id) == set(np.argsort(-exact[q])[:6].tolist())
@@ -67,3 +69,30 @@ def test_nearest_centres_by_tiles(monkeypatch):
     monkeypatch.setattr(I, "TILE", 100)
     assert I.nearest(unit, centres).tolist() == np.argmax(unit @ centres.T, axis=1).tolist()
     assert len(I.nearest(unit[:0], centres)) == 0
+
+
+def test_long_texts_cost_their_length(spark):
+    """No row of a word carries its text's words."""
+    text = "alpha beta, gamma-delta. " * 20_000
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "beta,  gamma")], "doc_id long, text string")
+    keys = K.keyword_table(spark, {"one": ("gamma",), "two": ("beta, gamma", "delta. alpha beta, gamma"), "none": ("omega",)})
+    began = time.time()
+    found = {(r["id"], r["topic"]): r["hits"] for r in K.keyword_hits(docs, keys).collect()}
+    assert time.time() - began < 40
+    assert found == {(1, "one"): 20_000, (1, "two"): 20_000, (3, "one"): 1}
+
+
+def test_many_first_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The sea, the wide sea and the land")], "doc_id long, text string")
+    keys = K.keyword_table(spark, {"water": ("sea", "wide sea"), "earth": ("the land", "and")})
+    few = sorted(map(tuple, K.keyword_hits(docs, keys).collect()))
+    monkeypatch.setattr(K, "MOST_FIRSTS", 1)
+    assert sorted(map(tuple, K.keyword_hits(docs, keys).collect())) == few == [(1, "earth", 1, 2), (1, "water", 0, 2)]
+
+
+def test_pieces_are_cut_by_slices():
+    texts = pa.array([None, "", *(("word " * 700 + ". ") for _ in range(4000))])
+    want = [x for x in (y.strip() for y in C.split_recursive(texts[2].as_py())) if x]
+    found, mb = _peak_mb(lambda: C.split_batch(texts))
+    assert found[0].as_py() == found[1].as_py() == [] and found[2].as_py() == found[4001].as_py() == want and len(found) == 4002
+    assert mb < 5  # strings of a slice, not of the whole batch, beside those of Arrow
