@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -12,6 +12,8 @@ from ..session import ship
 # Separators from the coarsest to single characters, and sizes.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
 SIZE, OVERLAP, LEAST = 800, 120, 160
+#: texts cut at once
+SLICE = 64
 
 
 def fixed_windows(c: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -80,13 +82,20 @@ def merge_short(chunks: Column, least: int = LEAST, target: int = SIZE + OVERLAP
     return F.aggregate(chunks, start, step, lambda a: F.when(a["wait"] != "", F.array_append(a["done"], a["wait"])).otherwise(a["done"]))
 
 
+def split_batch(texts: pa.Array, size: int = SIZE, overlap: int = OVERLAP) -> pa.Array:
+    """The pieces of each text, SLICE texts at a time: strings of Python stand beside the batch for those alone."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([[x for x in (y.strip() for y in split_recursive(t, size, overlap)) if x] if t else [] for t in texts.slice(at, SLICE).to_pylist()], kind) for at in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def recursive_chunks(df: DataFrame, c: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> Column:
     """Recursive splitting (an Arrow-batched function: recursion is beyond expressions), then the merge."""
     ship(df.sparkSession)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [x for x in (y.strip() for y in split_recursive(t, size, overlap)) if x] if t else [])
+    @F.arrow_udf(ArrayType(StringType()))
+    def split(texts: pa.Array) -> pa.Array:
+        return split_batch(texts, size, overlap)
 
     return merge_short(split(F.coalesce(c, F.lit(""))), least, size + overlap)
 
