@@ -40,7 +40,7 @@ def keyword_hits(docs: DataFrame, keywords: DataFrame, *, id_col: str = "doc_id"
     keyed = keywords.select(_words(F.col("keyword")).alias("size"), F.regexp_extract("keyword", WORD, 0).alias("word"))
     lengths = [r[0] for r in keyed.select("size").distinct().collect()]  # of keywords in words: a few numbers
     firsts = [r[0] for r in keyed.select("word").distinct().limit(MOST_FIRSTS + 1).collect()]
-    # words and runs are put together within their arrays: a row that carried its text's array would make a text's rows quadratic
+    # only runs that begin with a keyword's first word are put together and leave their text's arrays
     words = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low")).select("id", "low", F.filter(F.split("low", NO_WORD), lambda x: x != "").alias("w"))
     placed = F.transform("w", lambda x, at: F.struct(at.alias("at"), x.alias("word")))
     begun = words.select("id", "low", "w", (F.filter(placed, lambda x: x["word"].isin(firsts)) if len(firsts) <= MOST_FIRSTS else placed).alias("begun"))
