@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .packing import slices
-from .shared import map_arrow, materialize
+from .shared import Tables, map_arrow
 from .shingles import U, WordHashes, intersection, kept, mix, shingle_set
 
 BANDS, ROWS, MANTISSA, ROUNDS = 40, 8, 10, 8
@@ -152,19 +152,21 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, tables: Tables) -> DataFrame:
     """The pairs (u, v) whose sets are as similar as asked.
 
-    pairs: distinct, materialized.  A node v that many are compared with is
+    pairs: distinct, a written table.  A node v that many are compared with is
     copied once for every CHUNK of them, and each copy is a group of its own.
     """
     sizes = pairs.groupBy("v").agg(F.count("*").alias("n"))
     near = pairs.join(sizes, "v").select(F.col("v").alias("c"), F.pmod(F.xxhash64("u"), F.ceil(F.col("n") / CHUNK)).alias("part"), "u")
-    near = materialize(near, "neardup-near")
+    near = tables.write(near)
     members = near.select("c", "part", F.lit(1).alias("other"), F.col("u").alias("id")).unionByName(near.select("c", "part", F.lit(0).alias("other"), F.col("c").alias("id")).distinct())
     rows = members.join(texts, "id").select("c", "part", "other", "id", "registers", "text")
     rows = rows.repartition("c", "part").sortWithinPartitions("c", "part", "other")
-    return materialize(map_arrow(rows, _verifier(width, percent), "u long, v long"), "neardup-links")
+    links = tables.write(map_arrow(rows, _verifier(width, percent), "u long, v long"))
+    tables.drop(near)
+    return links
 
 
 def _block_links(width: int, percent: int):
@@ -217,7 +219,7 @@ def _block_links(width: int, percent: int):
     return run
 
 
-def _within(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _within(rest: DataFrame, texts: DataFrame, width: int, percent: int, tables: Tables) -> DataFrame:
     """Links between members of different components of each bucket.
 
     A bucket of many members or long texts is cut into blocks by a hash of the
@@ -229,7 +231,7 @@ def _within(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "root")
     rows = dealt.join(texts.select("id", "text"), "id").select("key", "a", "b", "side", "id", "root", "text")
     rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return materialize(map_arrow(rows, _block_links(width, percent), "u long, v long").distinct(), "neardup-within")
+    return tables.write(map_arrow(rows, _block_links(width, percent), "u long, v long").distinct())
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -240,42 +242,49 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and the document of that id is kept.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = materialize(map_arrow(rows, _sketches(width), "doc_id long, n_shingles long, d1 long, d2 long, registers binary"), "neardup-sketches")
-    alike = own.where("n_shingles > 0 and doc_id is not null")
-    least = materialize(alike.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "neardup-sets")
+    tables, results = Tables(docs.sparkSession, "neardup"), Tables(docs.sparkSession, "neardup-sets")
+    whole = tables.write(map_arrow(rows, _sketches(width), "doc_id long, n_shingles long, d1 long, d2 long, registers binary"))
+    own = results.write(whole.drop("registers"))
+    least = results.write(own.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
+    alike = whole.where("n_shingles > 0 and doc_id is not null")
     nodes = alike.join(least.withColumnRenamed("id", "doc_id"), ["d1", "d2", "doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "registers")
-    nodes = materialize(nodes, "neardup-nodes")
+    nodes = tables.write(nodes)
+    tables.drop(whole)
 
     bands = nodes.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * 2 * ROWS + 1, F.lit(2 * ROWS))))).alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    seated = materialize(bands.join(buckets, "key"), "neardup-buckets")
+    met = tables.write(bands.join(buckets, "key"))
     # a text that many others were made from is in their buckets more often than they are in each other's
-    standing = seated.groupBy("id").agg(F.sum("size").alias("standing")).join(nodes.select("id", "n_shingles"), "id")
-    seated = materialize(seated.join(standing, "id"), "neardup-seated")
-    texts = materialize(rows.join(standing.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).join(nodes.select("id", "registers"), "id"), "neardup-texts")
+    standing = tables.write(met.groupBy("id").agg(F.sum("size").alias("standing")).join(nodes.select("id", "n_shingles"), "id"))
+    seated = tables.write(met.join(standing, "id"))
+    tables.drop(met)
+    texts = tables.write(rows.join(standing.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).join(nodes.select("id", "registers"), "id"))
+    tables.drop(nodes, standing)
     close = "100 * least(x.n_shingles, y.n_shingles) >= {p} * greatest(x.n_shingles, y.n_shingles)".format(p=percent)
 
     first = F.max_by(F.struct("id", "n_shingles"), F.struct("standing", -F.col("id")))
     centres = seated.groupBy("key").agg(first.alias("f")).select("key", "f.*")
     stars = seated.alias("x").join(centres.alias("y"), "key").where("x.id <> y.id").where(close).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
-    stars = materialize(stars, "neardup-stars")
-    links = _verified(stars, texts, width, percent)
+    stars = tables.write(stars)
+    links = _verified(stars, texts, width, percent, tables)
     found = connected_components(links)
 
     # buckets whose members are not all together yet: those of different components with each other
     many = seated.where("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     split = many.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.sum("n_shingles").alias("weight")).where("a <> b").select("key", "weight")
-    rest = materialize(many.join(split, "key").select("key", "id", "root", "n_shingles", "size", "weight"), "neardup-rest")
+    rest = tables.write(many.join(split, "key").select("key", "id", "root", "n_shingles", "size", "weight"))
+    tables.drop(seated)
     few = rest.where(F.col("size") <= SMALL)
     across = (
         few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & F.expr(close))
         .select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
     )
     both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    across = materialize(across.join(both, ["u", "v"], "left_anti"), "neardup-across")
-    more = _verified(across, texts, width, percent).unionByName(_within(rest.where(F.col("size") > SMALL), texts, width, percent))
+    across = tables.write(across.join(both, ["u", "v"], "left_anti"))
+    more = _verified(across, texts, width, percent, tables).unionByName(_within(rest.where(F.col("size") > SMALL), texts, width, percent, tables))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
+    tables.clear()
 
     # rows of one set, or of one id, belong together: sets are nodes named by their smallest id
     sets = own.where("d1 is not null").join(least, ["d1", "d2"], "left").join(found.withColumnRenamed("node", "id"), "id", "left")

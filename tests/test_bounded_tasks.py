@@ -1,11 +1,16 @@
 """What a task or the driver holds at once does not grow with the tables."""
 
 import tracemalloc
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+import corpus_pipeline
+from tessera.llm import line_dedup
+from tessera.llm.shared import Tables, shared_dir
 from tessera.operators import chunk as C, impact as X, index as I, inverted as V, topics as K
 
 
@@ -103,3 +108,43 @@ def test_rows_of_a_shard_take_few_bytes_a_posting():
     out, mb = _peak_mb(lambda: held.rows(3))
     assert out.column("no").value_lengths().to_numpy().sum() == postings
     assert mb * 1e6 < 45 * postings
+
+
+def _folders(spark) -> dict[str, int]:
+    """Tables' folders in the shared folder, without their numbers, and how many of each there are."""
+    base = Path(shared_dir(spark).removeprefix("file://"), "tessera")
+    return Counter(p.name.rsplit("-", 1)[0] for p in base.iterdir() if any(p.rglob("*.parquet"))) if base.exists() else Counter()
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path):
+    """A stage's tables are gone when the next one's result is there; near-duplicate removal keeps what its result reads alone."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    corpus_pipeline._clear()
+    before = _folders(spark)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    left = _folders(spark) - before
+    assert not [name for name in left if name.startswith(("quality", "lines", "dropped"))]
+    assert left["neardup-sets"] == 1 and not left["neardup"]
+    assert docs.count() > 0
+    # what still reads the tables of the stage before keeps them
+    first = corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert corpus_pipeline.line_stage(spark, first, sf).count() > 0
+
+
+def test_line_keys_are_shuffled_in_parts(spark, monkeypatch):
+    """No shuffle of line dedup takes all keys or all texts; more parts change no row."""
+    text = ["the same line of words stands here\nand number {} of all others {}".format(k, "abcdefgh"[k % 8] * 9) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    rows = {tuple(map(str, r)) for r in line_dedup.repeated_lines(docs).collect()}
+    parts = []
+    write = Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, *dfs: (parts.append((tuple(dfs[0].columns), len(dfs))), write(self, *dfs))[1])
+    for most in (1, 3):
+        monkeypatch.setattr(line_dedup, "KEY_PARTS", most)
+        monkeypatch.setattr(line_dedup, "TEXT_PARTS", most)
+        parts.clear()
+        assert {tuple(map(str, r)) for r in line_dedup.repeated_lines(docs).collect()} == rows
+        assert {n for columns, n in parts if columns[0] == "key" and "near" in columns} == {most} == {n for columns, n in parts if columns == ("node", "norm")}
