@@ -108,6 +108,11 @@ def _halves(length: Column, word: Column) -> Column:
     return F.array(F.struct(F.lit(0).alias("half"), F.left(word, h).alias("part")), F.struct(F.lit(1).alias("half"), F.right(word, length - h).alias("part")))
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle: the vocabulary grows with the texts, and a broadcast would hold it on the driver."""
+    return df.hint("merge")
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, other, other_n): both directions of every pair of distinct words (word, n) that one edit parts."""
     size = F.length("word")
@@ -121,7 +126,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def pairs(left: DataFrame, right: DataFrame, *rest: Column) -> DataFrame:
         other = right.select(*at, *(F.col(c).alias(f"other_{c}") for c in right.columns if c not in at))
-        met = left.join(other, at)
+        met = left.join(unsent(other), at)
         for c in rest:
             met = met.where(c)
         return met.where(F.levenshtein("word", "other_word", 1) == 1).select("word", "n", "other_word", "other_n")
@@ -146,19 +151,19 @@ def spelling_forms(words: DataFrame, *, ratio: int = 5) -> DataFrame:
     words = tables.write(words)
     best = F.min(F.struct((-F.col("other_n")).alias("less"), "other"))
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    led = words.join(near, "word", "left").withColumn("led", F.coalesce(-F.col("best.less") >= ratio * F.col("n"), F.lit(False)))
+    led = words.join(unsent(near), "word", "left").withColumn("led", F.coalesce(-F.col("best.less") >= ratio * F.col("n"), F.lit(False)))
     led = led.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("led"), F.col("best.other")).alias("form"), F.when(F.col("led"), -F.col("best.less")).alias("form_n"))
     led = tables.write(led)
     step = tables.write(led.where("form is not null").select("word", F.col("form").alias("to")))
     while True:
-        on = step.join(step.select(F.col("word").alias("to"), F.col("to").alias("then")), "to", "left").select("word", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved"))
+        on = step.join(unsent(step.select(F.col("word").alias("to"), F.col("to").alias("then"))), "to", "left").select("word", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved"))
         on = tables.write(on)
         tables.drop(step)
         step = on.select("word", "to")
         step._written_to = on._written_to
         if on.where("moved").isEmpty():
             break
-    return led.join(step, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("to", "word").alias("root"))
+    return led.join(unsent(step), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("to", "word").alias("root"))
 
 
 def spelling_variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_letters: int = 6, least: int = 5, ratio: int = 5, slips: int = SLIPS) -> DataFrame:

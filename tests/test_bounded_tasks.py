@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 
 import corpus_pipeline
-from tessera.llm import line_dedup
+from tessera.llm import line_dedup, spelling
 from tessera.llm.shared import Tables, shared_dir
 from tessera.operators import chunk as C, impact as X, index as I, inverted as V, topics as K
 
@@ -148,3 +148,15 @@ def test_line_keys_are_shuffled_in_parts(spark, monkeypatch):
         parts.clear()
         assert {tuple(map(str, r)) for r in line_dedup.repeated_lines(docs).collect()} == rows
         assert {n for columns, n in parts if columns[0] == "key" and "near" in columns} == {most} == {n for columns, n in parts if columns == ("node", "norm")}
+
+
+def test_vocabulary_is_never_broadcast(spark, monkeypatch):
+    """Small tables show it: Spark would broadcast each of them on its own, whatever the vocabulary becomes."""
+    plans = []
+    write = Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df, *more))[1])
+    words = spark.createDataFrame([("example", 50), ("exmple", 5), ("examples", 9), ("another", 7)], "word string, n long")
+    out = spelling.spelling_forms(words)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r["word"]: r["root"] for r in out.collect()} == {"example": "example", "exmple": "example", "examples": "example", "another": "another"}
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
