@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+import __spark_entry__
 import corpus_pipeline
 from tessera.llm import line_dedup, spelling
 from tessera.llm.shared import Tables, shared_dir
@@ -160,3 +161,11 @@ def test_vocabulary_is_never_broadcast(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert {r["word"]: r["root"] for r in out.collect()} == {"example": "example", "exmple": "example", "examples": "example", "another": "another"}
     assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_strategies_search_once(spark, monkeypatch):
+    """All strategies rank the candidates of one search."""
+    calls, topk = [], I.vector_topk
+    monkeypatch.setattr(I, "vector_topk", lambda *a, **k: (calls.append(1), topk(*a, **k))[1])
+    out = __spark_entry__.queries()["search_all"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and {r["strategy"] for r in out.select("strategy").distinct().collect()} == {"naive", "vector", "metadata", "hybrid"}
