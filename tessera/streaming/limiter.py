@@ -6,16 +6,21 @@ import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..sources.versioned import VersionedTable
 
 STATE = StructType([StructField("count", LongType()), StructField("reset", DoubleType())])
+#: what a slot keeps of its keys; ``seen``: when a key last had a request, by the clock, in milliseconds
+SLOT_STATE = StructType([StructField("key", ArrayType(StringType())), StructField("count", ArrayType(LongType())), StructField("reset", ArrayType(DoubleType())), StructField("seen", ArrayType(LongType()))])
+#: slots that a stream's keys are dealt to; a call into the worker and two for its state are a slot's, not a key's
+SLOTS = 4096
 
 
 class AnchoredWindow(StatefulProcessor):
@@ -35,28 +40,62 @@ class AnchoredWindow(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count, reset = self.state.get() if self.state.exists() else (0, float("-inf"))
         times = sorted(t for pdf in rows for t in pdf["at"])
+        allowed, count, reset = self.decided(times, count, reset)
+        self.state.update((count, reset))
+        yield pd.DataFrame({"key": [key[0]] * len(times), "at": times, "allowed": allowed})
+
+    def decided(self, times: list[float], count: int, reset: float) -> tuple[list[bool], int, float]:
+        """Verdicts of one key's requests in time order, and its window after them."""
         allowed = []
         for t in times:
             if t >= reset:
                 count, reset = 0, t + self.window
             count += 1
             allowed.append(count <= self.most)
-        self.state.update((count, reset))
-        yield pd.DataFrame({"key": [key[0]] * len(times), "at": times, "allowed": allowed})
+        return allowed, count, reset
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(requests: DataFrame, most: int, window_seconds: float, *, replay: bool = False) -> DataFrame:
+class SlotWindows(AnchoredWindow):
+    """The windows of all keys of a slot, which are decided key by key and kept as one state.
+
+    Idle keys of a slot that has requests are dropped here, idle slots by Spark.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("windows", SLOT_STATE, ttlDurationMs=int(2000 * self.window) if self.expires else None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.expires else 0
+        held = {k: (count, reset, seen) for k, count, reset, seen in zip(*(self.state.get() or ((),) * 4)) if not self.expires or now - seen < 2000 * self.window}
+        asked = pd.concat([pdf[["key", "at"]] for pdf in rows])
+        codes, names = pd.factorize(asked["key"], use_na_sentinel=False)
+        order = np.lexsort((asked["at"].to_numpy(), codes))
+        times, names = asked["at"].to_numpy()[order].tolist(), [None if pd.isna(k) else k for k in names]
+        ends, allowed, at = np.cumsum(np.bincount(codes, minlength=len(names))).tolist(), [], 0
+        for name, end in zip(names, ends):
+            count, reset, _ = held.get(name, (0, float("-inf"), 0))
+            own, count, reset = self.decided(times[at:end], count, reset)
+            held[name] = count, reset, now
+            allowed += own
+            at = end
+        self.state.update((list(held), *map(list, zip(*held.values()))))
+        yield pd.DataFrame({"key": asked["key"].to_numpy()[order], "at": times, "allowed": allowed})
+
+
+def limit_stream(requests: DataFrame, most: int, window_seconds: float, *, replay: bool = False, slots: int = SLOTS) -> DataFrame:
     """(key, at, allowed) for a stream of (key string, at seconds double); needs the RocksDB state store.
 
     replay: the requests' times are not those of the clock, so no state expires.
+    slots: parts of the keys that are decided and kept together; fixed for a checkpoint's life.
     """
     # the state's processor is also loaded beside the driver, where this package may not be on the path
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    own = AnchoredWindow(most, window_seconds, expires=not replay)
-    return requests.groupBy("key").transformWithStateInPandas(statefulProcessor=own, outputStructType="key string, at double, allowed boolean", outputMode="Append", timeMode="None" if replay else "ProcessingTime")
+    own = SlotWindows(most, window_seconds, expires=not replay)
+    dealt = requests.select("key", "at", F.pmod(F.xxhash64("key"), F.lit(slots)).alias("slot"))
+    return dealt.groupBy("slot").transformWithStateInPandas(statefulProcessor=own, outputStructType="key string, at double, allowed boolean", outputMode="Append", timeMode="None" if replay else "ProcessingTime")
 
 
 @contextmanager

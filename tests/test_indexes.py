@@ -234,6 +234,44 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert rows_of(spark.read.parquet(f"{tmp_path}/out")) == rows_of(M.rate_verdicts(df, 3, 25.0))
 
 
+def test_stream_keeps_state_by_slots(spark, tmp_path):
+    """Many keys are a bounded number of states, and their verdicts are those of a fold over each key."""
+    rows = [(f"k{i % 400}", float(i // 400 * 7 + i % 3)) for i in range(2000)] + [(None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "key string, at double")
+    df.write.parquet(f"{tmp_path}/in")
+    with L.state_store(spark):
+        decided = L.limit_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 2, 15.0, replay=True, slots=8)
+        query = decided.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 8
+    rows_of = lambda d: sorted((r["key"] or "", r["at"], r["allowed"]) for r in d.collect())
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out")) == rows_of(M.rate_verdicts(df.fillna("none", "key"), 2, 15.0).replace("none", "", "key"))
+
+
+def test_idle_keys_of_a_slot_expire():
+    """A key without requests for two windows of the clock is dropped while its slot goes on."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+    p = L.SlotWindows(1, 10)
+    p.state = Value()
+    ask = lambda clock, *rows: pd.concat(p.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["key", "at"])]), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: clock))).sort_values("key")["allowed"].tolist()
+    assert ask(1000, ("a", 0.0), ("b", 1.0)) == [True, True]
+    assert ask(15000, ("b", 2.0)) == [False]
+    assert ask(22000, ("b", 3.0)) == [False] and p.state.held[0] == ["b"]
+    assert ask(23000, ("a", 4.0)) == [True]
+
+
 def test_letters_arrive_once(spark, tmp_path):
     """Runs over a growing folder give each letter once; a changed one is replaced."""
     folder = tmp_path / "in"
