@@ -558,3 +558,23 @@ def test_pair_counts_are_an_exact_filter():
             counts.append(line_dedup.pair_counts(codes, np.r_[0, np.cumsum(lengths + 1)[:-1]], lengths))
         ok = line_dedup._pairs_allow(*counts, np.array([max(len(x), len(y)) for x, y in zip(a, b)]), 90)
         assert all(ok[k] for k in range(60) if line_dedup.edit_similar(a[k], b[k], 90))
+
+
+def test_line_pairs_are_compared_side_by_side():
+    """Bands of one number and of several say what full edit distance says, for any mix of lengths and letters."""
+    import random
+
+    from tessera.llm import line_dedup as LD
+
+    rnd, a, b = random.Random(5), [], []
+    for n in (1, 2, 9, 10, 11, 39, 64, 65, 200, 319, 320, 321, 639, 640, 1300, 2600) * 12:
+        letters = rnd.choice(("ab", "abcdefgh ij", "αβγ δé", "".join(map(chr, range(0x4E00, 0x5000)))))
+        line = [rnd.choice(letters) for _ in range(n)]
+        a.append("".join(line))
+        for _ in range(int(n * rnd.choice((0, 0.05, 0.09, 0.1, 0.11, 0.3))) + rnd.randrange(2)):
+            at = rnd.randrange(len(line))
+            line[at : at + rnd.randrange(2)] = rnd.choice(("", rnd.choice(letters))) if len(line) > 1 else rnd.choice(letters)
+        b.append("".join(line))
+    for percent in (90, 80, 100):
+        most = [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(a, b)]
+        assert LD.all_edit_similar(a, b, percent).tolist() == [LD._levenshtein(*sorted((x, y), key=len)) <= k for x, y, k in zip(a, b, most)]
