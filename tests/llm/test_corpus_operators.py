@@ -578,3 +578,49 @@ def test_line_pairs_are_compared_side_by_side():
     for percent in (90, 80, 100):
         most = [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(a, b)]
         assert LD.all_edit_similar(a, b, percent).tolist() == [LD._levenshtein(*sorted((x, y), key=len)) <= k for x, y, k in zip(a, b, most)]
+
+
+def both_signatures(norms):
+    codes, lengths = line_dedup.normalised(norms)
+    starts, grams = np.r_[0, np.cumsum(lengths + 1)[:-1]], line_dedup.window_hashes(codes)
+    tail = np.concatenate([grams[4], line_dedup.mix(codes[len(grams[4]) :].astype(np.uint64), 6)])
+    return line_dedup.signatures(tail, starts, lengths), line_dedup.second_signatures(codes, tail, starts, lengths)
+
+
+@pytest.mark.parametrize("low, high, least", [(12, 80, 0.99), (72, 90, 0.97), (90, 250, 0.96), (250, 700, 0.95), (700, 3000, 0.9)])
+def test_second_signatures_keep_similar_lines(low, high, least):
+    """Counts miss no similar line, and both SimHashes few at ten edits in a hundred characters."""
+    rng = random.Random(high)
+    lines = [" ".join("".join(rng.choice("abcdefghijklmno ") for _ in range(rng.randint(low, high))).split()) for _ in range(400)]
+    pairs = [(a, b) for a in lines for b in [" ".join(edited(rng, a, max(1, len(a) // 10)).split())] if line_dedup.edit_similar(a, b, 90)]
+    (sa, ma), (sb, mb) = (both_signatures(list(x)) for x in zip(*pairs))
+    assert len(pairs) > 150 and np.mean(line_dedup.alike(sa, sb, 90, ma, mb)) >= least
+    short = np.array([max(map(len, x)) < line_dedup.LONG for x in pairs])
+    assert (np.bitwise_count(ma ^ mb)[short] <= 2 * np.array([max(map(len, x)) // 10 for x in pairs])[short]).all()
+
+
+@pytest.mark.parametrize("low, high, most", [(40, 80, 0.2), (250, 400, 0.2)])
+def test_lines_that_meet_by_chance_leave_their_bucket(low, high, most):
+    """Of lines that share a window and nothing else, few pairs go further; the same with SQL's conditions as in the bucket."""
+    rng = random.Random(low)
+    lines = [" ".join("".join(rng.choice("abcdefghijklmno ") for _ in range(rng.randint(low, high))).split()) for _ in range(24)]
+    lines += [lines[0][:-1] + "z", lines[1][:-1] + "z"]
+    sig, more = both_signatures(lines)
+    node = np.arange(len(lines))
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(lines), np.int64)), pa.array(node), pa.array(sig.view(np.int64)), pa.array(more.view(np.int64))], ["key", "h1", "sig", "more"])
+    out = [n for b in line_dedup._buckets(90)([rows]) for n in b.column(1).to_pylist()]
+    assert {0, 1, 24, 25} <= set(out) and len(out) <= 4 + most * len(lines)
+
+
+def test_signatures_agree_in_sql(spark):
+    rng = random.Random(21)
+    lines = [" ".join("".join(rng.choice("abcde ") for _ in range(n)).split()) for n in (9, 45, 74, 79, 82, 120, 300, 700) for _ in range(6)]
+    lines += [edited(rng, x, rng.randint(1, 1 + len(x) // 8), "abcde") or "a" for x in lines]
+    sig, more = (x.view(np.int64) for x in both_signatures(lines))
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(zip(sig.tolist(), more.tolist()))], "node int, sig long, more long")
+    near = rows.alias("x").join(rows.alias("y")).where(line_dedup._close(90)).selectExpr("x.node as a", "y.node as b").collect()
+    u, v = sig.view(np.uint64), more.view(np.uint64)
+    ok = line_dedup.alike(u[:, None], u[None, :], 90, v[:, None], v[None, :])
+    assert {(r["a"], r["b"]) for r in near} == set(zip(*(x.tolist() for x in np.nonzero(ok)))) and len(near) > 2 * len(lines) - len(lines) // 2
