@@ -624,3 +624,15 @@ def test_signatures_agree_in_sql(spark):
     u, v = sig.view(np.uint64), more.view(np.uint64)
     ok = line_dedup.alike(u[:, None], u[None, :], 90, v[:, None], v[None, :])
     assert {(r["a"], r["b"]) for r in near} == set(zip(*(x.tolist() for x in np.nonzero(ok)))) and len(near) > 2 * len(lines) - len(lines) // 2
+
+
+def test_rows_of_a_block_stay_in_the_lowest_bucket():
+    """Two similar lines that meet in two buckets are rows of one of them, before any text is fetched."""
+    import pyarrow as pa
+
+    sig, more = (np.repeat(x.view(np.int64), 2) for x in both_signatures(["abcdefg " * 12]))
+    names = ["key", "a", "b", "side", "node", "root", "sig", "more", "keys"]
+    zero = np.zeros(2, np.int32)
+    blocks = [pa.RecordBatch.from_arrays([pa.array(np.full(2, key)), *map(pa.array, (zero, zero, zero)), pa.array([1, 2]), pa.array([1, 2]), pa.array(sig), pa.array(more), pa.array([[7, 5], [5, 7, 9]])], names) for key in (5, 7)]
+    out = [x for b in line_dedup._alike(90)(blocks) for x in zip(b.column(0).to_pylist(), b.column(4).to_pylist())]
+    assert out == [(5, 1), (5, 2)]
